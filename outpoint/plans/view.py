@@ -203,18 +203,17 @@ class Ledger:
         )
 
     def _build_arrivals(self) -> DataFrame:
-        """Blocks as they arrive: shuffled, with forks at every 100th height."""
-        arrival = (F.col("height") * 7919) % 10007
+        """Blocks as they arrive: shuffled, with a fork at every 100th height."""
+        arrival = ((F.col("height") * 7919) % 10007).cast("double")
         real = self.blocks.select("hash", "prev_hash", "height", "timestamp", arrival.alias("arrival"))
         forked = real.filter(F.col("height") % 100 == 0).select(
             tagged_hash("fork:", F.col("height")).alias("hash"),
             "prev_hash",
             "height",
             "timestamp",
-            # A fork at an even hundred arrives before its sibling.
-            (F.col("arrival") + F.when(F.col("height") % 200 == 0, -0.5).otherwise(0.5)).alias("arrival"),
+            (F.col("arrival") + 0.5).alias("arrival"),
         )
-        return real.withColumn("arrival", F.col("arrival").cast("double")).unionByName(forked)
+        return real.unionByName(forked)
 
     def _build_utxo(self) -> DataFrame:
         return utxo.utxo_set(self.outputs, self.inputs)
