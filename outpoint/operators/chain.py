@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import timestamp_age_sec
 from ..session import materialize
-from .ordering import previous_value
+from .ordering import previous_value, row_position
 
 # Fixed values.
 CAUGHT_UP_SEC = 600
@@ -110,13 +110,14 @@ def gaps(blocks: DataFrame) -> DataFrame:
 
 
 def blocks_in_time_order(blocks: DataFrame) -> DataFrame:
-    """One block per hash, sorted by time."""
-    return blocks.dropDuplicates(["hash"]).orderBy("timestamp", "hash")
+    """One block per hash with its position in time order."""
+    once = blocks.dropDuplicates(["hash"]).withColumn("_all", F.lit(1))
+    return row_position(once, ["_all"], ["timestamp", "hash"], "position").drop("_all")
 
 
-def truncate_at(blocks: DataFrame, target_hash: str) -> DataFrame:
-    """Blocks before the target in the chain, all of them when it is absent."""
-    limit = blocks.filter(F.col("hash") == target_hash).agg(F.min("height").alias("_limit"))
+def truncate_at(blocks: DataFrame, target: DataFrame) -> DataFrame:
+    """Blocks before the target (column ``hash``), all of them when it is absent."""
+    limit = blocks.join(target, "hash", "left_semi").agg(F.min("height").alias("_limit"))
     return (
         blocks.crossJoin(F.broadcast(limit))
         .filter(F.col("_limit").isNull() | (F.col("height") < F.col("_limit")))

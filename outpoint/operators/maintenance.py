@@ -67,3 +67,9 @@ def split_undecodable(df: DataFrame, column: str = "hash") -> tuple[DataFrame, D
 def repeated_hashes(tx: DataFrame) -> DataFrame:
     """Transactions that were confirmed more than once."""
     return tx.groupBy("hash").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
+def orphan_rows(blocks: DataFrame, created_at: Column) -> DataFrame:
+    """Headers of blocks that left the chain, as rows of the orphans table."""
+    header = ["height", "hash", "version", "prev_hash", "merkle_root", "timestamp", "bits", "nonce"]
+    return blocks.select(*header, created_at.alias("created_at"))

@@ -92,7 +92,7 @@ def merkle_nodes(txs: DataFrame) -> DataFrame:
         # The top of a chunk that is not alone is a leaf of the next pass.
         kept = rows.filter(F.col("sole") | (F.col("step") < SPAN_LEVELS))
         # A chunk of 2**SPAN_LEVELS leaves has half as many nodes per step up.
-        first = F.col("chunk") * F.shiftright(F.lit(1 << SPAN_LEVELS), F.col("step"))
+        first = F.col("chunk") * F.expr(f"shiftright({1 << SPAN_LEVELS}, step)")
         part = kept.select(
             "height",
             (F.col("step") + base).alias("level"),

@@ -152,3 +152,22 @@ def fees(txs: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
         .join(made, "hash", "left")
         .select("hash", F.when(F.col("funded") == F.col("needed"), left_over).otherwise(zero).alias("fee"))
     )
+
+
+def tx_summary(raw: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(hash, txsize, satoshis) from serialized chunks and outputs.
+
+    A negative output sum is out of range, and its transaction is left out.
+    """
+    sizes = raw.groupBy("hash").agg(F.sum(F.length("raw")).alias("txsize"))
+    made = outputs.groupBy("hash").agg(F.sum("satoshis").alias("satoshis"))
+    total = F.coalesce("satoshis", F.lit(0).cast("long"))
+    return sizes.join(made, "hash", "left").withColumn("satoshis", total).filter("satoshis >= 0")
+
+
+def block_summary(pieces: DataFrame) -> DataFrame:
+    """(height, blocksize, numtxs) from the pieces of serialized blocks."""
+    starts = (F.col("blockindex") >= 0) & (F.col("chunk") == 0)
+    return pieces.groupBy("height").agg(
+        F.sum(F.length("data")).alias("blocksize"), F.count(F.when(starts, 1)).alias("numtxs")
+    )

@@ -7,7 +7,7 @@ asked for, written once per application and folder, and read back as Parquet.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codec
@@ -41,11 +41,11 @@ MONITORS = [
 ]
 
 
-def tagged_hash(tag: str, key) -> F.Column:
+def tagged_hash(tag: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(tag), key.cast("string")), 256)
 
 
-def pubkeyhash_of(custkey) -> F.Column:
+def pubkeyhash_of(custkey: Column) -> Column:
     return F.substring(tagged_hash("c:", custkey), 1, 40)
 
 
@@ -57,6 +57,7 @@ class Ledger:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._tables: dict[str, DataFrame] = {}
+        self.kept: dict[str, object] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, folder: str) -> "Ledger":

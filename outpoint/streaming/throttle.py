@@ -51,11 +51,11 @@ def _summaries(window: int):
         opening = int(pdf["shard"].iloc[0]) * window * SHARD_WINDOWS
         # A window open from before ends within the first window of the shard.
         n = int(np.searchsorted(times, opening + window)) + 1
-        last = _last_starts(times, window)[:n]
-        runs = pd.DataFrame({"upto": times[:n], "last": last}).groupby("last", as_index=False)["upto"].max()
-        return runs.assign(client=pdf["client"].iloc[0], shard=pdf["shard"].iloc[0])[
-            ["client", "shard", "upto", "last"]
-        ]
+        upto, last = times[:n], _last_starts(times, window)[:n]
+        ends = np.append(last[1:] != last[:-1], True)[: len(last)]
+        return pd.DataFrame(
+            {"client": pdf["client"].iloc[0], "shard": pdf["shard"].iloc[0], "upto": upto[ends], "last": last[ends]}
+        )
 
     return summarize
 
@@ -99,7 +99,7 @@ def _starts(window: int):
 def window_starts(requests: DataFrame, window: int = WINDOW_MICROS) -> DataFrame:
     """(client, shard, start) of every window; requests have client and t."""
     span = window * SHARD_WINDOWS
-    times = requests.select("client", F.floor(F.col("t") / F.lit(span)).alias("shard"), "t").distinct()
+    times = requests.select("client", F.expr(f"t div {span}").alias("shard"), "t").distinct()
     runs = times.groupBy("client", "shard").applyInPandas(
         _summaries(window), "client string, shard bigint, upto bigint, last bigint"
     )
@@ -117,12 +117,12 @@ def throttle(requests: DataFrame, limit: int, window: int = WINDOW_MICROS) -> Da
     if limit == 0:
         return requests.withColumn("admitted", F.lit(True))
     starts = window_starts(requests, window)
-    span = F.lit(window * SHARD_WINDOWS)
+    span = window * SHARD_WINDOWS
     # The window of a request starts in its shard or in the one before.
     per_shard = starts.groupBy("client", "shard").agg(F.collect_list("start").alias("starts"))
     carried = per_shard.select("client", (F.col("shard") + 1).alias("shard"), F.array_max("starts").alias("carried"))
     lookup = per_shard.join(carried, ["client", "shard"], "full")
-    keyed = requests.withColumn("shard", F.floor(F.col("t") / span)).join(lookup, ["client", "shard"])
+    keyed = requests.withColumn("shard", F.expr(f"t div {span}")).join(lookup, ["client", "shard"])
     own = F.array_max(F.filter("starts", lambda s: s <= F.col("t")))
     placed = keyed.withColumn("start", F.coalesce(own, "carried")).select(*requests.columns, "start")
     # Of a window only its first requests are ranked; see WindowGroupLimit.
