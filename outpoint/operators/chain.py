@@ -117,12 +117,8 @@ def blocks_in_time_order(blocks: DataFrame) -> DataFrame:
 
 def truncate_at(blocks: DataFrame, target: DataFrame) -> DataFrame:
     """Blocks before the target (column ``hash``), all of them when it is absent."""
-    limit = blocks.join(target, "hash", "left_semi").agg(F.min("height").alias("_limit"))
-    return (
-        blocks.crossJoin(F.broadcast(limit))
-        .filter(F.col("_limit").isNull() | (F.col("height") < F.col("_limit")))
-        .drop("_limit")
-    )
+    limit = blocks.join(target, "hash", "left_semi").agg(F.min("height")).scalar()
+    return blocks.filter(F.coalesce(F.col("height") < limit, F.lit(True)))
 
 
 def renumber_heights(df: DataFrame, start_height: int, floor: int = 0) -> DataFrame:
@@ -155,9 +151,7 @@ def chain_tip_reached(blocks: DataFrame, now: Column) -> DataFrame:
 
 def orphan_signals(arrivals: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
     """Arrived blocks that are older than the earliest known one."""
-    start = F.broadcast(start_timestamp(known, threshold))
-    older = arrivals.crossJoin(start).filter(F.col("timestamp") < F.col("start_timestamp"))
-    return older.drop("start_timestamp")
+    return arrivals.filter(F.col("timestamp") < start_timestamp(known, threshold).scalar())
 
 
 def roll_back_tip(
@@ -167,10 +161,10 @@ def roll_back_tip(
 
     Outputs that the removed transactions had spent do not come back.
     """
-    tip = F.broadcast(blocks.agg(F.max("height").alias("_tip")))
+    tip = blocks.agg(F.max("height")).scalar()
 
     def below(df: DataFrame) -> DataFrame:
-        return df.crossJoin(tip).filter(F.col("height") != F.col("_tip")).drop("_tip")
+        return df.filter(F.col("height") != tip)
 
     header = ["height", "hash", "version", "prev_hash", "merkle_root", "timestamp", "bits", "nonce"]
     orphan = last_block(blocks).select(*header)

@@ -98,19 +98,18 @@ def last_block_hex(last: DataFrame) -> DataFrame:
 def status(blocks: DataFrame, tx: DataFrame | None, utxo: DataFrame | None, mempool: DataFrame | None) -> DataFrame:
     """One row: tip height, its time and the table sizes; an absent table counts 0."""
 
-    def size(df: DataFrame | None, name: str) -> DataFrame:
-        rows = blocks.limit(0) if df is None else df
-        return rows.agg(F.count(F.lit(1)).alias(name))
+    def size(df: DataFrame | None, name: str) -> Column:
+        rows = F.lit(0).cast("long") if df is None else df.agg(F.count(F.lit(1))).scalar()
+        return rows.alias(name)
 
     newest = display.timestamp_as_string(F.max_by("timestamp", "height"))
     tip = blocks.agg(
         F.coalesce(newest, F.lit("unknown")).alias("last_block_time"),
         F.coalesce(F.max("height"), F.lit(0)).cast("long").alias("block_height"),
     )
-    counts = [size(tx, "number_of_txs"), size(utxo, "number_of_utxo"), size(mempool, "number_of_mempool")]
-    for count in counts:
-        tip = tip.crossJoin(F.broadcast(count))
-    return tip
+    return tip.select(
+        "*", size(tx, "number_of_txs"), size(utxo, "number_of_utxo"), size(mempool, "number_of_mempool")
+    )
 
 
 def tx_entries(keys: DataFrame, outputs: DataFrame, tx: DataFrame, utxo: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ chunks, and even 10**12 leaves need four shuffles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..functions.hashing import hash256, reverse_hex, to_hex
 from ..session import materialize
 
 SPAN_LEVELS = 10
+BRANCHES = "array<struct<hash:string,pos:string>>"
 
 
 def _parents(nodes: Column) -> Column:
@@ -28,123 +31,123 @@ def _parents(nodes: Column) -> Column:
     )
 
 
-def _fold(chunked: DataFrame) -> DataFrame:
-    """Adds ``levels``: the nodes of each level of the chunk, leaves first."""
-    climb = lambda levels, _: F.when(
-        (F.size(F.element_at(levels, -1)) == 1) & F.col("sole"), levels
-    ).otherwise(F.concat(levels, F.array(_parents(F.element_at(levels, -1)))))
-    steps = F.sequence(F.lit(1), F.lit(SPAN_LEVELS))
-    return chunked.withColumn("levels", F.reduce(steps, F.array(F.col("nodes")), climb))
-
+def _fold(nodes: DataFrame) -> DataFrame:
+    """(height, chunk, levels, done): the levels of each chunk, leaves first.
 
-def _chunks(nodes: DataFrame) -> DataFrame:
-    """One row per chunk of a block: at most 2**SPAN_LEVELS nodes in order."""
+    A first chunk that is not full is the whole block, so it stops at its
+    root. All others climb every level: what is left over on the right pairs
+    with itself until it meets the other chunks.
+    """
     span = 1 << SPAN_LEVELS
-    grouped = nodes.withColumn("chunk", F.floor(F.col("pos") / span)).groupBy("height", "chunk")
-    rows = grouped.agg(F.array_sort(F.collect_list(F.struct("pos", "node"))).alias("members"))
-    counts = nodes.groupBy("height").agg((F.max("pos") < span).alias("sole"))
-    return (
-        rows.join(counts, "height")
-        .withColumn("nodes", F.transform("members", lambda m: m["node"]))
-        .drop("members")
+    members = F.array_sort(F.collect_list(F.struct("pos", "node")))
+    chunked = (
+        nodes.groupBy("height", F.floor(F.col("pos") / span).alias("chunk"))
+        .agg(members.alias("members"))
+        .withColumn("done", (F.col("chunk") == 0) & (F.size("members") < span))
     )
+    leaves = F.transform("members", lambda m: m["node"])
+    steps = F.sequence(F.lit(1), F.lit(SPAN_LEVELS))
 
+    def climb(levels: Column, _: Column) -> Column:
+        top = F.element_at(levels, -1)
+        return F.when(F.col("done") & (F.size(top) == 1), levels).otherwise(F.concat(levels, F.array(_parents(top))))
 
-def _leaves(txs: DataFrame) -> DataFrame:
-    node = F.unhex(reverse_hex(F.col("hash")))
-    return txs.select("height", F.col("blockindex").cast("long").alias("pos"), node.alias("node"))
+    return chunked.select("height", "chunk", F.reduce(steps, F.array(leaves), climb).alias("levels"), "done")
 
 
-def _passes(txs: DataFrame) -> list[tuple[int, DataFrame]]:
-    """Folded chunks of each pass with the level its leaves are on."""
-    nodes, level, passes = _leaves(txs), 0, []
+def _passes(txs: DataFrame) -> list[DataFrame]:
+    """Folded chunks of each pass; the tops of one are the leaves of the next."""
+    node = F.unhex(reverse_hex(F.col("hash")))
+    nodes = txs.select("height", F.col("blockindex").cast("long").alias("pos"), node.alias("node"))
+    passes = []
     while True:
-        folded = materialize(_fold(_chunks(nodes)), "merkle")
-        passes.append((level, folded))
-        rest = folded.filter(~F.col("sole"))
+        folded = materialize(_fold(nodes), "merkle")
+        passes.append(folded)
+        rest = folded.filter(~F.col("done"))
         if rest.isEmpty():
             return passes
-        top = F.element_at(F.element_at("levels", -1), 1)
-        nodes = rest.select("height", F.col("chunk").alias("pos"), top.alias("node"))
-        level += SPAN_LEVELS
+        nodes = rest.select("height", F.col("chunk").alias("pos"), _top().alias("node"))
+
+
+def _top() -> Column:
+    return F.element_at(F.element_at("levels", -1), 1)
 
 
 def merkle_roots(txs: DataFrame) -> DataFrame:
     """(height, merkle_root) from transactions (hash, height, blockindex)."""
-    roots = None
-    top = F.element_at(F.element_at("levels", -1), 1)
-    for _, folded in _passes(txs):
-        done = folded.filter("sole").select("height", reverse_hex(to_hex(top)).alias("merkle_root"))
-        roots = done if roots is None else roots.unionByName(done)
-    return roots
+    roots = [
+        folded.filter("done").select("height", reverse_hex(to_hex(_top())).alias("merkle_root"))
+        for folded in _passes(txs)
+    ]
+    return reduce(DataFrame.unionByName, roots)
+
+
+def _path(levels: Column, leaf: Column) -> Column:
+    """Branches from a leaf of a chunk to its top."""
+
+    def branch(level: Column) -> Column:
+        nodes = F.element_at(levels, level + 1)
+        own = F.call_function("shiftright", leaf, level)
+        left_of = own % 2 == 0
+        sibling = F.when(left_of, own + 1).otherwise(own - 1)
+        # The last node of an odd level is its own sibling.
+        node = F.coalesce(F.get(nodes, sibling), F.get(nodes, own))
+        to_right = left_of & (sibling < F.size(nodes))
+        return F.struct(
+            reverse_hex(to_hex(node)).alias("hash"), F.when(to_right, "R").otherwise("L").alias("pos")
+        )
 
+    climbs = F.sequence(F.lit(0), F.size(levels) - 2)
+    none = F.array().cast(BRANCHES)
+    return F.when(F.size(levels) > 1, F.transform(climbs, branch)).otherwise(none)
 
-def merkle_nodes(txs: DataFrame) -> DataFrame:
-    """(height, level, pos, node) with the transactions on level 0.
 
-    A node on its own below the root is listed once; its parent is the hash of
-    the node with itself.
+def _paths(wanted: DataFrame, passes: list[DataFrame]) -> DataFrame:
+    """(height, pos, branches) of the wanted nodes (height, pos) of a pass.
+
+    A chunk is joined once with the list of its wanted nodes, which its span
+    bounds; the way on from its top is worked out once for all of them.
     """
-    out = None
-    for base, folded in _passes(txs):
-        levels = folded.select("height", "chunk", "sole", F.posexplode("levels").alias("step", "row"))
-        rows = levels.select("height", "chunk", "step", "sole", F.posexplode("row").alias("i", "node"))
-        # The top of a chunk that is not alone is a leaf of the next pass.
-        kept = rows.filter(F.col("sole") | (F.col("step") < SPAN_LEVELS))
-        # A chunk of 2**SPAN_LEVELS leaves has half as many nodes per step up.
-        first = F.col("chunk") * F.expr(f"shiftright({1 << SPAN_LEVELS}, step)")
-        part = kept.select(
-            "height",
-            (F.col("step") + base).alias("level"),
-            (first + F.col("i")).alias("pos"),
-            reverse_hex(to_hex(F.col("node"))).alias("node"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    span = 1 << SPAN_LEVELS
+    chunk = F.floor(F.col("pos") / span)
+    asked = wanted.groupBy("height", chunk.alias("chunk")).agg(
+        F.collect_set((F.col("pos") % span).cast("int")).alias("asked")
+    )
+    held = passes[0].join(asked, ["height", "chunk"])
+    found = F.explode(
+        F.transform("asked", lambda leaf: F.struct(leaf.alias("leaf"), _path(F.col("levels"), leaf).alias("branches")))
+    )
+    inside = held.select("height", "chunk", "done", found.alias("found")).select(
+        "height", "chunk", (F.col("chunk") * span + F.col("found.leaf")).alias("pos"), "found.branches"
+    )
+    if len(passes) == 1:
+        return inside.drop("chunk")
+    upward = held.filter(~F.col("done")).select("height", F.col("chunk").alias("pos"))
+    above = _paths(upward, passes[1:]).select(
+        "height", F.col("pos").alias("chunk"), F.col("branches").alias("above")
+    )
+    whole = F.concat("branches", F.coalesce("above", F.array().cast(BRANCHES)))
+    return inside.join(above, ["height", "chunk"], "left").select("height", "pos", whole.alias("branches"))
 
 
 def merkle_proofs(keys: DataFrame, txs: DataFrame, blocks: DataFrame) -> DataFrame:
     """One proof per distinct requested hash.
 
     Columns: tx_hash, found, block_hash, merkle_root and branches, an array of
-    (hash, pos) from the leaf up, with at most one entry per tree level.
+    (hash, pos) from the leaf up, with one entry per tree level.
     """
     wanted = keys.select("hash").distinct()
-    placed = (
-        wanted.join(txs.select("hash", "height", "blockindex"), "hash")
-        .join(blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root", "numtxs"), "height")
-    )
-    nodes = materialize(merkle_nodes(txs.join(placed.select("height").distinct(), "height", "left_semi")), "nodes")
-    # Levels below the root: the bit length of numtxs - 1.
-    depth = F.when(F.col("numtxs") > 1, F.length(F.bin(F.col("numtxs") - 1))).otherwise(0)
-    steps = placed.withColumn("depth", depth).filter("depth > 0")
-    steps = steps.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)))
-    own = F.expr("shiftright(cast(blockindex as bigint), level)")
-    steps = steps.withColumn("own", own).withColumn("is_right", F.col("own") % 2 == 1)
-    # The last node of an odd level is its own sibling.
-    width = F.expr("shiftright(cast(numtxs as bigint) - 1, level) + 1")
-    sibling = F.when(F.col("is_right"), F.col("own") - 1).otherwise(F.least(F.col("own") + 1, width - 1))
-    steps = steps.withColumn("pos", sibling)
-    side = F.when(F.col("pos") > F.col("own"), "R").otherwise("L").alias("side")
-    branches = (
-        steps.join(nodes, ["height", "level", "pos"])
-        .select("hash", "level", F.struct(F.col("node").alias("hash"), side.alias("pos")).alias("branch"))
-        .groupBy("hash")
-        .agg(F.array_sort(F.collect_list(F.struct("level", "branch"))).alias("steps"))
-        .select("hash", F.transform("steps", lambda s: s["branch"]).alias("branches"))
-    )
-    none = F.array().cast("array<struct<hash:string,pos:string>>")
-    found = F.col("block_hash").isNotNull()
-    return (
-        wanted.join(placed.select("hash", "block_hash", "merkle_root"), "hash", "left")
-        .join(branches, "hash", "left")
-        .select(
-            F.col("hash").alias("tx_hash"),
-            found.alias("found"),
-            "block_hash",
-            "merkle_root",
-            F.when(found, F.coalesce("branches", none)).alias("branches"),
-        )
+    leaves = txs.select("hash", "height", F.col("blockindex").cast("long").alias("pos"))
+    placed = materialize(leaves.join(wanted, "hash", "left_semi"), "placed")
+    passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"))
+    heads = blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root")
+    proofs = placed.join(_paths(placed, passes), ["height", "pos"]).join(heads, "height")
+    return wanted.join(proofs, "hash", "left").select(
+        F.col("hash").alias("tx_hash"),
+        F.col("block_hash").isNotNull().alias("found"),
+        "block_hash",
+        "merkle_root",
+        "branches",
     )
 
 

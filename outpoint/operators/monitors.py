@@ -182,58 +182,62 @@ def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list
     that track descendants, holds one of its parents; only parents that
     arrived before count. A change of a parent can take a transaction away
     from a later monitor, so children of changed transactions are judged
-    again until nothing changes. Each round reads only the changed part and
-    appends its result to a table, from which the newest row per hash counts.
+    again until nothing changes.
+
+    Edges carry what parent and child match on their own, so a round joins
+    them only with the transactions that changed; its result is appended to a
+    log, from which the newest row per hash counts.
     """
     tracking = [i for i, m in enumerate(monitors) if m.track_descendants]
     if not tracking:
         return matches
     spark = txs.sparkSession
-    arrived = txs.select(F.col("hash").alias("prev_hash"), F.col("seq").alias("prev_seq"))
-    edges = materialize(
-        inputs.select("hash", "prev_hash", "seq")
-        .distinct()
-        .join(arrived, "prev_hash")
-        .filter("prev_seq < seq")
-        .select("hash", "prev_hash", "seq"),
-        "edges",
+    own = matches.select("hash", F.col("priority").alias("own"))
+    parent = txs.select("hash", F.col("seq").alias("prev_seq")).join(own, "hash", "left")
+    parent = parent.select(F.col("hash").alias("prev_hash"), "prev_seq", F.col("own").alias("prev_own"))
+    links = inputs.select("hash", "prev_hash", "seq").distinct().join(parent, "prev_hash")
+    edges = materialize(links.filter("prev_seq < seq").drop("prev_seq").join(own, "hash", "left"), "edges")
+    passes_on = reduce(
+        lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i])), tracking, F.lit(False)
     )
     folder = new_path(spark, "assigned")
-    matches.select("hash", "priority").write.parquet(f"{folder}/round=0")
-    passes_on = F.col("priority").isin(tracking)
-    active = reduce(lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i])), tracking, F.lit(False))
-    schema = "hash string, priority int, round int"
-    changed = matches.filter(passes_on).select(F.col("hash").alias("prev_hash"))
+    schema = "hash string, priority int, before int"
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/round=0")
+    changed = matches.filter(F.col("priority").isin(tracking)).select(F.col("hash").alias("prev_hash"))
     step = 0
     while True:
         step += 1
-        log = spark.read.schema(schema).parquet(folder)
-        state = log.groupBy("hash").agg(F.max_by("priority", "round").alias("priority"))
+        log = spark.read.schema(schema + ", round int").parquet(folder)
+        # A row means the hash is not in its own collection any more.
+        newest = log.groupBy("hash").agg(F.max_by(F.struct("priority"), "round").alias("newest"))
         touched = edges.join(changed, "prev_hash", "left_semi").select("hash").distinct()
-        from_parents = (
+        of_parent = newest.select(F.col("hash").alias("prev_hash"), F.col("newest").alias("prev_newest"))
+        held = F.when(F.col("prev_newest").isNotNull(), F.col("prev_newest.priority")).otherwise(F.col("prev_own"))
+        judged = (
             edges.join(touched, "hash", "left_semi")
-            .join(state.withColumnRenamed("hash", "prev_hash"), "prev_hash")
-            .filter(active)
+            .join(of_parent, "prev_hash", "left")
+            .withColumn("priority", held)
             .groupBy("hash")
-            .agg(F.min("priority").alias("inherited"))
-        )
-        judged = (
-            touched.join(matches.withColumnRenamed("priority", "own"), "hash", "left")
-            .join(from_parents, "hash", "left")
-            .join(state.withColumnRenamed("priority", "before"), "hash", "left")
-            .select("hash", F.least("own", "inherited").alias("priority"), "before")
+            .agg(F.min("own").alias("own"), F.min(F.when(passes_on, F.col("priority"))).alias("inherited"))
+            .join(newest, "hash", "left")
+            .select(
+                "hash",
+                F.least("own", "inherited").alias("priority"),
+                F.when(F.col("newest").isNotNull(), F.col("newest.priority")).otherwise(F.col("own")).alias("before"),
+            )
             .filter(~F.col("priority").eqNullSafe(F.col("before")))
         )
         path = f"{folder}/round={step}"
-        judged.select("hash", "priority", "before").write.parquet(path)
-        delta = spark.read.schema("hash string, priority int, before int").parquet(path)
-        moved = delta.filter(passes_on | F.col("before").isin(tracking))
+        judged.write.parquet(path)
+        delta = spark.read.schema(schema).parquet(path)
+        moved = delta.filter(F.col("priority").isin(tracking) | F.col("before").isin(tracking))
         if moved.isEmpty():
             break
         changed = moved.select(F.col("hash").alias("prev_hash"))
-    log = spark.read.schema(schema).parquet(folder)
-    final = log.groupBy("hash").agg(F.max_by("priority", "round").alias("priority"))
-    return final.filter("priority is not null")
+    log = spark.read.schema(schema + ", round int").parquet(folder)
+    newest = log.groupBy("hash").agg(F.max_by("priority", "round").alias("priority"))
+    kept = matches.join(newest.select("hash"), "hash", "left_anti")
+    return kept.unionByName(newest.filter("priority is not null"))
 
 
 def capture(txs: DataFrame, assigned: DataFrame, monitors: list[Monitor]) -> DataFrame:

@@ -63,17 +63,16 @@ def known_owners(utxo: DataFrame) -> DataFrame:
     return utxo.filter(F.col("pubkeyhash") != UNKNOWN)
 
 
-def with_tip(df: DataFrame, blocks: DataFrame, name: str = "tip") -> DataFrame:
-    """Attach the height of the tip (0 without blocks), one row wide."""
-    tip = blocks.agg(F.coalesce(F.max("height"), F.lit(0)).alias(name))
-    return df.crossJoin(F.broadcast(tip))
+def tip_height(blocks: DataFrame) -> Column:
+    """Height of the tip as a scalar subquery, 0 without blocks."""
+    return blocks.agg(F.coalesce(F.max("height"), F.lit(0))).scalar()
 
 
 def balance_by_pubkeyhash(keys: DataFrame, utxo: DataFrame, blocks: DataFrame, complete: int = COMPLETE) -> DataFrame:
     """Balance of each requested key hash; 0/0 when it owns nothing."""
     wanted = keys.select("pubkeyhash").distinct()
     owned = known_owners(utxo).join(wanted, "pubkeyhash", "left_semi")
-    sums = balances(with_tip(owned, blocks), F.col("tip"), complete)
+    sums = balances(owned, tip_height(blocks), complete)
     zero = F.lit(0).cast("long")
     return wanted.join(sums, "pubkeyhash", "left").select(
         "pubkeyhash",

@@ -612,7 +612,7 @@ def j15_chain_linkage(L: Ledger) -> DataFrame:
 
 @query
 def a1_balance(L: Ledger) -> DataFrame:
-    return utxo.balances(utxo.with_tip(L.utxo, L.blocks), F.col("tip"))
+    return utxo.balances(L.utxo, utxo.tip_height(L.blocks))
 
 
 @query
@@ -973,6 +973,6 @@ def balance_report(spark: SparkSession, folder: str) -> DataFrame:
     """Confirmed and unconfirmed balance of every owner, largest first."""
     ledger = Ledger.of(spark, folder)
     owned = utxo.known_owners(utxo.utxo_set(ledger.outputs, ledger.inputs))
-    sums = utxo.balances(utxo.with_tip(owned, ledger.blocks), F.col("tip"))
+    sums = utxo.balances(owned, utxo.tip_height(ledger.blocks))
     names = ledger.source("customer").select("c_name", pubkeyhash_of(F.col("c_custkey")).alias("pubkeyhash"))
     return sums.join(names, "pubkeyhash", "left").orderBy(F.desc("confirmed"), "pubkeyhash")
