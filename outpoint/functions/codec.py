@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,8 +27,11 @@ TX_SCHEMA = (
     "vout array<struct<value:bigint,script:binary>>, "
     "locktime bigint, size bigint"
 )
-HEADER_SCHEMA = (
-    "version int, prev_hash string, merkle_root string, timestamp bigint, bits bigint, nonce bigint"
+HEADER_BYTES = 80
+WINDOW_BYTES = 8 << 20
+BLOCK_TX_SCHEMA = (
+    "offset bigint, version int, prev_hash string, merkle_root string, timestamp bigint, bits bigint, "
+    "nonce bigint, numtxs bigint, blockindex bigint, tx_offset bigint, tx_size bigint, raw_tx binary"
 )
 
 
@@ -209,39 +212,60 @@ def decode_tx_table(df: DataFrame, raw: str = "raw") -> DataFrame:
     return ordered.mapInArrow(decode, ddl)
 
 
+def block_batches(offset: int, read: Callable[[int, int], bytes]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``BLOCK_TX_SCHEMA`` for one block, in batches of bounded size.
+
+    ``read(at, n)`` gives up to n bytes of the block from ``at`` on. Only a
+    window of it is held; the window grows when one transaction is larger.
+    """
+    window = WINDOW_BYTES
+    buf, base = read(0, window), 0
+    head = (offset, *read_header(buf, 0))
+    n, at = read_count(buf, HEADER_BYTES)
+    rows = [] if n else [(*head, 0, None, None, None, None)]
+    held = 0
+    for index in range(n):
+        while True:
+            try:
+                _, end = read_tx(buf, at)
+                if end > len(buf):
+                    raise ValueError("short buffer")
+                break
+            except WIRE_ERRORS:
+                more = read(base + at, max(window, 2 * (len(buf) - at)))
+                if len(more) <= len(buf) - at:
+                    raise
+                buf, base, at = more, base + at, 0
+        rows.append((*head, n, index, base + at, end - at, buf[at:end]))
+        held, at = held + end - at, end
+        if held >= window or len(rows) == PARTS_PER_CHUNK:
+            yield _block_tx_batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _block_tx_batch(rows)
+
+
+def _block_tx_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in BLOCK_TX_SCHEMA.split(", ")]
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    types = [kinds[c.split()[1]] for c in BLOCK_TX_SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=names)
+
+
 def decode_block_table(df: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per transaction of each serialized block in ``df``.
 
     Columns: ``offset``, the header fields, numtxs, blockindex, tx_offset (in
     the block), tx_size and raw_tx. A block without transactions gives one row
-    with null transaction columns. Rows leave in batches of bounded size.
+    with null transaction columns.
     """
-    names = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
-    ddl = f"offset bigint, {HEADER_SCHEMA}, numtxs bigint, blockindex bigint, tx_offset bigint, tx_size bigint, raw_tx binary"
-    head_types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    types = [pa.int64(), *head_types, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    all_names = ["offset", *names, "numtxs", "blockindex", "tx_offset", "tx_size", "raw_tx"]
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], names=all_names)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for offset, buf in zip(batch.column("offset").to_pylist(), batch.column("_raw").to_pylist()):
-                head = (offset, *read_header(buf, 0))
-                n, at = read_count(buf, 80)
-                rows = [] if n else [(*head, 0, None, None, None, None)]
-                for index in range(n):
-                    _, end = read_tx(buf, at)
-                    rows.append((*head, n, index, at, end - at, buf[at:end]))
-                    at = end
-                    if len(rows) == PARTS_PER_CHUNK:
-                        yield as_batch(rows)
-                        rows = []
-                if rows:
-                    yield as_batch(rows)
-
-    return df.select("offset", F.col(raw).alias("_raw")).mapInArrow(decode, ddl)
+                yield from block_batches(offset, lambda at, n, b=buf: b[at : at + n])
+
+    return df.select("offset", F.col(raw).alias("_raw")).mapInArrow(decode, BLOCK_TX_SCHEMA)
 
 
 def tx_record(df: DataFrame) -> Column:

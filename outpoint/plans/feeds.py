@@ -129,7 +129,7 @@ def customer_addresses(ledger: Ledger, damaged: bool = True) -> DataFrame:
 
 
 def block_file(ledger: Ledger, segment_bytes: int = blockfile.SEGMENT_BYTES) -> tuple[str, DataFrame]:
-    """Path of a raw file with all blocks, and its (height, offset, size)."""
+    """Path of a raw file with all blocks, and the places of its pieces."""
     path = new_path(ledger.spark, "blockfile")
     return path, blockfile.write_block_file(ledger.wire_blocks, path, segment_bytes)
 

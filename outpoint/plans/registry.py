@@ -38,7 +38,9 @@ def _once(ledger: Ledger, name: str, make: Callable[[Ledger], object]):
 
 
 def _block_file(ledger: Ledger) -> tuple[str, DataFrame]:
-    return _once(ledger, "block_file", feeds.block_file)
+    """Path of the raw block file and its block index."""
+    path, pieces = _once(ledger, "block_file", feeds.block_file)
+    return path, blockfile.block_index(pieces)
 
 
 def _ingested(ledger: Ledger):
@@ -764,14 +766,11 @@ def q7_tx_entry(L: Ledger) -> DataFrame:
 
 @query
 def q8_tx_hex(L: Ledger) -> DataFrame:
-    path, index = _block_file(L)
+    path, pieces = _once(L, "block_file", feeds.block_file)
     placed = L.tx.join(feeds.keys(L).distinct(), "hash", "left_semi").select("hash", "height", "blockindex")
-    needed = index.join(placed.select("height").distinct(), "height", "left_semi")
-    found = codec.decode_block_table(blockfile.fetch_blocks(needed, path))
-    located = placed.join(index.select("height", "offset"), "height")
-    return located.join(found.select("offset", "blockindex", "raw_tx"), ["offset", "blockindex"]).select(
-        "hash", hashing.to_hex(F.col("raw_tx")).alias("tx")
-    )
+    located = placed.join(blockfile.tx_index(pieces), ["height", "blockindex"]).select("hash", "offset", "size")
+    found = blockfile.fetch_blocks(located, path).select("offset", "raw")
+    return located.join(found, "offset").select("hash", hashing.to_hex(F.col("raw")).alias("tx"))
 
 
 def _collection_text(L: Ledger) -> DataFrame:
@@ -918,7 +917,7 @@ def t10_rebuild(L: Ledger) -> DataFrame:
     have, so the names are put back after decoding.
     """
     path, index = _block_file(L)
-    found = codec.decode_block_table(blockfile.fetch_blocks(index, path))
+    found = blockfile.read_block_txs(index, path)
     names = L.blocks.select(F.col("nonce"), F.col("hash").alias("block_hash"), "height")
     hashes = L.tx.select("hash", "height", "blockindex")
     named = found.join(names, "nonce").join(hashes, ["height", "blockindex"])
