@@ -25,8 +25,21 @@ def epoch_to_utc(seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds, F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 
+def utc_to_micros(wall_clock: Column) -> Column:
+    """Microseconds since the epoch of a UTC wall-clock time.
+
+    The difference of two times without zone is exact; functions that take a
+    timestamp would go through the session time zone and its clock changes.
+    """
+    since = wall_clock.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    day, hour, minute, second = [F.extract(F.lit(part), since) for part in ("DAY", "HOUR", "MINUTE", "SECOND")]
+    minutes = (day.cast("long") * 24 + hour) * 60 + minute
+    return minutes * 60_000_000 + (second * 1_000_000).cast("long")
+
+
 def utc_to_epoch(wall_clock: Column) -> Column:
-    return F.timestamp_diff("SECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), wall_clock.cast("timestamp_ntz"))
+    """Whole seconds since the epoch of a UTC wall-clock time."""
+    return F.floor(utc_to_micros(wall_clock) / 1_000_000)
 
 
 def timestamp_as_string(seconds: Column) -> Column:
@@ -54,7 +67,8 @@ def delay_as_string(seconds: Column) -> Column:
 
 
 def timestamp_age_sec(seconds: Column, now: Column) -> Column:
-    return F.greatest(F.lit(0).cast("long"), now.cast("long") - seconds.cast("long"))
+    age = now.cast("long") - seconds.cast("long")
+    return F.when(age.isNotNull(), F.greatest(F.lit(0).cast("long"), age))
 
 
 def hex8(value: Column) -> Column:

@@ -941,10 +941,8 @@ def t10_rebuild(L: Ledger) -> DataFrame:
 
 
 def _requests(events: DataFrame) -> DataFrame:
-    wall = F.col("ts").cast("timestamp_ntz")
-    micros = F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), wall)
     client = throttle.client_key(F.lit(None).cast("string"), F.col("user_id").cast("string"))
-    return events.select(client.alias("client"), micros.alias("t"), F.col("event_id").alias("id"))
+    return events.select(client.alias("client"), display.utc_to_micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"))
 
 
 @query

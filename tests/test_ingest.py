@@ -1,0 +1,124 @@
+import pytest
+from pyspark.sql import functions as F
+
+from outpoint.streaming.ingest import FEED_SCHEMA, LedgerLog, ingest_batch, ingest_stream
+
+KEY = "76a914" + "ab" * 20 + "88ac"
+COLUMNS = [c.split()[0] for c in FEED_SCHEMA.split(", ")]
+
+
+def row(**values):
+    return tuple(values.get(c) for c in COLUMNS)
+
+
+def header(at, name, parent, n=0):
+    return [row(arrival=at, kind="header", hash=name, prev_hash=parent, merkle_root="m", timestamp=at, numtxs=n)]
+
+
+def tx(at, name, spends, pays, block=None, index=None):
+    """A transaction that spends outpoints and pays (satoshis, script) outputs."""
+    place = {"arrival": at, "hash": name, "block_hash": block, "blockindex": index}
+    rows = [row(kind="tx", time=1000 + at, txsize=100, locktime=0, **place)]
+    rows += [row(kind="in", n=i, spent_hash=h, spent_index=k, **place) for i, (h, k) in enumerate(spends)]
+    rows += [row(kind="out", n=i, satoshis=v, script_hex=s, **place) for i, (v, s) in enumerate(pays)]
+    return rows
+
+
+@pytest.fixture
+def log(spark, tmp_path):
+    return LedgerLog(spark, str(tmp_path / "log"), "b0", 0).start()
+
+
+def apply(spark, log, batch, *messages):
+    rows = [r for m in messages for r in m]
+    ingest_batch(log, spark.createDataFrame(rows, FEED_SCHEMA), batch)
+
+
+def unspent(log):
+    return {(r["hash"], r["pos"]): r["height"] for r in log.utxo().collect()}
+
+
+def heights(log):
+    return {r["hash"]: r["height"] for r in log.read("blocks").collect()}
+
+
+def test_blocks_out_of_order(spark, log):
+    coin1 = tx(30, "c1", [("00", 0)], [(50, KEY)], "b1", 0)
+    coin2 = tx(10, "c2", [("00", 0)], [(50, KEY), (0, "006a")], "b2", 0)
+    pay2 = tx(10, "p2", [("c1", 0)], [(20, KEY)], "b2", 1)
+    apply(spark, log, 0, header(10, "b2", "b1", 2), coin2, pay2, header(11, "x2", "b1"))
+    assert heights(log) == {} and unspent(log) == {}
+    # The parent arrives, with a second copy of a block that waits.
+    apply(spark, log, 1, header(20, "b2", "b1", 2), tx(20, "p2", [("c1", 0)], [(20, KEY)], "b2", 1))
+    apply(spark, log, 2, header(30, "b1", "b0", 1), coin1, header(31, "b4", "b3"))
+    assert heights(log) == {"b1": 1, "b2": 2}
+    assert unspent(log) == {("c2", 0): 2, ("p2", 0): 2}
+    assert {r["hash"] for r in log.read_batch("pending", 2).collect()} == {"b4"}
+    assert {r["hash"] for r in log.read("rejected").collect()} == {"x2"}
+    assert sorted(r["hash"] for r in log.read("tx").collect()) == ["c1", "c2", "p2"]
+    # Late children of parents that are in the chain are rejected too.
+    apply(spark, log, 3, header(40, "y1", "b0"), header(41, "b3", "b2"))
+    assert heights(log) == {"b1": 1, "b2": 2, "b3": 3, "b4": 4}
+    assert log.tip() == ("b4", 4)
+
+
+def test_loose_then_confirmed(spark, log):
+    apply(spark, log, 0, header(1, "b1", "b0", 1), tx(1, "c1", [("00", 0)], [(50, KEY), (9, KEY)], "b1", 0))
+    apply(
+        spark,
+        log,
+        1,
+        tx(5, "t1", [("c1", 0)], [(45, KEY)]),
+        tx(6, "t2", [("t1", 0)], [(41, KEY)]),
+        tx(7, "t1", [("c1", 0)], [(45, KEY)]),
+        tx(8, "lost", [("nowhere", 0)], [(1, KEY)]),
+        tx(9, "c1", [("00", 0)], [(50, KEY), (9, KEY)]),
+    )
+    fees = {r["hash"]: (r["fee"], r["time"]) for r in log.mempool().collect()}
+    assert fees == {"t1": (5, 1005), "t2": (4, 1006), "lost": (0, 1008)}
+    assert unspent(log) == {("c1", 1): 1, ("t2", 0): -1, ("lost", 0): -1}
+    apply(
+        spark,
+        log,
+        2,
+        header(20, "b2", "b1", 2),
+        tx(20, "c2", [("00", 0)], [(50, KEY)], "b2", 0),
+        tx(20, "t1", [("c1", 0)], [(45, KEY)], "b2", 1),
+        tx(20, "t2", [("t1", 0)], [(41, KEY)], "b2", 2),
+    )
+    assert {r["hash"] for r in log.mempool().collect()} == {"lost"}
+    assert unspent(log) == {("c1", 1): 1, ("t2", 0): 2, ("c2", 0): 2, ("lost", 0): -1}
+
+
+def test_child_before_parent(spark, log):
+    apply(spark, log, 0, tx(1, "child", [("parent", 0)], [(5, KEY)]))
+    apply(spark, log, 1, tx(2, "parent", [("00", 1)], [(7, KEY), (8, KEY)]))
+    assert unspent(log) == {("child", 0): -1, ("parent", 1): -1}
+    assert {r["hash"]: r["fee"] for r in log.mempool().collect()} == {"child": 0, "parent": 0}
+
+
+def test_a_batch_may_run_again(spark, log):
+    first = [header(1, "b1", "b0", 1), tx(1, "c1", [("00", 0)], [(50, KEY)], "b1", 0)]
+    second = [tx(5, "t1", [("c1", 0)], [(45, KEY)])]
+    apply(spark, log, 0, *first)
+    apply(spark, log, 0, *first)
+    apply(spark, log, 1, *second)
+    apply(spark, log, 1, *second)
+    assert unspent(log) == {("t1", 0): -1}
+    assert [r["fee"] for r in log.mempool().collect()] == [5]
+    assert log.read("blocks").count() == 1
+
+
+def test_as_a_stream(spark, log, tmp_path):
+    landing, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    parts = [
+        header(2, "b2", "b1") + tx(3, "t", [("c", 0)], [(4, KEY)]),
+        header(5, "b1", "b0", 1) + tx(5, "c", [("00", 0)], [(9, KEY)], "b1", 0),
+    ]
+    for part in parts:
+        spark.createDataFrame(part, FEED_SCHEMA).write.mode("append").parquet(landing)
+        feed = spark.readStream.schema(FEED_SCHEMA).parquet(landing)
+        ingest_stream(feed, log, state).awaitTermination()
+    assert heights(log) == {"b1": 1, "b2": 2}
+    assert unspent(log) == {("t", 0): -1}
+    assert log.read("blocks").filter(F.col("height") > 2).count() == 0
