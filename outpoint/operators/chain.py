@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from .ordering import previous_value, row_position
 # Fixed values.
 CAUGHT_UP_SEC = 600
 
+# Pointer moves per round: fewer rounds to write, for more joins in each.
+HOPS = 3
+
 
 def first_arrivals(arrivals: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """One row per hash, the first to arrive; hashes in ``known`` are dropped."""
@@ -33,9 +38,11 @@ def link_chain(blocks: DataFrame, start_hash: str) -> DataFrame:
     """(hash, distance): number of steps from the start, null when not linked.
 
     Each parent has at most one child in ``blocks``. Every row points at an
-    ancestor and each round doubles how far it points, so n blocks take
-    log2(n) rounds. Rows that reached the start or a missing parent are set
-    aside; the others all point at different ancestors, so no key is hot.
+    ancestor, and a round moves all pointers ``HOPS`` times along those of the
+    round before, so they reach ``HOPS + 1`` times as far: n blocks take a
+    logarithmic number of rounds. Rows that reached the start or a missing
+    parent are set aside. The others point at different ancestors, and rows
+    that are done within a round look up themselves, so no key is hot.
     """
     known = blocks.select(F.col("hash").alias("_parent"))
     pointers = (
@@ -52,30 +59,26 @@ def link_chain(blocks: DataFrame, start_hash: str) -> DataFrame:
     finished = []
     while True:
         finished.append(current.filter("done"))
-        if current.filter("not done").isEmpty():
+        moving = current.filter("not done")
+        if moving.isEmpty():
             break
-        target = current
-        for earlier in finished[:-1]:
-            target = target.unionByName(earlier)
-        target = target.select(
-            F.col("hash").alias("ancestor"),
+        target = reduce(DataFrame.unionByName, finished[:-1], current).select(
+            F.col("hash").alias("_at"),
             F.col("ancestor").alias("_next"),
             F.col("steps").alias("_more"),
             F.col("done").alias("_done"),
         )
-        hop = current.filter("not done").join(target, "ancestor")
-        current = materialize(
-            hop.select(
+        for _ in range(HOPS):
+            at = F.when(F.col("done"), F.col("hash")).otherwise(F.col("ancestor"))
+            step = F.when(F.col("done"), F.lit(0).cast("long")).otherwise(F.col("_more"))
+            moving = moving.withColumn("_at", at).join(target, "_at").select(
                 "hash",
-                F.col("_next").alias("ancestor"),
-                (F.col("steps") + F.col("_more")).alias("steps"),
-                F.col("_done").alias("done"),
-            ),
-            "chain",
-        )
-    out = finished[0]
-    for part in finished[1:]:
-        out = out.unionByName(part)
+                F.when(F.col("done"), F.col("ancestor")).otherwise(F.col("_next")).alias("ancestor"),
+                (F.col("steps") + step).alias("steps"),
+                (F.col("done") | F.col("_done")).alias("done"),
+            )
+        current = materialize(moving, "chain")
+    out = reduce(DataFrame.unionByName, finished)
     return out.select("hash", F.when(F.col("ancestor") == start_hash, F.col("steps")).alias("distance"))
 
 

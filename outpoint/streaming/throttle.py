@@ -17,11 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-SHARD_WINDOWS = 4
+SHARD_WINDOWS = 16
+BATCH_ROWS = 10_000
 # Fixed values.
 WINDOW_MICROS = 60_000_000
 UNKNOWN_CLIENT = "unknown"
@@ -43,21 +45,66 @@ def _last_starts(times: np.ndarray, window: int) -> np.ndarray:
     return times[last]
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(client, shard, times, opens) of each shard, from rows sorted by them."""
+    key, held, opens = None, [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shard, times = batch.column("shard").to_numpy(), batch.column("t").to_numpy()
+        # Equal clients get equal codes, so that breaks are found at once.
+        coded = batch.column("client").dictionary_encode()
+        codes, clients = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = batch.column("opens").to_pylist() if "opens" in batch.schema.names else None
+        breaks = np.flatnonzero((codes[1:] != codes[:-1]) | (shard[1:] != shard[:-1])) + 1
+        cuts = [0, *breaks.tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = (clients[codes[a]], int(shard[a]))
+            if at != key:
+                if held:
+                    yield *key, np.concatenate(held), opens
+                key, held, opens = at, [], first and first[a]
+            held.append(times[a:b])
+    if held:
+        yield *key, np.concatenate(held), opens
+
+
+def _batches(rows: Iterator[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Column pieces of many shards, put together in batches."""
+    held, count = [], 0
+    for row in rows:
+        held.append(row)
+        count += len(row[-1])
+        if count >= BATCH_ROWS:
+            yield _joined(held, names)
+            held, count = [], 0
+    if held:
+        yield _joined(held, names)
+
+
+def _joined(held: list[tuple], names: list[str]) -> pa.RecordBatch:
+    sizes = [len(row[-1]) for row in held]
+    columns = [
+        pa.array([row[0] for row in held], pa.string()).take(pa.array(np.repeat(np.arange(len(held)), sizes))),
+        pa.array(np.repeat([row[1] for row in held], sizes)),
+    ]
+    columns += [pa.array(np.concatenate([row[i] for row in held])) for i in range(2, len(names))]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def _summaries(window: int):
     """Per shard: runs of possible first starts that end in the same start."""
 
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy())
-        opening = int(pdf["shard"].iloc[0]) * window * SHARD_WINDOWS
+    def of_shard(run: tuple) -> tuple:
+        client, shard, times, _ = run
+        opening = shard * window * SHARD_WINDOWS
         # A window open from before ends within the first window of the shard.
         n = int(np.searchsorted(times, opening + window)) + 1
         upto, last = times[:n], _last_starts(times, window)[:n]
         ends = np.append(last[1:] != last[:-1], True)[: len(last)]
-        return pd.DataFrame(
-            {"client": pdf["client"].iloc[0], "shard": pdf["shard"].iloc[0], "upto": upto[ends], "last": last[ends]}
-        )
+        return client, shard, upto[ends], last[ends]
 
-    return summarize
+    return lambda batches: _batches(map(of_shard, _runs(batches)), ["client", "shard", "upto", "last"])
 
 
 def _entries(window: int):
@@ -83,33 +130,30 @@ def _entries(window: int):
 def _starts(window: int):
     """All window starts of a shard, given when it may start one."""
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["t"].to_numpy())
-        opens = pdf["opens"].iloc[0]
-        at = 0 if pd.isna(opens) else int(np.searchsorted(times, int(opens)))
+    def of_shard(run: tuple) -> tuple:
+        client, shard, times, opens = run
+        at = 0 if opens is None else int(np.searchsorted(times, opens))
         starts = []
         while at < len(times):
-            starts.append(int(times[at]))
+            starts.append(times[at])
             at = int(np.searchsorted(times, times[at] + window))
-        return pd.DataFrame({"client": pdf["client"].iloc[0], "shard": pdf["shard"].iloc[0], "start": starts})
+        return client, shard, np.array(starts, dtype=np.int64)
 
-    return chain
+    return lambda batches: _batches(map(of_shard, _runs(batches)), ["client", "shard", "start"])
 
 
 def window_starts(requests: DataFrame, window: int = WINDOW_MICROS) -> DataFrame:
     """(client, shard, start) of every window; requests have client and t."""
     span = window * SHARD_WINDOWS
     times = requests.select("client", F.expr(f"t div {span}").alias("shard"), "t").distinct()
-    runs = times.groupBy("client", "shard").applyInPandas(
+    keys = ["client", "shard"]
+    runs = times.repartition(*keys).sortWithinPartitions(*keys, "t").mapInArrow(
         _summaries(window), "client string, shard bigint, upto bigint, last bigint"
     )
-    in_order = runs.repartition("client").sortWithinPartitions("client", "shard", "upto")
+    in_order = runs.repartition("client").sortWithinPartitions(*keys, "upto")
     entries = in_order.mapInPandas(_entries(window), "client string, shard bigint, opens bigint")
-    return (
-        times.join(entries, ["client", "shard"])
-        .groupBy("client", "shard")
-        .applyInPandas(_starts(window), "client string, shard bigint, start bigint")
-    )
+    placed = times.join(entries, keys).repartition(*keys).sortWithinPartitions(*keys, "t")
+    return placed.mapInArrow(_starts(window), "client string, shard bigint, start bigint")
 
 
 def throttle(requests: DataFrame, limit: int, window: int = WINDOW_MICROS) -> DataFrame:
