@@ -20,6 +20,8 @@ from ..session import materialize, new_path
 BROADCAST = "broadcast"
 FOREVER = 2**63 - 1
 
+MAX_MONITORS = 1000
+
 
 @dataclass(frozen=True)
 class Monitor:
@@ -47,6 +49,19 @@ def monitors_frame(spark: SparkSession, monitors: list[Monitor]) -> DataFrame:
     return spark.createDataFrame(rows, MONITOR_SCHEMA)
 
 
+def monitors_of(table: DataFrame) -> list[Monitor]:
+    """Monitors from a table with ``MONITOR_SCHEMA``, in ``position`` order if it has one.
+
+    They become conditions in the plan, so their number is checked.
+    """
+    names = [c.split()[0] for c in MONITOR_SCHEMA.split(", ")]
+    ordered = table.orderBy("position") if "position" in table.columns else table
+    rows = ordered.select(*names).limit(MAX_MONITORS + 1).collect()
+    if len(rows) > MAX_MONITORS:
+        raise ValueError(f"more than {MAX_MONITORS} monitors")
+    return [Monitor(*row) for row in rows]
+
+
 def with_patterns(spark: SparkSession, monitors: list[Monitor], network: str) -> list[Monitor]:
     """Monitors whose address, which wins over a pattern, became a pattern.
 

@@ -720,8 +720,14 @@ def w9_last_block(L: Ledger) -> DataFrame:
 
 
 def _customers(L: Ledger) -> DataFrame:
-    addresses = feeds.customer_addresses(L, damaged=False)
-    return scripts.address_to_pubkeyhash(addresses).select("c_custkey", "pubkeyhash")
+    """Customers by the key hash that their address decodes to."""
+
+    def resolve(ledger: Ledger) -> DataFrame:
+        addresses = feeds.customer_addresses(ledger, damaged=False)
+        found = scripts.address_to_pubkeyhash(addresses).select("c_custkey", "pubkeyhash")
+        return materialize(found, "customers")
+
+    return _once(L, "customers", resolve)
 
 
 @query

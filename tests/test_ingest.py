@@ -109,6 +109,25 @@ def test_a_batch_may_run_again(spark, log):
     assert log.read("blocks").count() == 1
 
 
+def test_compaction_keeps_the_state(spark, log, tmp_path):
+    apply(spark, log, 0, header(1, "b1", "b0", 1), tx(1, "c1", [("00", 0)], [(50, KEY)], "b1", 0))
+    apply(
+        spark,
+        log,
+        1,
+        tx(2, "t1", [("c1", 0)], [(45, KEY)]),
+        tx(3, "early", [("parent", 0)], [(1, KEY)]),
+        header(4, "b3", "b2", 1),
+        tx(4, "c3", [("00", 0)], [(50, KEY)], "b3", 0),
+    )
+    small = log.compact(str(tmp_path / "compact"))
+    assert unspent(small) == unspent(log) == {("t1", 0): -1, ("early", 0): -1}
+    assert small.read("created").count() == 2 and small.read("spent").filter("hash = 'c1'").count() == 0
+    apply(spark, small, 2, tx(5, "parent", [("t1", 0)], [(5, KEY), (40, KEY)]), header(6, "b2", "b1"))
+    assert unspent(small) == {("early", 0): -1, ("parent", 1): -1, ("c3", 0): 3}
+    assert heights(small) == {"b1": 1, "b2": 2, "b3": 3}
+
+
 def test_as_a_stream(spark, log, tmp_path):
     landing, state = str(tmp_path / "feed"), str(tmp_path / "state")
     parts = [

@@ -116,6 +116,17 @@ def test_checks(spark):
     assert verdicts == {"s": "not dynamic", "d": None, "?": "bad name", "u": "unknown name"}
 
 
+def test_monitors_from_a_table(spark, monkeypatch):
+    rules = [Monitor("b", True, None, "aa"), Monitor("a", False, "x", None, 3, 9)]
+    table = monitors.monitors_frame(spark, rules)
+    assert sorted(monitors.monitors_of(table), key=lambda m: m.name) == rules[::-1]
+    numbered = table.withColumn("position", F.when(F.col("name") == "a", 2).otherwise(1))
+    assert monitors.monitors_of(numbered) == rules
+    monkeypatch.setattr(monitors, "MAX_MONITORS", 1)
+    with pytest.raises(ValueError):
+        monitors.monitors_of(table)
+
+
 def test_order_of_monitors(spark):
     schema = "position bigint, name string, track_descendants boolean, address string, locking_script_pattern string"
     row = lambda i, n, p="aa": (i, n, False, None, p)
