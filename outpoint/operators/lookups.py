@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import display, validate
+from ..functions import codec, display, hashing, validate
 from ..functions.hashing import header_hex
 from .utxo import spent_flags
 
@@ -136,12 +136,29 @@ def hex_from_collection(keys: DataFrame, collection: DataFrame) -> DataFrame:
 
 
 def admit_broadcasts(submitted: DataFrame, known: DataFrame, max_bytes: int = validate.MAX_TX_BYTES) -> DataFrame:
-    """Verdict on submitted transactions (hash, tx): accepted and reason."""
-    check = validate.check_tx_hex(F.col("tx"), max_bytes)
-    seen = known.select("hash").distinct().withColumn("_known", F.lit(True))
-    judged = submitted.withColumn("_reason", check["reason"]).join(seen, "hash", "left")
-    reason = F.coalesce("_reason", F.when(F.col("_known"), F.concat(F.lit("already exists: "), F.col("hash"))))
-    return judged.select("hash", reason.isNull().alias("accepted"), reason.alias("reason"))
+    """Rows of ``submitted`` with txid, accepted and reason instead of ``tx``.
+
+    ``tx`` is the serialized transaction as hex; bytes behind its end are not
+    part of it. ``known`` has the hashes that exist already.
+    """
+    kept = [c for c in submitted.columns if c != "tx"]
+    checked = submitted.withColumn("_reason", validate.check_tx_hex(F.col("tx"), max_bytes)["reason"])
+    raw = F.when(F.col("_reason").isNull(), F.unhex("tx"))
+    decoded = codec.decode_tx_table(
+        checked.select(*kept, "_reason", raw.alias("_bytes"), raw.alias("raw"))
+    )
+    own = F.expr("substring(_bytes, 1, int(size))")
+    named = decoded.select(
+        *kept,
+        F.when(F.col("size").isNotNull(), hashing.txid(own)).alias("txid"),
+        F.coalesce("_reason", F.when(F.col("size").isNull(), "not a transaction")).alias("_reason"),
+    )
+    seen = known.select(F.col("hash").alias("txid")).distinct().withColumn("_known", F.lit(True))
+    exists = F.when(F.col("_known"), F.concat(F.lit("already exists: "), F.col("txid")))
+    reason = F.coalesce("_reason", exists)
+    return named.join(seen, "txid", "left").select(
+        *kept, "txid", reason.isNull().alias("accepted"), reason.alias("reason")
+    )
 
 
 def inventory_counts(objects: DataFrame, by: list[str], code: Column) -> DataFrame:

@@ -260,7 +260,7 @@ def capture(txs: DataFrame, assigned: DataFrame, monitors: list[Monitor]) -> Dat
 
     A locally submitted transaction that no monitor took goes to ``broadcast``.
     """
-    named = F.array(*[F.lit(m.name) for m in monitors])
+    named = F.array(*[F.lit(m.name) for m in monitors]).cast("array<string>")
     taken = txs.select("hash", "submitted").join(assigned, "hash", "left")
     name = F.coalesce(F.get(named, F.col("priority")), F.when(F.col("submitted"), F.lit(BROADCAST)))
     return taken.select("hash", name.alias("name")).filter("name is not null")

@@ -14,7 +14,7 @@ from ..functions.scripts import BASE58_DIGITS, lock_script
 from ..session import new_path
 from ..sources import blockfile
 from ..streaming.ingest import FEED_SCHEMA, LedgerLog, ingest_stream
-from .view import FIRST_HEIGHT, Ledger, pubkeyhash_of, tagged_hash
+from .view import FIRST_HEIGHT, MONITORS, Ledger, pubkeyhash_of, tagged_hash
 
 # Fixed values of the view.
 CUT = 883612800
@@ -173,8 +173,9 @@ def ingest_feed(ledger: Ledger) -> list[DataFrame]:
         "blockindex": F.col("blockindex"),
     }
     txs = rows(
-        place(ledger.tx_sizes.select("hash", "height", "blockindex", "seq", "time", "txsize")),
+        place(ledger.tx_sizes.select("hash", "height", "blockindex", "seq", "time", "txsize", "submitted")),
         "tx",
+        submitted=F.col("submitted"),
         time=F.col("time"),
         txsize=F.col("txsize"),
         locktime=F.lit(0),
@@ -210,7 +211,7 @@ def run_ingest(ledger: Ledger) -> LedgerLog:
     spark = ledger.spark
     landing = new_path(spark, "feed")
     checkpoint = new_path(spark, "feed-state")
-    log = LedgerLog(spark, new_path(spark, "log"), START_HASH, START_HEIGHT).start()
+    log = LedgerLog(spark, new_path(spark, "log"), START_HASH, START_HEIGHT, MONITORS).start()
     for part in ingest_feed(ledger):
         part.write.mode("append").parquet(landing)
         feed = spark.readStream.schema(FEED_SCHEMA).parquet(landing)

@@ -525,9 +525,16 @@ def _queries() -> dict[str, str]:
         WHEN regexp_matches(script_hex, '76a9140[0-9a-f]{{39}}88ac') AND seq < ({CUT} // 86400) * 1099511627776 THEN 1
         END) AS priority FROM outs GROUP BY hash HAVING priority IS NOT NULL"""
     q["t8_broadcast_capture"] = "SELECT hash FROM collection WHERE name = 'broadcast'"
-    q["t9_broadcast_admission"] = """SELECT hash, reason IS NULL AS accepted, reason FROM (SELECT r.hash, CASE
-        WHEN length(r.tx) / 2 > 300 THEN 'too large' WHEN NOT t.is_mem THEN 'already exists: ' || r.hash END reason
-      FROM raw r JOIN txs t ON r.hash = t.hash)"""
+    q["t8_stream_collections"] = "SELECT hash, name FROM collection"
+    q["t9_broadcast_admission"] = f"""SELECT hash, CASE WHEN fault IS NULL THEN txid END txid,
+        fault IS NULL AND txid NOT IN (SELECT {rev(h256('r.tx'))} FROM raw r JOIN tx t ON r.hash = t.hash) AS accepted,
+        CASE WHEN fault IS NOT NULL THEN fault
+          WHEN txid IN (SELECT {rev(h256('r.tx'))} FROM raw r JOIN tx t ON r.hash = t.hash)
+          THEN 'already exists: ' || txid END reason
+      FROM (SELECT x.hash, {rev(h256('x.tx'))} txid, CASE
+          WHEN length(x.tx) / 2 - (CASE WHEN y.submitted THEN 1 ELSE 0 END) > 300 THEN 'too large'
+          WHEN y.submitted THEN 'not a transaction' END fault
+        FROM raw x JOIN txs y ON x.hash = y.hash)"""
     q["t10_rebuild"] = """SELECT hash, pos, satoshis, height, pubkeyhash FROM created c WHERE height >= 0 AND NOT EXISTS
       (SELECT 1 FROM ins i WHERE i.prev_hash = c.hash AND i.prev_index = c.pos AND i.blockindex > 0)"""
     q["t11_throttle"] = """WITH RECURSIVE r AS (SELECT event_id id, user_id, epoch_us(ts) t FROM events),

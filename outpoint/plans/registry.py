@@ -910,9 +910,18 @@ def t8_broadcast_capture(L: Ledger) -> DataFrame:
     return captured.filter(F.col("name") == monitors.BROADCAST).select("hash")
 
 
+@query
+def t8_stream_collections(L: Ledger) -> DataFrame:
+    return _ingested(L).read("collection")
+
+
 @query
 def t9_broadcast_admission(L: Ledger) -> DataFrame:
-    return lookups.admit_broadcasts(_raw_hex(L), L.tx, 300)
+    """All transactions are sent in again, some of them without the last byte."""
+    text = _raw_hex(L).join(L.txs.select("hash", "submitted"), "hash")
+    cut = F.when(F.col("submitted"), F.expr("substr(tx, 1, length(tx) - 2)")).otherwise(F.col("tx"))
+    known = codec.txids(L.raw).join(L.tx, "hash", "left_semi").select(F.col("txid").alias("hash"))
+    return lookups.admit_broadcasts(text.select("hash", cut.alias("tx")), known, 300)
 
 
 @query

@@ -75,7 +75,9 @@ class Ledger:
         if build is None:
             raise AttributeError(name)
         if name not in self._tables:
-            self._tables[name] = materialize(build(self), name)
+            # One folder per collection, so that reading one leaves out the others.
+            folders = ("name",) if name == "collection" else ()
+            self._tables[name] = materialize(build(self), name, folders)
         return self._tables[name]
 
     def _build_txs(self) -> DataFrame:

@@ -30,11 +30,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write a frame as Parquet and read it back, which cuts its lineage.
 
     Unlike a cached frame the result survives the loss of any executor.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

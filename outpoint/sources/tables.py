@@ -36,6 +36,11 @@ def scan_blocks(blocks: DataFrame) -> DataFrame:
     return split_undecodable(blocks)[0].orderBy("height")
 
 
+def next_height(blocks: DataFrame) -> DataFrame:
+    """Height that the next block gets: one row, 0 when there are no blocks."""
+    return blocks.agg(F.coalesce(F.max("height") + 1, F.lit(0).cast("long")).alias("next_height"))
+
+
 def scan_tx(tx: DataFrame) -> DataFrame:
     return split_undecodable(tx)[0].select("hash", "height").orderBy("height")
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from outpoint.operators.monitors import Monitor
 from outpoint.streaming.ingest import FEED_SCHEMA, LedgerLog, ingest_batch, ingest_stream
 
 KEY = "76a914" + "ab" * 20 + "88ac"
@@ -15,10 +16,10 @@ def header(at, name, parent, n=0):
     return [row(arrival=at, kind="header", hash=name, prev_hash=parent, merkle_root="m", timestamp=at, numtxs=n)]
 
 
-def tx(at, name, spends, pays, block=None, index=None):
+def tx(at, name, spends, pays, block=None, index=None, submitted=None):
     """A transaction that spends outpoints and pays (satoshis, script) outputs."""
     place = {"arrival": at, "hash": name, "block_hash": block, "blockindex": index}
-    rows = [row(kind="tx", time=1000 + at, txsize=100, locktime=0, **place)]
+    rows = [row(kind="tx", time=1000 + at, txsize=100, locktime=0, submitted=submitted, **place)]
     rows += [row(kind="in", n=i, spent_hash=h, spent_index=k, **place) for i, (h, k) in enumerate(spends)]
     rows += [row(kind="out", n=i, satoshis=v, script_hex=s, **place) for i, (v, s) in enumerate(pays)]
     return rows
@@ -109,6 +110,41 @@ def test_a_batch_may_run_again(spark, log):
     assert log.read("blocks").count() == 1
 
 
+def test_collections_over_time(spark, tmp_path):
+    rules = [Monitor("coin", True, None, "c0ff"), Monitor("note", False, None, "006a")]
+    log = LedgerLog(spark, str(tmp_path / "log"), "b0", 0, rules).start()
+    apply(
+        spark,
+        log,
+        0,
+        tx(1, "child", [("mother", 0)], [(1, KEY)]),
+        tx(2, "mother", [("00", 0)], [(1, "c0ffee")]),
+        tx(3, "second", [("mother", 1)], [(0, "006a")]),
+        tx(4, "third", [("second", 0)], [(1, KEY)]),
+        tx(5, "sent", [("00", 5)], [(1, KEY)], submitted=True),
+        tx(6, "plain", [("00", 6)], [(1, KEY)]),
+    )
+    taken = lambda: {r["hash"]: r["name"] for r in log.read("collection").collect()}
+    expected = {"mother": "coin", "second": "coin", "third": "coin", "sent": "broadcast"}
+    assert taken() == expected
+    # Confirmed now, the child is seen after its parent; held ones stay as they are.
+    log.monitors = [Monitor("new", False, None, KEY), *rules]
+    apply(
+        spark,
+        log,
+        1,
+        header(9, "b1", "b0", 2),
+        tx(9, "child", [("mother", 0)], [(1, "51")], "b1", 0),
+        tx(9, "third", [("second", 0)], [(1, KEY)], "b1", 1),
+        tx(10, "fresh", [("00", 7)], [(1, KEY)]),
+    )
+    assert taken() == {**expected, "child": "coin", "fresh": "new"}
+    # A deleted monitor takes nothing any more.
+    log.monitors = rules[1:]
+    apply(spark, log, 2, tx(12, "late", [("third", 0)], [(1, "c0ff")]))
+    assert "late" not in taken() and taken()["third"] == "coin"
+
+
 def test_compaction_keeps_the_state(spark, log, tmp_path):
     apply(spark, log, 0, header(1, "b1", "b0", 1), tx(1, "c1", [("00", 0)], [(50, KEY)], "b1", 0))
     apply(

@@ -154,12 +154,25 @@ def test_existence_without_the_tx_table(spark):
 
 
 def test_admission(spark):
-    rows = [("a", "00ff"), ("b", "00f"), ("c", "zz"), ("d", "00" * 9), ("e", "00")]
-    submitted = spark.createDataFrame(rows, "hash string, tx string")
-    known = spark.createDataFrame([("e",), ("e",)], "hash string")
-    out = {r["hash"]: (r["accepted"], r["reason"]) for r in lookups.admit_broadcasts(submitted, known, 8).collect()}
-    assert out["a"] == (True, None) and out["d"] == (False, "too large")
-    assert out["e"] == (False, "already exists: e") and not out["b"][0] and not out["c"][0]
+    import hashlib
+
+    good = "01000000" + "00" + "01" + "0500000000000000" + "0151" + "00000000"
+    other = "02" + good[2:]
+    ids = [hashlib.sha256(hashlib.sha256(bytes.fromhex(x)).digest()).digest()[::-1].hex() for x in (good, other)]
+    rows = [(1, good), (2, other), (3, good + "ffff"), (4, good[:-2]), (5, "00f"), (6, "zz"), (7, "00" * 90), (8, None)]
+    submitted = spark.createDataFrame(rows, "i int, tx string")
+    known = spark.createDataFrame([(ids[1],), (ids[1],)], "hash string")
+    out = {r["i"]: (r["txid"], r["reason"]) for r in lookups.admit_broadcasts(submitted, known, 80).collect()}
+    assert out == {
+        1: (ids[0], None),
+        2: (ids[1], f"already exists: {ids[1]}"),
+        3: (ids[0], None),
+        4: (None, "not a transaction"),
+        5: (None, "empty or odd length"),
+        6: (None, "not hex"),
+        7: (None, "too large"),
+        8: (None, "missing"),
+    }
 
 
 def test_offset_repair(spark):
