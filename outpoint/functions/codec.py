@@ -112,6 +112,20 @@ def txids(raw: DataFrame) -> DataFrame:
     return whole.unionByName(chunks.select("hash", "raw").mapInArrow(_hash_chunks, "hash string, txid string"))
 
 
+def whole_transactions(raw: DataFrame) -> DataFrame:
+    """(hash, raw): each serialized transaction as one value.
+
+    Tables that hold a transaction as one value need this. Only transactions
+    of several chunks are put together; a value over Spark's limit of 2 GiB
+    fails, it is not left out.
+    """
+    large = raw.filter("chunk > 0").select("hash").distinct()
+    in_order = F.array_sort(F.collect_list(F.struct("chunk", F.hex("raw").alias("digits"))))
+    joined = F.unhex(F.array_join(F.transform(in_order, lambda c: c["digits"]), ""))
+    put_together = raw.join(large, "hash", "left_semi").groupBy("hash").agg(joined.alias("raw"))
+    return raw.join(large, "hash", "left_anti").select("hash", "raw").unionByName(put_together)
+
+
 def block_pieces(blocks: DataFrame, raw: DataFrame) -> DataFrame:
     """(height, blockindex, chunk, data): pieces of serialized blocks.
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
+# Setting that changes the size up to which a group is sorted in one task.
+MAX_GROUP_ROWS_KEY = "outpoint.maxGroupRows"
 MAX_GROUP_ROWS = 2_000_000
 
 
@@ -25,6 +27,11 @@ def largest_group(df: DataFrame, group: list[str]) -> int:
     return top or 0
 
 
+def _fits(df: DataFrame, group: list[str], max_group_rows: int | None) -> bool:
+    limit = max_group_rows or int(df.sparkSession.conf.get(MAX_GROUP_ROWS_KEY, str(MAX_GROUP_ROWS)))
+    return largest_group(df, group) <= limit
+
+
 def _pieces(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Rows with a piece number; pieces of a group follow its order.
 
@@ -57,7 +64,7 @@ def _attach(rows: DataFrame, summary: DataFrame, group: list[str]) -> DataFrame:
 
 
 def row_position(
-    df: DataFrame, group: list[str], order: list[str], out: str, max_group_rows: int = MAX_GROUP_ROWS
+    df: DataFrame, group: list[str], order: list[str], out: str, max_group_rows: int | None = None
 ) -> DataFrame:
     """0-based position of each row in its group."""
     return running_sum(df, group, order, F.lit(1), out, max_group_rows)
@@ -69,12 +76,12 @@ def running_sum(
     order: list[str],
     value: Column,
     out: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Sum of ``value`` (whole numbers) over the rows before this one in the group."""
     source = df.withColumn("_v", value.cast("long"))
     order_cols = [F.col(c) for c in order]
-    if largest_group(df, group) <= max_group_rows:
+    if _fits(df, group, max_group_rows):
         before = Window.partitionBy(*group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         return source.withColumn(out, F.coalesce(F.sum("_v").over(before), F.lit(0))).drop("_v")
     pieces = _pieces(source, group, order)
@@ -97,14 +104,14 @@ def previous_value(
     order: list[str],
     value: str,
     out: str,
-    max_group_rows: int = MAX_GROUP_ROWS,
+    max_group_rows: int | None = None,
 ) -> DataFrame:
     """Value of the row just before this one in its group, null for the first.
 
     ``value`` must not be null.
     """
     order_cols = [F.col(c) for c in order]
-    if largest_group(df, group) <= max_group_rows:
+    if _fits(df, group, max_group_rows):
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_cols)))
     pieces = _pieces(df, group, order)
     here = Window.partitionBy(*group, "_piece").orderBy(*order_cols, "_tie")

@@ -270,7 +270,9 @@ def _queries() -> dict[str, str]:
     q["p1_decode_tx"] = """SELECT hash, 'in' AS kind, vin AS n, prev_hash AS ref, prev_index AS amount FROM ins
       UNION ALL SELECT hash, 'out', pos, script_hex, satoshis FROM outs
       UNION ALL SELECT hash, 'tx', 1, NULL, 0 FROM txs"""
-    q["p2_encode_tx"] = "SELECT hash, 0::BIGINT chunk, tx FROM raw"
+    q["p2_encode_tx"] = (
+        "SELECT hash, (part // 4096)::BIGINT chunk, string_agg(digits, '' ORDER BY part) tx FROM parts GROUP BY ALL"
+    )
     q["p3_decode_block"] = f"""SELECT t.height, t.blockindex, (80 + length({csize('numtxs')}) // 2 + sum(length(r.tx) // 2)
         OVER (PARTITION BY t.height ORDER BY t.blockindex) - length(r.tx) // 2)::BIGINT tx_offset,
       length(r.tx) // 2 tx_size, {rev(h256('r.tx'))} txid, b.prev_hash, b.merkle_root, b.timestamp, b.numtxs

@@ -56,9 +56,8 @@ def _tx_with_time(L: Ledger) -> DataFrame:
 
 
 def _raw_hex(L: Ledger) -> DataFrame:
-    """hash, tx: serialized transactions as hex, of those in one chunk."""
-    large = L.raw.filter("chunk > 0").select("hash").distinct()
-    return L.raw.join(large, "hash", "left_anti").select("hash", hashing.to_hex(F.col("raw")).alias("tx"))
+    """hash, tx: serialized transactions as hex."""
+    return codec.whole_transactions(L.raw).select("hash", hashing.to_hex(F.col("raw")).alias("tx"))
 
 
 # Sources
@@ -255,7 +254,7 @@ def k14_write_blocks(L: Ledger) -> DataFrame:
 
 @query
 def p1_decode_tx(L: Ledger) -> DataFrame:
-    decoded = codec.decode_tx_table(_whole_raw(L).drop("chunk"))
+    decoded = codec.decode_tx_table(codec.whole_transactions(L.raw))
     spent = decoded.select("hash", F.posexplode("vin").alias("n", "e")).select(
         "hash", F.lit("in").alias("kind"), F.col("n").cast("long").alias("n"), F.col("e.prev_hash").alias("ref"), F.col("e.prev_index").alias("amount")
     )
@@ -268,12 +267,6 @@ def p1_decode_tx(L: Ledger) -> DataFrame:
     return spent.unionByName(made).unionByName(heads)
 
 
-def _whole_raw(L: Ledger) -> DataFrame:
-    """Serialized transactions that are one chunk."""
-    large = L.raw.filter("chunk > 0").select("hash").distinct()
-    return L.raw.join(large, "hash", "left_anti")
-
-
 @query
 def p2_encode_tx(L: Ledger) -> DataFrame:
     return codec.encode_tx_table(*L.wire_tables()).select(
@@ -377,7 +370,7 @@ def p17_mempool_record(L: Ledger) -> DataFrame:
 
 @query
 def p18_tx_record(L: Ledger) -> DataFrame:
-    decoded = codec.decode_tx_table(_whole_raw(L).drop("chunk"))
+    decoded = codec.decode_tx_table(codec.whole_transactions(L.raw))
     return decoded.select("hash", codec.tx_record(decoded).alias("record"))
 
 

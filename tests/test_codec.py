@@ -55,6 +55,7 @@ def test_large_transactions_come_in_chunks(spark, h, monkeypatch):
     ids = {r["hash"]: r["txid"] for r in codec.txids(raw).collect()}
     twice = lambda b: hashlib.sha256(hashlib.sha256(b).digest()).digest()[::-1].hex()
     assert ids == {k: twice(b) for k, b in whole.items()}
+    assert {r["hash"]: bytes(r["raw"]) for r in codec.whole_transactions(raw).collect()} == whole
 
 
 def test_undecodable_bytes(spark, h):
