@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import timestamp_age_sec
 from ..session import materialize
+from .maintenance import drop_known
 from .ordering import previous_value, row_position
 
 # Fixed values.
@@ -23,7 +24,7 @@ def first_arrivals(arrivals: DataFrame, known: DataFrame | None = None) -> DataF
     rest = [c for c in arrivals.columns if c not in ("hash", "arrival")]
     first = arrivals.groupBy("hash").agg(F.min(F.struct("arrival", *rest)).alias("first"))
     rows = first.select(*[c if c == "hash" else F.col(f"first.{c}").alias(c) for c in arrivals.columns])
-    return rows if known is None else rows.join(known.select("hash"), "hash", "left_anti")
+    return rows if known is None else drop_known(rows, known, ["hash"])
 
 
 def eldest_children(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,8 @@
 """Bulk lookups: a frame of keys in, a frame of answers out.
 
+Large tables are cut down to the requested keys by a semi join before anything
+else, so a short list of keys is broadcast and nothing large is shuffled.
+
 Lists whose length has no bound, such as the transactions of a block, are
 answered in long form, one row per element with its position.
 """
@@ -11,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import codec, display, hashing, validate
 from ..functions.hashing import header_hex
+from ..session import materialize
+from .maintenance import matching
 from .utxo import spent_flags
 
 LATEST_BLOCKS = 20
@@ -34,29 +39,31 @@ def known_txs(tx: DataFrame | None, mempool: DataFrame, collection: DataFrame) -
 
 
 def tx_exists(keys: DataFrame, tx: DataFrame | None, mempool: DataFrame, collection: DataFrame) -> DataFrame:
-    known = known_txs(tx, mempool, collection).distinct().withColumn("_known", F.lit(True))
     wanted = keys.select("hash").distinct()
+    found = matching(known_txs(tx, mempool, collection), wanted, ["hash"])
+    known = found.distinct().withColumn("_known", F.lit(True))
     return wanted.join(known, "hash", "left").select("hash", F.coalesce("_known", F.lit(False)).alias("known"))
 
 
 def tx_block_offset(keys: DataFrame, tx: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where the block that holds a transaction starts."""
     wanted = keys.select("hash").distinct()
-    placed = tx.select("hash", "height").join(wanted, "hash", "left_semi")
+    placed = matching(tx.select("hash", "height"), wanted, ["hash"])
     return placed.join(blocks.select("height", "offset"), "height").select("hash", "offset")
 
 
 def tx_block(keys: DataFrame, tx: DataFrame, blocks: DataFrame) -> DataFrame:
     """Block of each confirmed transaction."""
     wanted = keys.select("hash").distinct()
-    placed = tx.select("hash", "height").join(wanted, "hash", "left_semi")
+    placed = matching(tx.select("hash", "height"), wanted, ["hash"])
     heads = blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root")
     return placed.join(heads, "height").select("hash", "height", "block_hash", "merkle_root")
 
 
 def tx_position(keys: DataFrame, tx: DataFrame) -> DataFrame:
     wanted = keys.select("hash").distinct()
-    return wanted.join(tx.select("hash", "height", "blockindex"), "hash", "left")
+    places = matching(tx.select("hash", "height", "blockindex"), wanted, ["hash"])
+    return wanted.join(places, "hash", "left")
 
 
 def latest_blocks(blocks: DataFrame, n: int = LATEST_BLOCKS) -> DataFrame:
@@ -119,8 +126,9 @@ def tx_entries(keys: DataFrame, outputs: DataFrame, tx: DataFrame, utxo: DataFra
     in ``not_found``.
     """
     wanted = keys.select("hash").distinct()
-    placed = wanted.join(tx.select("hash", "height", "blockindex"), "hash", "left")
-    flagged = spent_flags(outputs.select("hash", "pos", "satoshis", "script_hex"), utxo).drop("spendable")
+    placed = tx_position(keys, tx)
+    asked = matching(outputs.select("hash", "pos", "satoshis", "script_hex"), wanted, ["hash"])
+    flagged = spent_flags(asked, matching(utxo, wanted, ["hash"])).drop("spendable")
     missing = F.concat(F.lit("Transaction "), F.col("hash"), F.lit(" not found in block"))
     confirmed = with_elements(placed.filter("height is not null"), flagged, "hash")
     absent = placed.filter("height is null").select("hash", missing.alias("not_found"))
@@ -130,7 +138,7 @@ def tx_entries(keys: DataFrame, outputs: DataFrame, tx: DataFrame, utxo: DataFra
 def hex_from_collection(keys: DataFrame, collection: DataFrame) -> DataFrame:
     """Stored text of each transaction; copies in several collections are equal."""
     wanted = keys.select("hash").distinct()
-    texts = collection.groupBy("hash").agg(F.min("tx").alias("tx"))
+    texts = matching(collection, wanted, ["hash"]).groupBy("hash").agg(F.min("tx").alias("tx"))
     missing = F.concat(F.lit("Unknown txid "), F.col("hash"))
     return wanted.join(texts, "hash", "left").withColumn("failed", F.when(F.col("tx").isNull(), missing))
 
@@ -144,16 +152,16 @@ def admit_broadcasts(submitted: DataFrame, known: DataFrame, max_bytes: int = va
     kept = [c for c in submitted.columns if c != "tx"]
     checked = submitted.withColumn("_reason", validate.check_tx_hex(F.col("tx"), max_bytes)["reason"])
     raw = F.when(F.col("_reason").isNull(), F.unhex("tx"))
-    decoded = codec.decode_tx_table(
-        checked.select(*kept, "_reason", raw.alias("_bytes"), raw.alias("raw"))
-    )
+    decoded = codec.decode_tx_table(checked.select(*kept, "_reason", raw.alias("_bytes"), raw.alias("raw")))
     own = F.expr("substring(_bytes, 1, int(size))")
     named = decoded.select(
         *kept,
         F.when(F.col("size").isNotNull(), hashing.txid(own)).alias("txid"),
         F.coalesce("_reason", F.when(F.col("size").isNull(), "not a transaction")).alias("_reason"),
     )
-    seen = known.select(F.col("hash").alias("txid")).distinct().withColumn("_known", F.lit(True))
+    named = materialize(named, "submitted")
+    seen = matching(known.select(F.col("hash").alias("txid")), named, ["txid"])
+    seen = seen.distinct().withColumn("_known", F.lit(True))
     exists = F.when(F.col("_known"), F.concat(F.lit("already exists: "), F.col("txid")))
     reason = F.coalesce("_reason", exists)
     return named.join(seen, "txid", "left").select(

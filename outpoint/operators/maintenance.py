@@ -16,7 +16,21 @@ def insert_once(current: DataFrame, delta: DataFrame, keys: list[str], order: li
     first = F.min(F.struct(*order, *[c for c in rest if c not in order])).alias("_first")
     once = delta.groupBy(*keys).agg(first) if rest else delta.distinct()
     rows = once.select(*[c if c in keys else F.col(f"_first.{c}").alias(c) for c in columns])
-    return rows.join(current.select(*keys), keys, "left_anti").select(*columns)
+    return drop_known(rows, current, keys)
+
+
+def drop_known(delta: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``delta`` whose key is not in ``known``, the larger table.
+
+    ``known`` is cut down to the keys in question first. When these are few,
+    Spark broadcasts them, and the large table is scanned but not shuffled.
+    """
+    return delta.join(matching(known.select(*on), delta, on), on, "left_anti").select(*delta.columns)
+
+
+def matching(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``df`` with a key in ``keys``."""
+    return df.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def delete_keys(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import UNKNOWN, is_spendable, script_to_pubkeyhash
+from .maintenance import matching
 
 # Fixed values.
 NOT_IN_BLOCK = -1
@@ -38,14 +39,16 @@ def utxo_set(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def upsert(current: DataFrame, delta: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Last writer per key wins; rows of ``current`` come before all of ``delta``."""
+    """``current`` with the newest row of each key in ``delta`` in place of its own.
+
+    Only ``delta`` is aggregated. The stored rows go through one anti join,
+    without a shuffle of their own when the delta is small enough to broadcast.
+    """
     columns = current.columns
-    old = current.withColumn(order, F.lit(None).cast(delta.schema[order].dataType))
-    both = old.unionByName(delta.select(*columns, order))
     rest = [c for c in columns if c not in keys]
-    # A null order compares as the smallest, so stored rows lose.
-    newest = F.max(F.struct(F.col(order), *rest)).alias("newest")
-    return both.groupBy(*keys).agg(newest).select(*[c if c in keys else F.col(f"newest.{c}").alias(c) for c in columns])
+    newest = delta.groupBy(*keys).agg(F.max(F.struct(F.col(order), *rest)).alias("newest"))
+    written = newest.select(*[c if c in keys else F.col(f"newest.{c}").alias(c) for c in columns])
+    return current.join(written.select(*keys), keys, "left_anti").select(*columns).unionByName(written)
 
 
 def balances(utxo: DataFrame, tip: Column, complete: int = COMPLETE, by: str = "pubkeyhash") -> DataFrame:
@@ -99,7 +102,7 @@ def utxo_by_tx(keys: DataFrame, utxo: DataFrame) -> DataFrame:
 
 def outpoint_unspent(outpoints: DataFrame, utxo: DataFrame) -> DataFrame:
     wanted = outpoints.select("hash", "pos").distinct()
-    present = utxo.select("hash", "pos").withColumn("unspent", F.lit(True))
+    present = matching(utxo.select("hash", "pos"), wanted, ["hash", "pos"]).withColumn("unspent", F.lit(True))
     return wanted.join(present, ["hash", "pos"], "left").select(
         "hash", "pos", F.coalesce("unspent", F.lit(False)).alias("unspent")
     )

@@ -256,13 +256,25 @@ def k14_write_blocks(L: Ledger) -> DataFrame:
 def p1_decode_tx(L: Ledger) -> DataFrame:
     decoded = codec.decode_tx_table(codec.whole_transactions(L.raw))
     spent = decoded.select("hash", F.posexplode("vin").alias("n", "e")).select(
-        "hash", F.lit("in").alias("kind"), F.col("n").cast("long").alias("n"), F.col("e.prev_hash").alias("ref"), F.col("e.prev_index").alias("amount")
+        "hash",
+        F.lit("in").alias("kind"),
+        F.col("n").cast("long").alias("n"),
+        F.col("e.prev_hash").alias("ref"),
+        F.col("e.prev_index").alias("amount"),
     )
     made = decoded.select("hash", F.posexplode("vout").alias("n", "e")).select(
-        "hash", F.lit("out").alias("kind"), F.col("n").cast("long").alias("n"), hashing.to_hex(F.col("e.script")).alias("ref"), F.col("e.value").alias("amount")
+        "hash",
+        F.lit("out").alias("kind"),
+        F.col("n").cast("long").alias("n"),
+        hashing.to_hex(F.col("e.script")).alias("ref"),
+        F.col("e.value").alias("amount"),
     )
     heads = decoded.select(
-        "hash", F.lit("tx").alias("kind"), F.col("version").cast("long").alias("n"), F.lit(None).cast("string").alias("ref"), F.col("locktime").alias("amount")
+        "hash",
+        F.lit("tx").alias("kind"),
+        F.col("version").cast("long").alias("n"),
+        F.lit(None).cast("string").alias("ref"),
+        F.col("locktime").alias("amount"),
     )
     return spent.unionByName(made).unionByName(heads)
 
@@ -781,7 +793,10 @@ def q9_tx_from_collection(L: Ledger) -> DataFrame:
     stored = _collection_text(L).select("hash", F.unhex("tx").alias("raw"))
     made = codec.decode_tx_table(stored).select("hash", F.posexplode("vout").alias("pos", "e"))
     outputs = made.select(
-        "hash", F.col("pos").cast("long").alias("pos"), F.col("e.value").alias("satoshis"), hashing.to_hex(F.col("e.script")).alias("script_hex")
+        "hash",
+        F.col("pos").cast("long").alias("pos"),
+        F.col("e.value").alias("satoshis"),
+        hashing.to_hex(F.col("e.script")).alias("script_hex"),
     )
     return utxo.spent_flags(outputs, L.utxo).drop("spendable")
 
@@ -950,7 +965,8 @@ def t10_rebuild(L: Ledger) -> DataFrame:
 
 def _requests(events: DataFrame) -> DataFrame:
     client = throttle.client_key(F.lit(None).cast("string"), F.col("user_id").cast("string"))
-    return events.select(client.alias("client"), display.utc_to_micros(F.col("ts")).alias("t"), F.col("event_id").alias("id"))
+    at = display.utc_to_micros(F.col("ts"))
+    return events.select(client.alias("client"), at.alias("t"), F.col("event_id").alias("id"))
 
 
 @query
