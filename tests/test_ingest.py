@@ -164,6 +164,29 @@ def test_compaction_keeps_the_state(spark, log, tmp_path):
     assert heights(small) == {"b1": 1, "b2": 2, "b3": 3}
 
 
+def test_roll_back_and_go_on(spark, log, tmp_path):
+    apply(spark, log, 0, header(1, "b1", "b0", 1), tx(1, "c1", [("00", 0)], [(50, KEY)], "b1", 0))
+    apply(
+        spark,
+        log,
+        1,
+        header(2, "b2", "b1", 2),
+        tx(2, "c2", [("00", 0)], [(50, KEY)], "b2", 0),
+        tx(2, "p2", [("c1", 0)], [(9, KEY)], "b2", 1),
+        header(3, "b9", "b8"),
+        tx(4, "loose", [("c2", 0)], [(3, KEY)]),
+    )
+    back = log.roll_back(str(tmp_path / "back"))
+    assert heights(back) == {"b1": 1} and back.tip() == ("b1", 1)
+    # The coin that the removed block spent stays spent.
+    assert unspent(back) == {("loose", 0): -1}
+    assert [(r["height"], r["hash"]) for r in back.read("orphans").collect()] == [(2, "b2")]
+    assert [r["hash"] for r in back.read("tx").collect()] == ["c1"]
+    apply(spark, back, 2, header(5, "x2", "b1", 1), tx(5, "cx", [("00", 0)], [(50, KEY)], "x2", 0), header(6, "b8", "x2"))
+    assert heights(back) == {"b1": 1, "x2": 2, "b8": 3}
+    assert unspent(back) == {("loose", 0): -1, ("cx", 0): 2}
+
+
 def test_as_a_stream(spark, log, tmp_path):
     landing, state = str(tmp_path / "feed"), str(tmp_path / "state")
     parts = [
