@@ -120,9 +120,9 @@ def s9_scan_addr(L: Ledger) -> DataFrame:
 
 
 def _event_source(L: Ledger) -> DataFrame:
+    # As a glob the name may be that of one file or of a folder of files.
     schema = L.source("events").schema
-    reader = L.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return reader.parquet(L.folder)
+    return L.spark.readStream.schema(schema).parquet(f"{L.folder.rstrip('/')}/events.parque[t]")
 
 
 def _routed(L: Ledger, name: str, kinds: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
