@@ -262,7 +262,7 @@ def _queries() -> dict[str, str]:
         "FROM peers WHERE kind <> 'Inv'"
     )
     q["k13_peer_append"] = (
-        "SELECT * FROM addr WHERE ip NOT IN (SELECT ip FROM peers WHERE ts < TIMESTAMP '2024-01-05')"
+        "SELECT * FROM addr WHERE ip NOT IN (SELECT ip FROM peers WHERE ts < TIMESTAMP '2024-01-01 04:00:00')"
     )
     q["k14_write_blocks"] = 'SELECT height, "offset", size FROM wire_index'
 

@@ -240,7 +240,7 @@ def k12_connection_log(L: Ledger) -> DataFrame:
 @query
 def k13_peer_append(L: Ledger) -> DataFrame:
     seen = feeds.peers(L).select("ip", "services", "port", "ts", "event_id")
-    stored = seen.filter("ts < timestamp_ntz'2024-01-05 00:00:00'")
+    stored = seen.filter("ts < timestamp_ntz'2024-01-01 04:00:00'")
     return maintenance.insert_once(stored, seen, ["ip"], ["ts", "event_id"]).select("ip", "services", "port")
 
 
