@@ -22,8 +22,18 @@ def work_dir(spark: SparkSession) -> str:
     if not named and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     if not named:
-        named = _local_dirs.setdefault(app, tempfile.mkdtemp(prefix="outpoint-"))
-    return f"{named.rstrip('/')}/outpoint/{app}"
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="outpoint-")
+        named = f"file://{_local_dirs[app]}"
+    return f"{qualified(spark, named).rstrip('/')}/outpoint/{app}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the file system that Spark resolves it against."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return system.makeQualified(place).toString()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
