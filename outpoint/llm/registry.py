@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import jaccard_join
+from . import byte_bpe, jaccard_join, language, token_counts, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
+    "op5_token_counts": token_counts.op5_token_counts,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_language_id": language.op7_language_id,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
 }
 
 SQL = {
+    "op1_url_filter": url_filter.OP1_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
