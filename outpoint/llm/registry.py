@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, language, token_counts, url_filter
+from . import byte_bpe, jaccard_join, language, line_dedup, token_counts, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_language_id": language.op7_language_id,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 SQL = {
