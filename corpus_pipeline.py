@@ -1,28 +1,57 @@
-"""Corpus preparation: stages of ``outpoint.llm`` from documents to token ids."""
+"""Corpus preparation in five stages of ``outpoint.llm``, from documents to token ids.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame, which is written
+and read again as the next one's ``docs``. All but the last keep the columns
+of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from outpoint.llm import jaccard_join
+from outpoint.llm import byte_bpe, jaccard_join, language, line_dedup, mixing
 from outpoint.llm.common import table, written
 
 
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in none of the learned languages go."""
+    return language.known_language(docs)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand elsewhere go, and documents of which nothing is left."""
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays."""
     return jaccard_join.keep_one(docs)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; those of small sources come more than once."""
+    return mixing.mix(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, with checksums of the ids and of what they decode to."""
+    return byte_bpe.digests(docs, "ids")
+
+
 STAGES = [
-    ("n-gram Jaccard join", near_copies),
+    ("language ID", identify_language),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources", mix_sources),
+    ("byte-level BPE", encode),
 ]
 
-#: No SQL can express the language model and the byte-level merges; tested against brute force instead.
+#: No SQL can express the language filter and the byte-level merges; tested against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written and read again."""
+    """All stages on ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, language, line_dedup, token_counts, url_filter
+from . import byte_bpe, jaccard_join, language, line_dedup, mixing, near_vectors, quality, token_counts, topk, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_top_k": topk.op2_top_k,
+    "op3_near_vectors": near_vectors.op3_near_vectors,
+    "op4_quality": quality.op4_quality,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_language_id": language.op7_language_id,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 SQL = {
     "op1_url_filter": url_filter.OP1_SQL,
+    "op2_top_k": topk.OP2_SQL,
+    "op3_near_vectors": near_vectors.OP3_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
 }
