@@ -147,7 +147,7 @@ def score_texts(texts: list[str], names: list[str], masks: np.ndarray, chance: n
     """Language and score of each text."""
     hits = np.zeros((len(texts), len(names)))
     total = np.zeros(len(texts))
-    for first, row, hashes in grams(texts):
+    for first, row, hashes in grams(texts) if names else ():
         rows = int(row[-1]) + 1 if len(row) else 0
         total[first : first + rows] += np.bincount(row, minlength=rows)
         cells = list(_cells(hashes))

@@ -234,8 +234,8 @@ WITH RECURSIVE
 sound AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND label IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+      AND len([x FOR x IN embedding IF x <> 0]) > 0
 ),
 links AS (
     SELECT a.vec_id AS a, b.vec_id AS b
