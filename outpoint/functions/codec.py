@@ -31,7 +31,7 @@ HEADER_BYTES = 80
 WINDOW_BYTES = 8 << 20
 BLOCK_TX_SCHEMA = (
     "offset bigint, version int, prev_hash string, merkle_root string, timestamp bigint, bits bigint, "
-    "nonce bigint, numtxs bigint, blockindex bigint, tx_offset bigint, tx_size bigint, raw_tx binary"
+    "nonce bigint, numtxs bigint, blockindex bigint, tx_offset bigint, tx_size bigint, raw_tx binary, fault string"
 )
 
 
@@ -112,17 +112,34 @@ def txids(raw: DataFrame) -> DataFrame:
     return whole.unionByName(chunks.select("hash", "raw").mapInArrow(_hash_chunks, "hash string, txid string"))
 
 
+def _join_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per transaction from its chunks, which come in order."""
+    key, parts = None, []
+
+    def whole() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([b"".join(parts)], pa.binary())], names=["hash", "raw"])
+
+    for batch in batches:
+        for name, raw in zip(batch.column("hash").to_pylist(), batch.column("raw").to_pylist()):
+            if name != key:
+                if key is not None:
+                    yield whole()
+                key, parts = name, []
+            parts.append(raw)
+    if key is not None:
+        yield whole()
+
+
 def whole_transactions(raw: DataFrame) -> DataFrame:
     """(hash, raw): each serialized transaction as one value.
 
     Tables that hold a transaction as one value need this. Only transactions
-    of several chunks are put together; a value over Spark's limit of 2 GiB
-    fails, it is not left out.
+    of several chunks are put together, one at a time; a value over Spark's
+    limit of 2 GiB fails, it is not left out.
     """
     large = raw.filter("chunk > 0").select("hash").distinct()
-    in_order = F.array_sort(F.collect_list(F.struct("chunk", F.hex("raw").alias("digits"))))
-    joined = F.unhex(F.array_join(F.transform(in_order, lambda c: c["digits"]), ""))
-    put_together = raw.join(large, "hash", "left_semi").groupBy("hash").agg(joined.alias("raw"))
+    chunks = raw.join(large, "hash", "left_semi").repartition("hash").sortWithinPartitions("hash", "chunk")
+    put_together = chunks.select("hash", "raw").mapInArrow(_join_chunks, "hash string, raw binary")
     return raw.join(large, "hash", "left_anti").select("hash", "raw").unionByName(put_together)
 
 
@@ -142,36 +159,78 @@ def block_pieces(blocks: DataFrame, raw: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+class Short(ValueError):
+    """The bytes end before ``needed``."""
+
+    def __init__(self, needed: int):
+        super().__init__("short buffer")
+        self.needed = needed
+
+
+# Least bytes of an input, an output and a transaction.
+INPUT_BYTES, OUTPUT_BYTES, TX_BYTES = 41, 9, 10
+
+
 def read_count(buf: bytes, at: int) -> tuple[int, int]:
     """Variable-length count at ``at`` and the offset behind it."""
+    if at >= len(buf):
+        raise Short(at + 1)
     width = {0xFD: 2, 0xFE: 4, 0xFF: 8}.get(buf[at], 0)
     if not width:
         return buf[at], at + 1
     end = at + 1 + width
     if end > len(buf):
-        raise ValueError("short buffer")
+        raise Short(end)
     return int.from_bytes(buf[at + 1 : end], "little"), end
 
 
+def tx_end(buf: bytes, at: int) -> int:
+    """Offset behind the transaction at ``at``; nothing else is made of it."""
+    n, at = read_count(buf, at + 4)
+    for _ in range(n):
+        size, at = read_count(buf, at + 36)
+        at += size + 4
+        if at > len(buf):
+            raise Short(at)
+    n, at = read_count(buf, at)
+    for _ in range(n):
+        size, at = read_count(buf, at + 8)
+        at += size
+        if at > len(buf):
+            raise Short(at)
+    if at + 4 > len(buf):
+        raise Short(at + 4)
+    return at + 4
+
+
 def read_tx(buf: bytes, at: int) -> tuple[tuple, int]:
-    """Fields of the transaction at ``at`` and the offset behind it."""
+    """Fields of the transaction at ``at`` and the offset behind it.
+
+    Every count and length is held against the bytes that are there first.
+    """
     start = at
     (version,) = struct.unpack_from("<i", buf, at)
     n, at = read_count(buf, at + 4)
+    if n > (len(buf) - at) // INPUT_BYTES:
+        raise Short(at + n * INPUT_BYTES)
     vin, vout = [], []
     for _ in range(n):
         prev, index = struct.unpack_from("<32sI", buf, at)
         size, at = read_count(buf, at + 36)
+        if size > len(buf) - at - 4:
+            raise Short(at + size + 4)
         script = buf[at : at + size]
         (sequence,) = struct.unpack_from("<I", buf, at + size)
         at += size + 4
         vin.append({"prev_hash": prev[::-1].hex(), "prev_index": index, "script_sig": script, "sequence": sequence})
     n, at = read_count(buf, at)
+    if n > (len(buf) - at) // OUTPUT_BYTES:
+        raise Short(at + n * OUTPUT_BYTES)
     for _ in range(n):
         (value,) = struct.unpack_from("<q", buf, at)
         size, at = read_count(buf, at + 8)
-        if at + size > len(buf):
-            raise ValueError("short buffer")
+        if size > len(buf) - at:
+            raise Short(at + size)
         vout.append({"value": value, "script": buf[at : at + size]})
         at += size
     (locktime,) = struct.unpack_from("<I", buf, at)
@@ -183,7 +242,7 @@ def read_header(buf: bytes, at: int) -> tuple[int, str, str, int, int, int]:
     return version, prev[::-1].hex(), root[::-1].hex(), time, bits, nonce
 
 
-WIRE_ERRORS = (struct.error, IndexError, ValueError)
+WIRE_ERRORS = (struct.error, IndexError, ValueError, OverflowError)
 
 
 def decode_tx_table(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -226,35 +285,40 @@ def decode_tx_table(df: DataFrame, raw: str = "raw") -> DataFrame:
     return ordered.mapInArrow(decode, ddl)
 
 
-def block_batches(offset: int, read: Callable[[int, int], bytes]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``BLOCK_TX_SCHEMA`` for one block, in batches of bounded size.
+def block_batches(offset: int, read: Callable[[int, int], bytes], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``BLOCK_TX_SCHEMA`` for one block of ``size`` bytes, in batches of bounded size.
 
     ``read(at, n)`` gives up to n bytes of the block from ``at`` on. Only a
-    window of it is held; the window grows when one transaction is larger.
+    window of it is held; the window grows when one transaction is larger. A
+    block that cannot be decoded ends with a row that has only ``offset`` and
+    ``fault``; the rows before it are not to be used.
     """
-    window = WINDOW_BYTES
-    buf, base = read(0, window), 0
-    head = (offset, *read_header(buf, 0))
-    n, at = read_count(buf, HEADER_BYTES)
-    rows = [] if n else [(*head, 0, None, None, None, None)]
-    held = 0
-    for index in range(n):
-        while True:
-            try:
-                _, end = read_tx(buf, at)
-                if end > len(buf):
-                    raise ValueError("short buffer")
-                break
-            except WIRE_ERRORS:
-                more = read(base + at, max(window, 2 * (len(buf) - at)))
-                if len(more) <= len(buf) - at:
-                    raise
-                buf, base, at = more, base + at, 0
-        rows.append((*head, n, index, base + at, end - at, buf[at:end]))
-        held, at = held + end - at, end
-        if held >= window or len(rows) == PARTS_PER_CHUNK:
-            yield _block_tx_batch(rows)
-            rows, held = [], 0
+    rows, held = [], 0
+    try:
+        buf, base = read(0, WINDOW_BYTES), 0
+        head = (offset, *read_header(buf, 0))
+        n, at = read_count(buf, HEADER_BYTES)
+        if not n:
+            rows = [(*head, 0, None, None, None, None, None)]
+        for index in range(n):
+            while True:
+                try:
+                    end = tx_end(buf, at)
+                    break
+                except Short as short:
+                    if base + short.needed > size:
+                        raise
+                    more = read(base + at, max(WINDOW_BYTES, 2 * (len(buf) - at), short.needed - at))
+                    if len(more) <= len(buf) - at:
+                        raise
+                    buf, base, at = more, base + at, 0
+            rows.append((*head, n, index, base + at, end - at, buf[at:end], None))
+            held, at = held + end - at, end
+            if held >= WINDOW_BYTES or len(rows) == PARTS_PER_CHUNK:
+                yield _block_tx_batch(rows)
+                rows, held = [], 0
+    except WIRE_ERRORS as error:
+        rows.append((offset, *[None] * 11, f"not a block: {error}"))
     if rows:
         yield _block_tx_batch(rows)
 
@@ -270,14 +334,18 @@ def decode_block_table(df: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per transaction of each serialized block in ``df``.
 
     Columns: ``offset``, the header fields, numtxs, blockindex, tx_offset (in
-    the block), tx_size and raw_tx. A block without transactions gives one row
-    with null transaction columns.
+    the block), tx_size, raw_tx and fault. A block without transactions gives
+    one row with null transaction columns. Bytes that are no block give one
+    row with only ``offset`` and ``fault``, to be set aside.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for offset, buf in zip(batch.column("offset").to_pylist(), batch.column("_raw").to_pylist()):
-                yield from block_batches(offset, lambda at, n, b=buf: b[at : at + n])
+                if buf is not None:
+                    batches_of = list(block_batches(offset, lambda at, n, b=buf: b[at : at + n], len(buf)))
+                    bad = batches_of[-1].column("fault").null_count < batches_of[-1].num_rows
+                    yield from [batches_of[-1].slice(batches_of[-1].num_rows - 1)] if bad else batches_of
 
     return df.select("offset", F.col(raw).alias("_raw")).mapInArrow(decode, BLOCK_TX_SCHEMA)
 

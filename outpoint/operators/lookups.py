@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codec, display, hashing, validate
-from ..functions.hashing import header_hex
 from ..session import materialize
 from .maintenance import matching
 from .utxo import spent_flags
@@ -98,10 +97,6 @@ def block_summary_records(blocks: DataFrame, tx: DataFrame) -> DataFrame:
     return with_elements(records, txids, "height")
 
 
-def last_block_hex(last: DataFrame) -> DataFrame:
-    return last.select(header_hex().alias("block"))
-
-
 def status(blocks: DataFrame, tx: DataFrame | None, utxo: DataFrame | None, mempool: DataFrame | None) -> DataFrame:
     """One row: tip height, its time and the table sizes; an absent table counts 0."""
 
@@ -119,22 +114,71 @@ def status(blocks: DataFrame, tx: DataFrame | None, utxo: DataFrame | None, memp
     )
 
 
-def tx_entries(keys: DataFrame, outputs: DataFrame, tx: DataFrame, utxo: DataFrame) -> DataFrame:
-    """Outputs of each transaction with spent flags and its place.
+def tx_elements(inputs: DataFrame, outputs: DataFrame, utxo: DataFrame) -> DataFrame:
+    """Inputs and outputs of transactions as one long list.
 
-    One row per output; a transaction in no block has one row with a message
-    in ``not_found``.
+    hash, side (``in`` or ``out``), n, script_hex; prev_hash, prev_index and
+    sequence of inputs; satoshis and ``spent`` of outputs.
     """
-    wanted = keys.select("hash").distinct()
-    placed = tx_position(keys, tx)
-    asked = matching(outputs.select("hash", "pos", "satoshis", "script_hex"), wanted, ["hash"])
-    flagged = spent_flags(asked, matching(utxo, wanted, ["hash"])).drop("spendable")
+    spending = inputs.select(
+        "hash",
+        F.lit("in").alias("side"),
+        F.col("vin").cast("long").alias("n"),
+        F.col("script_sig_hex").alias("script_hex"),
+        "prev_hash",
+        "prev_index",
+        "sequence",
+    )
+    flagged = spent_flags(outputs.select("hash", "pos", "satoshis", "script_hex"), utxo).select(
+        "hash", F.lit("out").alias("side"), F.col("pos").cast("long").alias("n"), "script_hex", "satoshis", "spent"
+    )
+    return spending.unionByName(flagged, allowMissingColumns=True)
+
+
+def tx_entries(
+    keys: DataFrame, heads: DataFrame, inputs: DataFrame, outputs: DataFrame, tx: DataFrame, utxo: DataFrame
+) -> DataFrame:
+    """Each transaction whole: place, version, locktime and all elements.
+
+    ``heads`` has hash, version and locktime. One row per input and output (see
+    ``tx_elements``); a transaction in no block has one row with a message in
+    ``not_found``.
+    """
+    wanted = materialize(keys.select("hash").distinct(), "asked")
+    placed = tx_position(wanted, tx)
+    asked = [matching(df, wanted, ["hash"]) for df in (heads, inputs, outputs, utxo)]
     missing = F.concat(F.lit("Transaction "), F.col("hash"), F.lit(" not found in block"))
-    confirmed = with_elements(placed.filter("height is not null"), flagged, "hash")
+    confirmed = placed.filter("height is not null").join(asked[0].select("hash", "version", "locktime"), "hash")
+    confirmed = with_elements(confirmed, tx_elements(*asked[1:]), "hash")
     absent = placed.filter("height is null").select("hash", missing.alias("not_found"))
     return confirmed.unionByName(absent, allowMissingColumns=True)
 
 
+def collection_entries(keys: DataFrame, collection: DataFrame, utxo: DataFrame) -> DataFrame:
+    """Each captured transaction whole, decoded from its stored text (hash, tx).
+
+    One row per input and output (see ``tx_elements``) with version and
+    locktime; an unknown hash has one row with a message in ``failed``.
+    """
+    wanted = materialize(keys.select("hash").distinct(), "asked")
+    texts = matching(collection, wanted, ["hash"]).groupBy("hash").agg(F.min("tx").alias("tx"))
+    decoded = codec.decode_tx_table(texts.select("hash", F.unhex("tx").alias("raw")))
+    decoded = materialize(decoded.filter("version is not null"), "decoded")
+    spending = decoded.select("hash", F.posexplode("vin").alias("vin", "e")).select(
+        "hash", "vin", "e.prev_hash", "e.prev_index", hashing.to_hex(F.col("e.script_sig")).alias("script_sig_hex"), "e.sequence"
+    )
+    made = decoded.select("hash", F.posexplode("vout").alias("pos", "e")).select(
+        "hash",
+        F.col("pos").cast("long").alias("pos"),
+        F.col("e.value").alias("satoshis"),
+        hashing.to_hex(F.col("e.script")).alias("script_hex"),
+    )
+    found = with_elements(decoded.select("hash", "version", "locktime"), tx_elements(spending, made, utxo), "hash")
+    message = F.concat(F.lit("Unknown txid "), F.col("hash"))
+    absent = wanted.join(decoded.select("hash"), "hash", "left_anti").withColumn("failed", message)
+    return found.unionByName(absent, allowMissingColumns=True)
+
+
 def hex_from_collection(keys: DataFrame, collection: DataFrame) -> DataFrame:
     """Stored text of each transaction; copies in several collections are equal."""
     wanted = keys.select("hash").distinct()
@@ -143,26 +187,50 @@ def hex_from_collection(keys: DataFrame, collection: DataFrame) -> DataFrame:
     return wanted.join(texts, "hash", "left").withColumn("failed", F.when(F.col("tx").isNull(), missing))
 
 
-def admit_broadcasts(submitted: DataFrame, known: DataFrame, max_bytes: int = validate.MAX_TX_BYTES) -> DataFrame:
+def tx_hex(keys: DataFrame, tx: DataFrame, index: DataFrame, fetch) -> DataFrame:
+    """Serialized transactions by hash, read from the block file.
+
+    ``index`` has the byte range of each (height, blockindex), ``fetch`` reads
+    ranges and keeps their other columns, so the bytes are joined to nothing.
+    A transaction in no block has a message in ``not_found``.
+    """
+    placed = materialize(tx_position(keys, tx), "placed")
+    located = placed.filter("height IS NOT NULL").join(index, ["height", "blockindex"])
+    found = fetch(located.select("hash", "offset", "size")).select("hash", hashing.to_hex(F.col("raw")).alias("tx"))
+    missing = F.concat(F.lit("Transaction "), F.col("hash"), F.lit(" not found in block"))
+    absent = placed.filter("height IS NULL").select("hash", missing.alias("not_found"))
+    return found.unionByName(absent, allowMissingColumns=True)
+
+
+def admit_broadcasts(
+    submitted: DataFrame, known: DataFrame, max_bytes: int = validate.MAX_TX_BYTES, arrival: str | None = None
+) -> DataFrame:
     """Rows of ``submitted`` with txid, accepted and reason instead of ``tx``.
 
     ``tx`` is the serialized transaction as hex; bytes behind its end are not
-    part of it. ``known`` has the hashes that exist already.
+    part of it. ``known`` has the hashes that exist already (``known_txs``).
+    Of one transaction submitted several times the first in ``arrival`` order
+    (a unique column; any one without it) is taken, the others exist by then.
     """
     kept = [c for c in submitted.columns if c != "tx"]
     checked = submitted.withColumn("_reason", validate.check_tx_hex(F.col("tx"), max_bytes)["reason"])
+    checked = checked.withColumn("_turn", F.monotonically_increasing_id() if arrival is None else F.col(arrival))
     raw = F.when(F.col("_reason").isNull(), F.unhex("tx"))
-    decoded = codec.decode_tx_table(checked.select(*kept, "_reason", raw.alias("_bytes"), raw.alias("raw")))
+    decoded = codec.decode_tx_table(checked.select(*kept, "_turn", "_reason", raw.alias("_bytes"), raw.alias("raw")))
     own = F.expr("substring(_bytes, 1, int(size))")
     named = decoded.select(
         *kept,
+        "_turn",
         F.when(F.col("size").isNotNull(), hashing.txid(own)).alias("txid"),
         F.coalesce("_reason", F.when(F.col("size").isNull(), "not a transaction")).alias("_reason"),
     )
     named = materialize(named, "submitted")
-    seen = matching(known.select(F.col("hash").alias("txid")), named, ["txid"])
-    seen = seen.distinct().withColumn("_known", F.lit(True))
-    exists = F.when(F.col("_known"), F.concat(F.lit("already exists: "), F.col("txid")))
+    first = named.filter("_reason IS NULL").groupBy("txid").agg(F.min("_turn").alias("_first"))
+    first = materialize(first, "first-submitted")
+    seen = matching(known.select(F.col("hash").alias("txid")), first, ["txid"])
+    seen = first.join(seen.distinct().withColumn("_known", F.lit(True)), "txid", "left")
+    late = F.coalesce("_known", F.lit(False)) | (F.col("_turn") > F.col("_first"))
+    exists = F.when(late, F.concat(F.lit("already exists: "), F.col("txid")))
     reason = F.coalesce("_reason", exists)
     return named.join(seen, "txid", "left").select(
         *kept, "txid", reason.isNull().alias("accepted"), reason.alias("reason")

@@ -1,11 +1,14 @@
 """Monitors and the collections of transactions they capture.
 
-Monitors are configuration: a short list, tried in order. They become literal
-conditions in the plan, so matching patterns needs no join.
+Monitors are configuration, tried in order. Real patterns become literal
+conditions in the plan. Monitors of one pay-to-pubkey-hash script, which is
+what an address makes and what there may be many of, are a table that is
+joined with the scripts of that form which an output script holds.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -20,7 +23,8 @@ from ..session import materialize, new_path
 BROADCAST = "broadcast"
 FOREVER = 2**63 - 1
 
-MAX_MONITORS = 1000
+# The script of an address; the lookahead finds it at every place of a script.
+ADDRESS_SCRIPT = "76a914[0-9a-f]{40}88ac"
 
 
 @dataclass(frozen=True)
@@ -50,16 +54,10 @@ def monitors_frame(spark: SparkSession, monitors: list[Monitor]) -> DataFrame:
 
 
 def monitors_of(table: DataFrame) -> list[Monitor]:
-    """Monitors from a table with ``MONITOR_SCHEMA``, in ``position`` order if it has one.
-
-    They become conditions in the plan, so their number is checked.
-    """
+    """Monitors from a table with ``MONITOR_SCHEMA``, in ``position`` order if it has one."""
     names = [c.split()[0] for c in MONITOR_SCHEMA.split(", ")]
     ordered = table.orderBy("position") if "position" in table.columns else table
-    rows = ordered.select(*names).limit(MAX_MONITORS + 1).collect()
-    if len(rows) > MAX_MONITORS:
-        raise ValueError(f"more than {MAX_MONITORS} monitors")
-    return [Monitor(*row) for row in rows]
+    return [Monitor(*row) for row in ordered.select(*names).collect()]
 
 
 def with_patterns(spark: SparkSession, monitors: list[Monitor], network: str) -> list[Monitor]:
@@ -162,26 +160,37 @@ def _active(m: Monitor) -> Column:
     return F.col("seq").between(m.valid_from or 0, (m.valid_to or FOREVER) - 1)
 
 
-def _hits(monitors: list[Monitor]) -> list[Column]:
-    return [
+def _matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
+    """(hash, priority) of every output script and monitor that matches it."""
+    usable = [(i, m) for i, m in enumerate(monitors) if m.locking_script_pattern is not None]
+    exact = [(i, m) for i, m in usable if re.fullmatch(ADDRESS_SCRIPT, m.locking_script_pattern)]
+    hits = [
         F.when(F.col("script_hex").rlike(m.locking_script_pattern) & _active(m), F.lit(i))
-        for i, m in enumerate(monitors)
-        if m.locking_script_pattern is not None
+        for i, m in usable
+        if (i, m) not in exact
     ]
+    found = outputs.select("hash", F.explode(F.array_compact(F.array(*hits, F.lit(None).cast("int")))).alias("priority"))
+    if not exact:
+        return found
+    rows = [(m.locking_script_pattern, i, m.valid_from or 0, (m.valid_to or FOREVER) - 1) for i, m in exact]
+    table = outputs.sparkSession.createDataFrame(rows, "script string, priority int, since long, until long")
+    timed = any(m.valid_from is not None or m.valid_to is not None for _, m in exact)
+    scripts = F.array_distinct(F.regexp_extract_all("script_hex", F.lit(f"(?=({ADDRESS_SCRIPT}))"), F.lit(1)))
+    seq = F.col("seq") if timed else F.lit(0).cast("long")
+    held = outputs.select("hash", seq.alias("seq"), F.explode(scripts).alias("script"))
+    joined = held.join(table, "script").filter(F.col("seq").between(F.col("since"), F.col("until")))
+    return found.unionByName(joined.select("hash", "priority"))
 
 
 def pattern_matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """(hash, name) of each transaction with an output script a monitor matches."""
     named = F.array(*[F.lit(m.name) for m in monitors])
-    hits = F.array_compact(F.array(*_hits(monitors)))
-    found = outputs.select("hash", F.explode(hits).alias("priority")).distinct()
-    return found.select("hash", F.get(named, F.col("priority")).alias("name"))
+    return _matches(outputs, monitors).distinct().select("hash", F.get(named, F.col("priority")).alias("name"))
 
 
 def own_matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """(hash, priority): the first monitor that matches an output script."""
-    first = F.array_min(F.array(*_hits(monitors)))
-    return outputs.groupBy("hash").agg(F.min(first).alias("priority")).filter("priority is not null")
+    return _matches(outputs, monitors).groupBy("hash").agg(F.min("priority").alias("priority"))
 
 
 def direct_descendants(inputs: DataFrame, captured: DataFrame) -> DataFrame:
@@ -212,9 +221,9 @@ def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list
     parent = parent.select(F.col("hash").alias("prev_hash"), "prev_seq", F.col("own").alias("prev_own"))
     links = inputs.select("hash", "prev_hash", "seq").distinct().join(parent, "prev_hash")
     edges = materialize(links.filter("prev_seq < seq").drop("prev_seq").join(own, "hash", "left"), "edges")
-    passes_on = reduce(
-        lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i])), tracking, F.lit(False)
-    )
+    timed = [i for i in tracking if monitors[i].valid_from is not None or monitors[i].valid_to is not None]
+    always = F.col("priority").isin([i for i in tracking if i not in timed])
+    passes_on = reduce(lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i])), timed, always)
     folder = new_path(spark, "assigned")
     schema = "hash string, priority int, before int"
     spark.createDataFrame([], schema).write.parquet(f"{folder}/round=0")

@@ -1,13 +1,13 @@
 """Positions, predecessors and running sums in groups of any size.
 
-A window function sorts a whole group in one task. That is the right plan
-while groups are small, so the largest group is counted first. When it is over
-``max_group_rows`` the rows are range-partitioned by (group, order) instead:
-a large group is then spread over many pieces of about equal size, each piece
-is numbered on its own, and what the earlier pieces of the group contribute is
-added from a summary with one row per piece. Only groups that cross a
-partition boundary need that summary, so it has fewer rows than there are
-partitions and can be broadcast.
+Rows are range-partitioned by (group, order): a large group is spread over
+many pieces of about equal size, each piece is numbered on its own, and what
+the earlier pieces of the group contribute is added from a summary with one
+row per piece. Only groups that cross a partition boundary need that summary,
+so it has fewer rows than there are partitions and can be broadcast.
+
+A caller that knows its groups to be small, such as the outputs of one
+transaction, says so with ``bounded``; a group is then sorted in one task.
 """
 
 from __future__ import annotations
@@ -17,20 +17,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-# Setting that changes the size up to which a group is sorted in one task.
-MAX_GROUP_ROWS_KEY = "outpoint.maxGroupRows"
-MAX_GROUP_ROWS = 2_000_000
-
-
-def largest_group(df: DataFrame, group: list[str]) -> int:
-    top = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return top or 0
-
-
-def _fits(df: DataFrame, group: list[str], max_group_rows: int | None) -> bool:
-    limit = max_group_rows or int(df.sparkSession.conf.get(MAX_GROUP_ROWS_KEY, str(MAX_GROUP_ROWS)))
-    return largest_group(df, group) <= limit
-
 
 def _pieces(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     """Rows with a piece number; pieces of a group follow its order.
@@ -64,10 +50,10 @@ def _attach(rows: DataFrame, summary: DataFrame, group: list[str]) -> DataFrame:
 
 
 def row_position(
-    df: DataFrame, group: list[str], order: list[str], out: str, max_group_rows: int | None = None
+    df: DataFrame, group: list[str], order: list[str], out: str, bounded: bool = False
 ) -> DataFrame:
     """0-based position of each row in its group."""
-    return running_sum(df, group, order, F.lit(1), out, max_group_rows)
+    return running_sum(df, group, order, F.lit(1), out, bounded)
 
 
 def running_sum(
@@ -76,12 +62,12 @@ def running_sum(
     order: list[str],
     value: Column,
     out: str,
-    max_group_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Sum of ``value`` (whole numbers) over the rows before this one in the group."""
     source = df.withColumn("_v", value.cast("long"))
     order_cols = [F.col(c) for c in order]
-    if _fits(df, group, max_group_rows):
+    if bounded:
         before = Window.partitionBy(*group).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
         return source.withColumn(out, F.coalesce(F.sum("_v").over(before), F.lit(0))).drop("_v")
     pieces = _pieces(source, group, order)
@@ -104,14 +90,14 @@ def previous_value(
     order: list[str],
     value: str,
     out: str,
-    max_group_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Value of the row just before this one in its group, null for the first.
 
     ``value`` must not be null.
     """
     order_cols = [F.col(c) for c in order]
-    if _fits(df, group, max_group_rows):
+    if bounded:
         return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_cols)))
     pieces = _pieces(df, group, order)
     here = Window.partitionBy(*group, "_piece").orderBy(*order_cols, "_tie")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import UNKNOWN, is_spendable, script_to_pubkeyhash
+from ..session import materialize
 from .maintenance import matching
 
 # Fixed values.
@@ -74,8 +75,8 @@ def tip_height(blocks: DataFrame) -> Column:
 def balance_by_pubkeyhash(keys: DataFrame, utxo: DataFrame, blocks: DataFrame, complete: int = COMPLETE) -> DataFrame:
     """Balance of each requested key hash; 0/0 when it owns nothing."""
     wanted = keys.select("pubkeyhash").distinct()
-    owned = known_owners(utxo).join(wanted, "pubkeyhash", "left_semi")
-    sums = balances(owned, tip_height(blocks), complete)
+    # Sums come first, so an owner of many outputs is one row when it meets its key.
+    sums = balances(known_owners(utxo), tip_height(blocks), complete)
     zero = F.lit(0).cast("long")
     return wanted.join(sums, "pubkeyhash", "left").select(
         "pubkeyhash",
@@ -85,18 +86,23 @@ def balance_by_pubkeyhash(keys: DataFrame, utxo: DataFrame, blocks: DataFrame, c
 
 
 def utxo_by_pubkeyhash(keys: DataFrame, utxo: DataFrame) -> DataFrame:
-    wanted = keys.select("pubkeyhash").distinct()
-    return known_owners(utxo).join(wanted, "pubkeyhash").select(
+    """Unspent outputs of each key hash, with all columns of ``keys``.
+
+    The distinct keys are written first: both sides of the join are then plain
+    shuffles, and Spark splits an owner that has most of the outputs.
+    """
+    owned = known_owners(utxo).select(
         "pubkeyhash",
         "height",
         F.col("pos").alias("tx_pos"),
         F.col("hash").alias("tx_hash"),
         F.col("satoshis").alias("value"),
     )
+    return owned.join(materialize(keys.distinct(), "owners"), "pubkeyhash")
 
 
 def utxo_by_tx(keys: DataFrame, utxo: DataFrame) -> DataFrame:
-    wanted = keys.select("hash").distinct()
+    wanted = materialize(keys.select("hash").distinct(), "asked")
     return utxo.join(wanted, "hash").select("hash", "pos", F.col("satoshis").alias("satoshi"), "height")
 
 
@@ -128,9 +134,20 @@ def fees(txs: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     Only the first spender of an outpoint can be funded, so outpoints are
     reduced to that spender before the join. Both of its sides then have one
     row per outpoint, however many inputs name the same one.
+
+    A coinbase (``blockindex`` 0, if ``inputs`` has it) spends nothing: it
+    takes no output from a later spender, but sees one that is still unspent.
     """
-    spending = inputs.groupBy("prev_hash", "prev_index", "seq", "hash").agg(F.count(F.lit(1)).alias("k"))
-    first = spending.groupBy("prev_hash", "prev_index").agg(F.min(F.struct("seq", "hash", "k")).alias("first"))
+    coinbase = F.col("blockindex") == 0 if "blockindex" in inputs.columns else F.lit(False)
+    marked = inputs.withColumn("_coinbase", F.coalesce(coinbase, F.lit(False)))
+    spending = marked.groupBy("prev_hash", "prev_index", "seq", "hash", "_coinbase").agg(F.count(F.lit(1)).alias("k"))
+    by_outpoint = spending.filter("NOT _coinbase").groupBy("prev_hash", "prev_index")
+    first = by_outpoint.agg(F.min(F.struct("seq", "hash", "k")).alias("first"))
+    seen = spending.filter("_coinbase").join(
+        first.select("prev_hash", "prev_index", F.col("first.seq").alias("_taken")), ["prev_hash", "prev_index"], "left"
+    )
+    seen = seen.filter(F.coalesce(F.col("_taken") > F.col("seq"), F.lit(True)))
+    first = first.unionByName(seen.select("prev_hash", "prev_index", F.struct("seq", "hash", "k").alias("first")))
     known = outputs.filter(is_spendable(F.col("script_hex"))).select(
         F.col("hash").alias("prev_hash"),
         F.col("pos").alias("prev_index"),

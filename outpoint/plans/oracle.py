@@ -457,10 +457,12 @@ def _queries() -> dict[str, str]:
     q["w9_last_block"] = f"SELECT *, {HEADER} block FROM blocks ORDER BY height DESC LIMIT 1"
 
     # Lookups
-    q["q1_utxo_by_address"] = """SELECT c.c_custkey, u.height, u.pos tx_pos, u.hash tx_hash, u.satoshis AS value
-      FROM customer c JOIN utxo u ON u.pubkeyhash = substr(sha256('c:' || c.c_custkey), 1, 40)"""
-    q["q2_balance_by_address"] = f"""SELECT c_custkey, {sums} FROM customer c
-      LEFT JOIN utxo u ON u.pubkeyhash = substr(sha256('c:' || c.c_custkey), 1, 40) GROUP BY c_custkey"""
+    owner = "customer c {join} utxo u ON u.pubkeyhash = substr(sha256('c:' || c.c_custkey), 1, 40) WHERE c_acctbal >= 0"
+    failed = "'bad address' failed FROM customer WHERE c_acctbal < 0"
+    q["q1_utxo_by_address"] = f"""SELECT c.c_custkey, u.height, u.pos tx_pos, u.hash tx_hash, u.satoshis AS value, NULL failed
+      FROM {owner.format(join="JOIN")} UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, {failed}"""
+    q["q2_balance_by_address"] = f"""SELECT c_custkey, {sums}, NULL failed FROM {owner.format(join="LEFT JOIN")}
+      GROUP BY c_custkey UNION ALL SELECT c_custkey, NULL, NULL, {failed}"""
     q["q3_utxo_by_tx"] = "SELECT hash, pos, satoshis satoshi, height FROM utxo"
     q["q4_outpoint_unspent"] = """SELECT k.hash, k.pos, u.hash IS NOT NULL unspent FROM (SELECT hash, pos FROM outs
         UNION SELECT prev_hash, prev_index FROM ins) k LEFT JOIN utxo u ON k.hash = u.hash AND k.pos = u.pos"""
@@ -482,15 +484,21 @@ def _queries() -> dict[str, str]:
         nulls=nulls,
         message="'block hash ' || sha256('no:' || height) || ' not found'",
     )
-    entries = """SELECT k.hash, t.height, t.blockindex, o.pos, o.satoshis, o.script_hex,
-        CASE WHEN o.hash IS NOT NULL THEN u.hash IS NULL END AS spent,
+    elements = """SELECT hash, 'in' side, vin n, '' script_hex, prev_hash, prev_index, 4294967295::BIGINT "sequence",
+        NULL::BIGINT satoshis, NULL::BOOLEAN spent FROM ins
+      UNION ALL SELECT o.hash, 'out', o.pos, o.script_hex, NULL, NULL, NULL, o.satoshis, u.hash IS NULL
+      FROM outs o LEFT JOIN utxo u ON o.hash = u.hash AND o.pos = u.pos"""
+    q["q7_tx_entry"] = f"""SELECT k.hash, t.height, t.blockindex, CASE WHEN t.hash IS NOT NULL THEN 1::INTEGER END "version",
+        CASE WHEN t.hash IS NOT NULL THEN 0::BIGINT END locktime, e.* EXCLUDE (hash),
+        CASE WHEN t.hash IS NULL THEN 'Transaction ' || k.hash || ' not found in block' END not_found
+      FROM keys k LEFT JOIN tx t ON k.hash = t.hash LEFT JOIN ({elements}) e ON t.hash = e.hash"""
+    q["q8_tx_hex"] = """SELECT k.hash, r.tx,
         CASE WHEN t.hash IS NULL THEN 'Transaction ' || k.hash || ' not found in block' END not_found
-      FROM keys k LEFT JOIN tx t ON k.hash = t.hash LEFT JOIN outs o ON t.hash = o.hash
-      LEFT JOIN utxo u ON o.hash = u.hash AND o.pos = u.pos"""
-    q["q7_tx_entry"] = entries
-    q["q8_tx_hex"] = "SELECT t.hash, r.tx FROM tx t JOIN raw r ON t.hash = r.hash"
-    q["q9_tx_from_collection"] = """SELECT c.hash, o.pos, o.satoshis, o.script_hex, u.hash IS NULL AS spent
-      FROM collection c JOIN outs o ON c.hash = o.hash LEFT JOIN utxo u ON o.hash = u.hash AND o.pos = u.pos"""
+      FROM keys k LEFT JOIN tx t ON k.hash = t.hash LEFT JOIN raw r ON t.hash = r.hash"""
+    q["q9_tx_from_collection"] = f"""SELECT k.hash, CASE WHEN c.hash IS NOT NULL THEN 1::INTEGER END "version",
+        CASE WHEN c.hash IS NOT NULL THEN 0::BIGINT END locktime, e.* EXCLUDE (hash),
+        CASE WHEN c.hash IS NULL THEN 'Unknown txid ' || k.hash END failed
+      FROM keys k LEFT JOIN collection c ON k.hash = c.hash LEFT JOIN ({elements}) e ON c.hash = e.hash"""
     q["q10_hex_from_collection"] = """SELECT k.hash, r.tx, CASE WHEN r.tx IS NULL THEN 'Unknown txid ' || k.hash END failed
       FROM keys k LEFT JOIN collection c ON k.hash = c.hash LEFT JOIN raw r ON c.hash = r.hash"""
     q["q11_merkle_proof"] = f"""SELECT k.hash tx_hash, t.hash IS NOT NULL AS found, b.hash block_hash, b.merkle_root,
@@ -528,15 +536,14 @@ def _queries() -> dict[str, str]:
         END) AS priority FROM outs GROUP BY hash HAVING priority IS NOT NULL"""
     q["t8_broadcast_capture"] = "SELECT hash FROM collection WHERE name = 'broadcast'"
     q["t8_stream_collections"] = "SELECT hash, name FROM collection"
-    q["t9_broadcast_admission"] = f"""SELECT hash, CASE WHEN fault IS NULL THEN txid END txid,
-        fault IS NULL AND txid NOT IN (SELECT {rev(h256('r.tx'))} FROM raw r JOIN tx t ON r.hash = t.hash) AS accepted,
-        CASE WHEN fault IS NOT NULL THEN fault
-          WHEN txid IN (SELECT {rev(h256('r.tx'))} FROM raw r JOIN tx t ON r.hash = t.hash)
-          THEN 'already exists: ' || txid END reason
-      FROM (SELECT x.hash, {rev(h256('x.tx'))} txid, CASE
+    q["t9_broadcast_admission"] = f"""SELECT hash, again, CASE WHEN fault IS NULL THEN txid END txid,
+        fault IS NULL AND NOT late AS accepted,
+        CASE WHEN fault IS NOT NULL THEN fault WHEN late THEN 'already exists: ' || txid END reason
+      FROM (SELECT x.hash, again, {rev(h256('x.tx'))} txid, again = 1 OR x.hash IN (SELECT hash FROM tx
+          UNION SELECT hash FROM mempool WHERE time < {CUT} UNION SELECT hash FROM collection) late, CASE
           WHEN length(x.tx) / 2 - (CASE WHEN y.submitted THEN 1 ELSE 0 END) > 300 THEN 'too large'
           WHEN y.submitted THEN 'not a transaction' END fault
-        FROM raw x JOIN txs y ON x.hash = y.hash)"""
+        FROM raw x JOIN txs y ON x.hash = y.hash CROSS JOIN (VALUES (0), (1)) s(again))"""
     q["t10_rebuild"] = """SELECT hash, pos, satoshis, height, pubkeyhash FROM created c WHERE height >= 0 AND NOT EXISTS
       (SELECT 1 FROM ins i WHERE i.prev_hash = c.hash AND i.prev_index = c.pos AND i.blockindex > 0)"""
     q["t11_throttle"] = """WITH RECURSIVE r AS (SELECT event_id id, user_id, epoch_us(ts) t FROM events),

@@ -725,12 +725,11 @@ def w9_last_block(L: Ledger) -> DataFrame:
 
 
 def _customers(L: Ledger) -> DataFrame:
-    """Customers by the key hash that their address decodes to."""
+    """Customers by the key hash that their address decodes to, or the reason why it has none."""
 
     def resolve(ledger: Ledger) -> DataFrame:
-        addresses = feeds.customer_addresses(ledger, damaged=False)
-        found = scripts.address_to_pubkeyhash(addresses).select("c_custkey", "pubkeyhash")
-        return materialize(found, "customers")
+        found = scripts.address_to_pubkeyhash(feeds.customer_addresses(ledger))
+        return materialize(found.select("c_custkey", "pubkeyhash", F.col("reason").alias("failed")), "customers")
 
     return _once(L, "customers", resolve)
 
@@ -738,13 +737,17 @@ def _customers(L: Ledger) -> DataFrame:
 @query
 def q1_utxo_by_address(L: Ledger) -> DataFrame:
     asked = _customers(L)
-    return utxo.utxo_by_pubkeyhash(asked, L.utxo).join(asked, "pubkeyhash").drop("pubkeyhash")
+    good, bad = asked.filter("failed IS NULL"), asked.filter("failed IS NOT NULL").drop("pubkeyhash")
+    found = utxo.utxo_by_pubkeyhash(good, L.utxo).drop("pubkeyhash")
+    return found.unionByName(bad, allowMissingColumns=True)
 
 
 @query
 def q2_balance_by_address(L: Ledger) -> DataFrame:
     asked = _customers(L)
-    return utxo.balance_by_pubkeyhash(asked, L.utxo, L.blocks).join(asked, "pubkeyhash").drop("pubkeyhash")
+    good, bad = asked.filter("failed IS NULL"), asked.filter("failed IS NOT NULL").drop("pubkeyhash")
+    found = utxo.balance_by_pubkeyhash(good, L.utxo, L.blocks).join(good, "pubkeyhash").drop("pubkeyhash")
+    return found.unionByName(bad, allowMissingColumns=True)
 
 
 @query
@@ -772,16 +775,13 @@ def q6_block_at_hash(L: Ledger) -> DataFrame:
 
 @query
 def q7_tx_entry(L: Ledger) -> DataFrame:
-    return lookups.tx_entries(feeds.keys(L), L.outputs, L.tx, L.utxo)
+    return lookups.tx_entries(feeds.keys(L), *L.wire_tables(), L.tx, L.utxo)
 
 
 @query
 def q8_tx_hex(L: Ledger) -> DataFrame:
     path, pieces = _once(L, "block_file", feeds.block_file)
-    placed = L.tx.join(feeds.keys(L).distinct(), "hash", "left_semi").select("hash", "height", "blockindex")
-    located = placed.join(blockfile.tx_index(pieces), ["height", "blockindex"]).select("hash", "offset", "size")
-    found = blockfile.fetch_blocks(located, path).select("offset", "raw")
-    return located.join(found, "offset").select("hash", hashing.to_hex(F.col("raw")).alias("tx"))
+    return lookups.tx_hex(feeds.keys(L), L.tx, blockfile.tx_index(pieces), lambda k: blockfile.fetch_blocks(k, path))
 
 
 def _collection_text(L: Ledger) -> DataFrame:
@@ -790,15 +790,7 @@ def _collection_text(L: Ledger) -> DataFrame:
 
 @query
 def q9_tx_from_collection(L: Ledger) -> DataFrame:
-    stored = _collection_text(L).select("hash", F.unhex("tx").alias("raw"))
-    made = codec.decode_tx_table(stored).select("hash", F.posexplode("vout").alias("pos", "e"))
-    outputs = made.select(
-        "hash",
-        F.col("pos").cast("long").alias("pos"),
-        F.col("e.value").alias("satoshis"),
-        hashing.to_hex(F.col("e.script")).alias("script_hex"),
-    )
-    return utxo.spent_flags(outputs, L.utxo).drop("spendable")
+    return lookups.collection_entries(feeds.keys(L), _collection_text(L), L.utxo)
 
 
 @query
@@ -925,11 +917,16 @@ def t8_stream_collections(L: Ledger) -> DataFrame:
 
 @query
 def t9_broadcast_admission(L: Ledger) -> DataFrame:
-    """All transactions are sent in again, some of them without the last byte."""
+    """All transactions are sent in twice, some of them without the last byte.
+
+    Known are the confirmed, the captured and the older loose ones.
+    """
     text = _raw_hex(L).join(L.txs.select("hash", "submitted"), "hash")
     cut = F.when(F.col("submitted"), F.expr("substr(tx, 1, length(tx) - 2)")).otherwise(F.col("tx"))
-    known = codec.txids(L.raw).join(L.tx, "hash", "left_semi").select(F.col("txid").alias("hash"))
-    return lookups.admit_broadcasts(text.select("hash", cut.alias("tx")), known, 300)
+    twice = text.select("hash", cut.alias("tx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    stored = lookups.known_txs(L.tx, _old(L.mempool), L.collection)
+    known = codec.txids(L.raw).join(stored, "hash", "left_semi").select(F.col("txid").alias("hash"))
+    return lookups.admit_broadcasts(twice, known, 300, "again")
 
 
 @query

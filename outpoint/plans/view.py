@@ -93,11 +93,12 @@ class Ledger:
             (F.col("o_orderpriority") == SUBMITTED_PRIORITY).alias("submitted"),
         )
         dates = orders.filter(~F.col("is_mem")).select("o_orderdate").distinct()
-        heights = row_position(dates.withColumn("one", F.lit(1)), ["one"], ["o_orderdate"], "rank").select(
+        # Bounded groups: the days of the calendar, the orders of a customer, the lines of an order.
+        heights = row_position(dates.withColumn("one", F.lit(1)), ["one"], ["o_orderdate"], "rank", bounded=True).select(
             "o_orderdate", (F.col("rank") + FIRST_HEIGHT).alias("height")
         )
         linked = previous_value(
-            orders, ["o_custkey"], ["is_mem", "o_orderdate", "o_orderkey"], "o_orderkey", "prev_okey"
+            orders, ["o_custkey"], ["is_mem", "o_orderdate", "o_orderkey"], "o_orderkey", "prev_okey", bounded=True
         )
         placed = linked.join(heights, "o_orderdate", "left").withColumn(
             "height", F.when(F.col("is_mem"), utxo.NOT_IN_BLOCK).otherwise(F.col("height"))
@@ -123,7 +124,7 @@ class Ledger:
     def _build_outputs(self) -> DataFrame:
         """hash, pos, satoshis, script_hex with the place of the transaction."""
         items = self.source("lineitem").select("l_orderkey", *OUTPUT_ORDER)
-        placed = row_position(items, ["l_orderkey"], OUTPUT_ORDER, "pos")
+        placed = row_position(items, ["l_orderkey"], OUTPUT_ORDER, "pos", bounded=True)
         owners = self.txs.select("hash", "height", "blockindex", "seq", "okey", "ckey")
         pays_customer = lock_script(pubkeyhash_of(F.col("ckey")))
         pays_supplier = lock_script(F.substring(tagged_hash("s:", F.col("l_suppkey")), 1, 40))

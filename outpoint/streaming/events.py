@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import materialize
+
 # Fixed values.
 EVENT_TYPES = ["Connected", "Disconnected", "Addr", "Tx", "Block", "Headers", "Inv"]
 INV_TX, INV_BLOCK = 1, 2
@@ -26,10 +28,14 @@ def split_inventory(objects: DataFrame) -> tuple[DataFrame, DataFrame]:
 def route_stream(
     events: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Hand each micro-batch of a streaming feed to the handlers of its types."""
+    """Hand each micro-batch of a streaming feed to the handlers of its types.
+
+    The batch is written once, by type, so the source is read once however
+    many handlers there are, and each handler reads only its own types.
+    """
 
     def apply(df: DataFrame, batch: int) -> None:
-        branches = route(df)
+        branches = route(materialize(df, "events", ("event_type",)))
         for kind, handler in handlers.items():
             handler(branches[kind], batch)
 

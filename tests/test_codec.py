@@ -76,3 +76,15 @@ def test_display_record(spark, h):
 
 def test_hex_text_is_lower_case(spark):
     assert spark.range(1).select(to_hex(F.unhex(F.lit("AB"))).alias("x")).first()["x"] == "ab"
+
+
+def test_crafted_lengths_give_null(spark, h):
+    head = struct.pack("<i", 1)
+    outpoint = b"\x01" + b"\0" * 36
+    rows = []
+    for n in (2**31, 2**32, 2**63, 2**64 - 1):
+        nine = b"\xff" + n.to_bytes(8, "little")
+        rows += [(f"in{n}", head + nine), (f"sig{n}", head + outpoint + nine), (f"out{n}", head + b"\0" + nine)]
+        rows += [(f"lock{n}", head + b"\0\x01" + b"\0" * 8 + nine)]
+    df = spark.createDataFrame([(name, raw + b"\0" * 50) for name, raw in rows], "name string, raw binary")
+    assert all(r["version"] is None for r in codec.decode_tx_table(df).collect())

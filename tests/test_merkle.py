@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from outpoint.operators import merkle
 
+# Transaction ids and branches that must come out exactly so.
 LEAVES_2 = [
     "931475bee79c76509ccb01916998009c93afd54f4bcce431299848b473d53aef",
     "d3dc8224dc896986cebb8bf78cb658c8ca7b85c1b99077d835dee5f81424e7b9",

@@ -116,15 +116,12 @@ def test_checks(spark):
     assert verdicts == {"s": "not dynamic", "d": None, "?": "bad name", "u": "unknown name"}
 
 
-def test_monitors_from_a_table(spark, monkeypatch):
+def test_monitors_from_a_table(spark):
     rules = [Monitor("b", True, None, "aa"), Monitor("a", False, "x", None, 3, 9)]
     table = monitors.monitors_frame(spark, rules)
     assert sorted(monitors.monitors_of(table), key=lambda m: m.name) == rules[::-1]
     numbered = table.withColumn("position", F.when(F.col("name") == "a", 2).otherwise(1))
     assert monitors.monitors_of(numbered) == rules
-    monkeypatch.setattr(monitors, "MAX_MONITORS", 1)
-    with pytest.raises(ValueError):
-        monitors.monitors_of(table)
 
 
 def test_order_of_monitors(spark):
@@ -135,3 +132,16 @@ def test_order_of_monitors(spark):
     added = spark.createDataFrame([row(0, "later")], schema)
     out = monitors.monitor_order(static, dynamic, added).orderBy("stage", "position").collect()
     assert [r["name"] for r in out] == ["s0", "d0", "broadcast", "later"]
+
+
+def test_thousands_of_address_monitors(spark):
+    script = lambda i: f"76a914{i:040x}88ac"
+    rules = [Monitor("first", False, None, "^76a9140{39}7")] + [Monitor(f"m{i}", i == 3, None, script(i)) for i in range(5000)]
+    rules[10] = Monitor("m9", False, None, script(9), 5, 8)
+    outs = [("a", script(4000), 1), ("b", "75" + script(17), 1), ("c", script(9), 4), ("d", script(9), 5), ("e", script(7), 1)]
+    outs += [("f", "7" + script(20), 1), ("g", "51", 1), ("a", script(3), 1), ("h", script(21) + script(22), 1)]
+    outputs = spark.createDataFrame(outs, "hash string, script_hex string, seq long")
+    first = {r["hash"]: rules[r["priority"]].name for r in monitors.own_matches(outputs, rules).collect()}
+    assert first == {"a": "m3", "b": "m17", "d": "m9", "e": "first", "f": "m20", "h": "m21"}
+    every = sorted((r["hash"], r["name"]) for r in monitors.pattern_matches(outputs, rules).collect())
+    assert [n for h, n in every if h == "a"] == ["m3", "m4000"] and [n for h, n in every if h == "h"] == ["m21", "m22"]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from outpoint.operators.ordering import largest_group, previous_value, row_position, running_sum
+from outpoint.operators.ordering import previous_value, row_position, running_sum
 
 
 @pytest.fixture(scope="module")
@@ -22,26 +22,21 @@ def key(row):
     return tuple(row)
 
 
-def test_largest_group(rows):
-    assert largest_group(rows, ["g"]) == 300
-    assert largest_group(rows.limit(0), ["g"]) == 0
-
-
 def test_split_positions_equal_the_window(rows):
-    plain = row_position(rows, ["g"], ["a", "id"], "pos")
-    split = row_position(rows, ["g"], ["a", "id"], "pos", max_group_rows=50)
+    plain = row_position(rows, ["g"], ["a", "id"], "pos", bounded=True)
+    split = row_position(rows, ["g"], ["a", "id"], "pos")
     assert sorted(map(key, plain.collect())) == sorted(map(key, split.select(plain.columns).collect()))
 
 
 def test_split_sums_equal_the_window(rows):
-    plain = running_sum(rows, ["g"], ["a", "id"], F.col("v"), "total")
-    split = running_sum(rows, ["g"], ["a", "id"], F.col("v"), "total", max_group_rows=50)
+    plain = running_sum(rows, ["g"], ["a", "id"], F.col("v"), "total", bounded=True)
+    split = running_sum(rows, ["g"], ["a", "id"], F.col("v"), "total")
     assert sorted(map(key, plain.collect())) == sorted(map(key, split.select(plain.columns).collect()))
 
 
 def test_split_predecessors_equal_the_window(rows):
-    plain = previous_value(rows, ["g"], ["a", "id"], "id", "before")
-    split = previous_value(rows, ["g"], ["a", "id"], "id", "before", max_group_rows=50)
+    plain = previous_value(rows, ["g"], ["a", "id"], "id", "before", bounded=True)
+    split = previous_value(rows, ["g"], ["a", "id"], "id", "before")
     order = lambda r: tuple((x is None, x) for x in r)
     assert sorted(map(key, plain.collect()), key=order) == sorted(
         map(key, split.select(plain.columns).collect()), key=order
@@ -50,5 +45,5 @@ def test_split_predecessors_equal_the_window(rows):
 
 def test_one_group_of_everything(spark):
     df = spark.range(1000).withColumn("one", F.lit(1))
-    out = row_position(df, ["one"], ["id"], "pos", max_group_rows=10)
+    out = row_position(df, ["one"], ["id"], "pos")
     assert out.filter("pos <> id").count() == 0 and out.count() == 1000

@@ -69,6 +69,13 @@ def test_fees(spark):
     assert fees == {"b": 10, "c": 0, "d": 0, "e": 89, "f": 0, "g": 0, "i": 0}
 
 
+def test_a_coinbase_spends_nothing(spark):
+    outs = outputs(spark, [("a", 0, 100, KEY, 1, 0, 1), ("b", 0, 70, KEY, 1, 0, 1), ("d", 0, 60, KEY, -1, None, 4)])
+    ins = inputs(spark, [("coin", "a", 0, 0, 2), ("d", "a", 0, 5, 4), ("d2", "a", 0, 5, 5), ("e", "b", 0, 1, 6), ("late", "b", 0, 0, 7)])
+    fees = {r["hash"]: r["fee"] for r in utxo.fees(ins.select("hash").distinct(), ins, outs).collect()}
+    assert fees == {"coin": 100, "d": 40, "d2": 0, "e": 70, "late": 0}
+
+
 def rows_of(spark, pairs, pkh="p"):
     return spark.createDataFrame(
         [(f"h{i}", i, s, n, pkh) for i, (n, s) in enumerate(pairs)],
@@ -162,11 +169,11 @@ def test_admission(spark):
     rows = [(1, good), (2, other), (3, good + "ffff"), (4, good[:-2]), (5, "00f"), (6, "zz"), (7, "00" * 90), (8, None)]
     submitted = spark.createDataFrame(rows, "i int, tx string")
     known = spark.createDataFrame([(ids[1],), (ids[1],)], "hash string")
-    out = {r["i"]: (r["txid"], r["reason"]) for r in lookups.admit_broadcasts(submitted, known, 80).collect()}
+    out = {r["i"]: (r["txid"], r["reason"]) for r in lookups.admit_broadcasts(submitted, known, 80, "i").collect()}
     assert out == {
         1: (ids[0], None),
         2: (ids[1], f"already exists: {ids[1]}"),
-        3: (ids[0], None),
+        3: (ids[0], f"already exists: {ids[0]}"),
         4: (None, "not a transaction"),
         5: (None, "empty or odd length"),
         6: (None, "not hex"),
@@ -190,3 +197,39 @@ def test_orphan_rows_are_stamped(spark):
     )
     row = maintenance.orphan_rows(df, F.current_timestamp()).first()
     assert row["created_at"] is not None and "numtxs" not in row
+
+
+def test_one_transaction_submitted_twice(spark):
+    raw = (1).to_bytes(4, "little") + bytes(6)
+    other = (2).to_bytes(4, "little") + bytes(6)
+    rows = [(1, raw.hex()), (0, raw.hex().upper()), (2, other.hex()), (3, "ff" * 20), (4, "ff" * 20)]
+    submitted = spark.createDataFrame(rows, "i int, tx string")
+    known = spark.createDataFrame([], "hash string")
+    out = {r["i"]: (r["accepted"], r["reason"]) for r in lookups.admit_broadcasts(submitted, known, arrival="i").collect()}
+    assert out[0] == out[2] == (True, None)
+    assert not out[1][0] and out[1][1].startswith("already exists")
+    assert out[3] == out[4] == (False, "not a transaction")
+
+
+def test_an_owner_with_most_outputs_is_split(spark):
+    rows = spark.range(60_000).selectExpr(
+        "concat('t', id) hash", "id pos", "1L satoshis", "1 height", "if(id % 10 = 0, concat('p', id % 97), 'hot') pubkeyhash"
+    )
+    keys = spark.range(97).selectExpr("concat('p', id) pubkeyhash", "id").union(spark.createDataFrame([("hot", 1000)], "p string, id long"))
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = utxo.utxo_by_pubkeyhash(keys, rows)
+        assert len(found.collect()) == 60_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
