@@ -55,28 +55,37 @@ def _fold(nodes: DataFrame) -> DataFrame:
     return chunked.select("height", "chunk", F.reduce(steps, F.array(leaves), climb).alias("levels"), "done")
 
 
-def _passes(txs: DataFrame) -> list[DataFrame]:
-    """Folded chunks of each pass; the tops of one are the leaves of the next."""
+def _passes(txs: DataFrame, wanted: DataFrame | None = None) -> list[DataFrame]:
+    """Folded chunks of each pass; the tops of one are the leaves of the next.
+
+    Of a chunk only its ``top`` is kept, and its ``levels`` where one of the
+    ``wanted`` nodes (height, pos) or what became of it is in it.
+    """
     node = F.unhex(reverse_hex(F.col("hash")))
     nodes = txs.select("height", F.col("blockindex").cast("long").alias("pos"), node.alias("node"))
+    span = 1 << SPAN_LEVELS
     passes = []
     while True:
-        folded = materialize(_fold(nodes), "merkle")
+        folded = _fold(nodes).withColumn("top", F.element_at(F.element_at("levels", -1), 1))
+        if wanted is None:
+            folded = folded.drop("levels")
+        else:
+            asked = wanted.select("height", F.floor(F.col("pos") / span).alias("chunk")).distinct()
+            wanted = asked.withColumnRenamed("chunk", "pos")
+            folded = folded.join(asked.withColumn("_asked", F.lit(True)), ["height", "chunk"], "left")
+            folded = folded.withColumn("levels", F.when(F.col("_asked"), F.col("levels"))).drop("_asked")
+        folded = materialize(folded, "merkle")
         passes.append(folded)
         rest = folded.filter(~F.col("done"))
         if rest.isEmpty():
             return passes
-        nodes = rest.select("height", F.col("chunk").alias("pos"), _top().alias("node"))
-
-
-def _top() -> Column:
-    return F.element_at(F.element_at("levels", -1), 1)
+        nodes = rest.select("height", F.col("chunk").alias("pos"), F.col("top").alias("node"))
 
 
 def merkle_roots(txs: DataFrame) -> DataFrame:
     """(height, merkle_root) from transactions (hash, height, blockindex)."""
     roots = [
-        folded.filter("done").select("height", reverse_hex(to_hex(_top())).alias("merkle_root"))
+        folded.filter("done").select("height", reverse_hex(to_hex(F.col("top"))).alias("merkle_root"))
         for folded in _passes(txs)
     ]
     return reduce(DataFrame.unionByName, roots)
@@ -139,7 +148,7 @@ def merkle_proofs(keys: DataFrame, txs: DataFrame, blocks: DataFrame) -> DataFra
     wanted = keys.select("hash").distinct()
     leaves = txs.select("hash", "height", F.col("blockindex").cast("long").alias("pos"))
     placed = materialize(leaves.join(wanted, "hash", "left_semi"), "placed")
-    passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"))
+    passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"), placed)
     heads = blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root")
     proofs = placed.join(_paths(placed, passes), ["height", "pos"]).join(heads, "height")
     return wanted.join(proofs, "hash", "left").select(
