@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,8 +15,9 @@ _local_dirs: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir`` and clears it when the
+    application is over. Only a local session without that setting gets a
+    temporary folder, which goes when the process ends.
     """
     sc = spark.sparkContext
     app = sc.applicationId
@@ -24,6 +27,7 @@ def work_dir(spark: SparkSession) -> str:
     if not named:
         if app not in _local_dirs:
             _local_dirs[app] = tempfile.mkdtemp(prefix="outpoint-")
+            atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
         named = f"file://{_local_dirs[app]}"
     return f"{qualified(spark, named).rstrip('/')}/outpoint/{app}"
 
