@@ -37,10 +37,6 @@ def delete_keys(current: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame
     return current.join(keys.select(*on).distinct(), on, "left_anti").select(*current.columns)
 
 
-def delete_height(current: DataFrame, height: int | Column) -> DataFrame:
-    return current.filter(F.col("height") != height)
-
-
 def split_confirmed(mempool: DataFrame, confirmed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(confirmed, remaining) rows of the mempool, given the hashes in blocks."""
     hashes = confirmed.select("hash").distinct()

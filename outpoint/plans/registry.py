@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codec, display, hashing, scripts, validate
 from ..operators import chain, lookups, maintenance, merkle, monitors, utxo
 from ..operators.ordering import row_position
+from ..schemas import TABLES
 from ..session import materialize, new_path
 from ..sources import blockfile, tables
 from ..streaming import events as event_stream
@@ -171,18 +172,29 @@ def k2_append_txs(L: Ledger) -> DataFrame:
     return maintenance.insert_once(stored, L.tx, ["hash"], ["height", "blockindex"])
 
 
+def _stored_table(L: Ledger, name: str, rows: DataFrame) -> str:
+    """Folder with a table that has ``rows``."""
+    folder = new_path(L.spark, "tables")
+    columns = [c.split() for c in TABLES[name].split(", ")]
+    values = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns]
+    tables.append_table(rows.select(*values), folder, name)
+    return folder
+
+
 @query
 def k3_utxo_upsert(L: Ledger) -> DataFrame:
     made = utxo.created_outputs(L.outputs)
-    loose = made.withColumn("height", F.lit(utxo.NOT_IN_BLOCK))
+    folder = _stored_table(L, "utxo", made.withColumn("height", F.lit(utxo.NOT_IN_BLOCK)))
     confirmed = made.filter("height >= 0").withColumn("seq", F.col("height").cast("long"))
-    return utxo.upsert(loose, confirmed, ["hash", "pos"], "seq")
+    tables.upsert_table(confirmed, folder, "utxo", ["hash", "pos"], "seq")
+    return tables.read_table(L.spark, folder, "utxo")
 
 
 @query
 def k4_utxo_delete(L: Ledger) -> DataFrame:
-    made = utxo.created_outputs(L.outputs)
-    return maintenance.delete_keys(made, utxo.spent_outpoints(L.inputs), ["hash", "pos"])
+    folder = _stored_table(L, "utxo", utxo.created_outputs(L.outputs))
+    tables.delete_from_table(utxo.spent_outpoints(L.inputs), folder, "utxo", ["hash", "pos"])
+    return tables.read_table(L.spark, folder, "utxo")
 
 
 @query
@@ -193,7 +205,9 @@ def k5_mempool_insert(L: Ledger) -> DataFrame:
 
 @query
 def k6_mempool_delete(L: Ledger) -> DataFrame:
-    return maintenance.delete_keys(L.txs.select("hash", "time"), L.tx, ["hash"])
+    folder = _stored_table(L, "mempool", L.txs.select("hash", "time"))
+    tables.delete_from_table(L.tx.select("hash"), folder, "mempool", ["hash"])
+    return tables.read_table(L.spark, folder, "mempool").select("hash", "time")
 
 
 @query
@@ -208,17 +222,23 @@ def _late_blocks(L: Ledger) -> DataFrame:
 
 @query
 def k8_delete_blocks(L: Ledger) -> DataFrame:
-    return maintenance.delete_keys(L.blocks, _late_blocks(L), ["hash"]).select("height", "hash")
+    folder = _stored_table(L, "blocks", L.blocks)
+    tables.delete_from_table(_late_blocks(L).select("hash", "height"), folder, "blocks", ["hash", "height"])
+    return tables.read_table(L.spark, folder, "blocks").select("height", "hash")
 
 
 @query
 def k9_delete_txs(L: Ledger) -> DataFrame:
-    return maintenance.delete_keys(L.tx, _late_blocks(L), ["height"])
+    folder = _stored_table(L, "tx", L.tx)
+    tables.delete_from_table(_late_blocks(L).select("height"), folder, "tx", ["height"])
+    return tables.read_table(L.spark, folder, "tx")
 
 
 @query
 def k10_delete_utxo(L: Ledger) -> DataFrame:
-    return maintenance.delete_keys(L.utxo, _late_blocks(L), ["height"])
+    folder = _stored_table(L, "utxo", L.utxo)
+    tables.delete_from_table(_late_blocks(L).select("height"), folder, "utxo", ["height"])
+    return tables.read_table(L.spark, folder, "utxo")
 
 
 @query
