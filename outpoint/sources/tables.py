@@ -46,8 +46,7 @@ def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def append_table(df: DataFrame, folder: str, name: str) -> None:
-    writer = df if part_of(name) is None else df.withColumn("part", part_of(name))
-    writer = writer.write.mode("append")
+    writer = (df if part_of(name) is None else _dealt(df, name)).write.mode("append")
     if name == "collection":
         writer = writer.partitionBy("name")
     elif part_of(name) is not None:
@@ -55,6 +54,11 @@ def append_table(df: DataFrame, folder: str, name: str) -> None:
     writer.parquet(_path(folder, name))
 
 
+def _dealt(df: DataFrame, name: str) -> DataFrame:
+    """Rows by their partition, so that it gets few files; Spark splits a large one."""
+    return df.withColumn("part", part_of(name)).hint("rebalance", F.col("part"))
+
+
 def _parts(rows: DataFrame) -> list[str]:
     """Names of partitions: at most 16 ** PREFIX_DIGITS, or one per HEIGHTS blocks."""
     return [r[0] for r in rows.select("part").distinct().collect()]
@@ -73,8 +77,8 @@ def lookup(keys: DataFrame, folder: str, name: str, on: str) -> DataFrame:
 def _rewrite(rows: DataFrame, parts: list[str], folder: str, name: str) -> None:
     """Put ``rows`` in place of the given partitions."""
     spark = rows.sparkSession
-    rows = materialize(rows.withColumn("part", part_of(name)), "rewritten")
-    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    rows = materialize(_dealt(rows, name), "rewritten")
+    writer = rows.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("part").parquet(_path(folder, name))
     for part in set(parts) - set(_parts(rows)):  # nothing is left of these, so nothing has replaced them
         place = spark._jvm.org.apache.hadoop.fs.Path(f"{_path(folder, name)}/part={part}")
