@@ -19,6 +19,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -30,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, map_batches, table, texts_of
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: Words that are encoded together; more than fit in a processor's cache are slower.
+BLOCK_WORDS = 1 << 12
 #: Encoded words that a task keeps.
-KEPT_WORDS = 1 << 18
+KEPT_WORDS = 1 << 19
 
 
 class Merges:
@@ -42,66 +45,78 @@ class Merges:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.parts = {rank: token for token, rank in self.ranks.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
+        self.base = max(self.parts) + 1
+        # Every pair of neighbours that makes a token, as one number, with the token's rank.
+        self.pairs = {
+            self.ranks[token[:cut]] * self.base + self.ranks[token[cut:]]: rank
+            for token, rank in self.ranks.items()
+            for cut in range(1, len(token))
+            if token[:cut] in self.ranks and token[cut:] in self.ranks
+        }
         self.words: dict[str, bytes] = {}
 
-    def _merged(self, left: int, right: int) -> int | None:
-        """Rank of the token that two neighbours make, if they make one."""
-        key = (left, right)
-        if key not in self.pairs:
-            if len(self.pairs) >= 4 * KEPT_WORDS:
-                self.pairs.clear()
-            self.pairs[key] = self.ranks.get(self.parts[left] + self.parts[right])
-        return self.pairs[key]
-
     def replay(self, words: Iterable[bytes]) -> list[list[int]]:
         """Token ids of each word; a word that is a token as a whole is that token."""
-        merged = self._merged
-        words = list(words)
+        pair_rank, base, single = self.pairs.get, self.base, self.single
         ids: list[int] = []
         after: list[int] = []
         starts = []
-        for word in words:
-            starts.append(len(ids))
-            ids += [self.ranks[word]] if word in self.ranks else [self.single[b] for b in word]
-            after += [*range(len(after) + 1, len(ids)), -1] if len(ids) > len(after) else []
-        before = [-1] * len(ids)
         index: defaultdict[int, list[int]] = defaultdict(list)
-        for i, j in enumerate(after):
-            if j >= 0:
-                before[j] = i
-                rank = merged(ids[i], ids[j])
+        for word in words:
+            at = len(ids)
+            starts.append(at)
+            if word in self.ranks:
+                ids.append(self.ranks[word])
+                after.append(-1)
+                continue
+            mine = [single[b] for b in word]
+            ids += mine
+            after += range(at + 1, at + len(mine))
+            if mine:
+                after.append(-1)
+            for i, (left, right) in enumerate(pairwise(mine), at):
+                rank = pair_rank(left * base + right)
                 if rank is not None:
                     index[rank].append(i)
+        before = list(range(-1, len(ids) - 1))
+        for at in starts:
+            if at < len(ids):
+                before[at] = -1
         waiting = list(index)
         heapify(waiting)
         while waiting:
             rank = heappop(waiting)
-            places = sorted(index.pop(rank, ()))
-            for at, i in enumerate(places):
+            places = index.pop(rank, ())
+            if len(places) > 1:
+                places.sort()
+            for n, i in enumerate(places):
                 j = after[i]
-                if ids[i] < 0 or j < 0 or merged(ids[i], ids[j]) != rank:
+                if j < 0 or ids[i] < 0 or pair_rank(ids[i] * base + ids[j]) != rank:
                     continue
                 ids[i], ids[j] = rank, -1
                 k = after[i] = after[j]
+                lower = False
                 if k >= 0:
                     before[k] = i
-                lower = False
-                for left in (before[i], i):
-                    right = after[left] if left >= 0 else -1
-                    if right >= 0:
-                        new = merged(ids[left], ids[right])
-                        if new is not None:
-                            if new not in index:
-                                heappush(waiting, new)
-                            index[new].append(left)
-                            lower |= new < rank
-                if lower:
-                    rest = places[at + 1 :]
-                    if rest:
+                    new = pair_rank(rank * base + ids[k])
+                    if new is not None:
+                        if new not in index:
+                            heappush(waiting, new)
+                        index[new].append(i)
+                        lower = new < rank
+                h = before[i]
+                if h >= 0:
+                    new = pair_rank(ids[h] * base + rank)
+                    if new is not None:
+                        if new not in index:
+                            heappush(waiting, new)
+                        index[new].append(h)
+                        lower |= new < rank
+                if lower:  # that pair goes first; the other places wait
+                    if n + 1 < len(places):
                         if rank not in index:
                             heappush(waiting, rank)
-                        index[rank] += rest
+                        index[rank] += places[n + 1 :]
                     break
         out = []
         for start in starts:
@@ -117,9 +132,11 @@ class Merges:
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         split = [pattern.findall(text) for text in texts]
-        new = list({word for words in split for word in words if word not in self.words})
-        for word, ids in zip(new, self.replay(w.encode() for w in new), strict=True):
-            self.words[word] = np.array(ids, "<u4").tobytes()
+        new = list(set(chain.from_iterable(split)).difference(self.words))
+        for at in range(0, len(new), BLOCK_WORDS):
+            block = new[at : at + BLOCK_WORDS]
+            for word, ids in zip(block, self.replay([w.encode() for w in block]), strict=True):
+                self.words[word] = np.array(ids, "<u4").tobytes()
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
 
