@@ -10,16 +10,9 @@ Light sets that are large enough to link with a heavy one do both. The
 boundary is the size with the least cost: subsets written against lists
 scanned, from the sizes and frequencies of the corpus.
 
-Keys travel packed: a task sends one row with all its keys of a bucket, so a
-key costs few bytes and no JVM row. A bucket has a stated number of keys on
-average, however large the corpus is. Equal sets of a task are sent once.
-
-Components are needed, not all pairs, so lists are worked through in two
-passes. The first takes all pairs of short lists, and of long ones the pairs
-with the first set and the next one. They are checked exactly and united. The
-second takes from long lists every pair of sets that are still apart. So no
-link between components is lost and a group of copies costs its size, not its
-square.
+Keys travel packed in inverted lists, see ``lists``, and equal sets of a task
+are sent once. Components are needed, not all pairs, so a large group of
+copies costs its size and not its square.
 """
 
 from __future__ import annotations
@@ -28,35 +21,31 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import lists
 from . import textbytes as tb
 from .common import bounded_batches, table, written
-from .components import components
 
-#: Bucket size in keys; a bucket is worked through in one task.
-BUCKET_KEYS = 1 << 20
-#: Keys that a task holds before it sends them.
-SEND_KEYS = 1 << 20
 #: Shingles that a task counts at once.
 COUNT_KEYS = 1 << 21
 #: The order knows the frequency of so many shingles, the most frequent ones (a table of 4 MB).
 FREQUENT = 1 << 18
-#: All pairs of a list up to this length are checked at once.
-SHORT_LIST = 8
+#: Distinct sets that a task remembers.
+REMEMBERED = 1 << 19
 #: Sizes among which the boundary is chosen.
 BOUNDARIES = (0, 4, 8, 12, 16, 24, 32, 48, 64)
 
-_U = np.uint64
+#: Similarity of 3/4 or more.
+LEAST, OF = 3, 4
 
 
 def need(n):
-    """Least overlap with a set of ``n`` in a pair of similarity 3/4 or more."""
-    return (3 * n + 3) // 4
+    """Least overlap with a set of ``n`` in a pair that links."""
+    return (LEAST * n + OF - 1) // OF
 
 
 def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +61,7 @@ def _sizes_and_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     def rows(ids, hashes, n) -> pa.RecordBatch:
         empty = pa.nulls(len(n), pa.int64())
         columns = [empty if ids is None else ids, empty if hashes is None else pa.array(hashes), pa.array(n.astype(np.int64))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([ids is not None] * len(n))], ["doc_id", "shingle", "n", "is_doc"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(n), ids is not None))], ["doc_id", "shingle", "n", "is_doc"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -106,19 +95,20 @@ def _subset_keys(rows: np.ndarray, hashes: np.ndarray, place: np.ndarray, size:
 
 
 def keys_of(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, frequent, boundary: int):
-    """(row, key) of the sets in a block; ``rows`` is sorted, ``sizes`` is by row."""
+    """(row, key) of the sets in a block, sorted by row and hash; ``sizes`` is by row."""
     values, counts = frequent
     freq = np.zeros(len(hashes), np.int64)
     if len(values):
         at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
         freq = np.where(values[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, freq, rows))
+    # Sets come in the order of their hashes, so a stable sort by row and frequency is enough.
+    order = np.argsort(rows * (int(freq.max(initial=0)) + 1) + freq, kind="stable")
     rows, hashes = rows[order], hashes[order]
     size = sizes[rows]
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
     few_rows, few_keys = _subset_keys(rows, hashes, place, size, boundary)
-    # A light set links with a heavy one only from 3/4 of the first heavy size on.
-    listed = (size > 1) & (place < size - need(size) + 1) & (4 * size >= 3 * (boundary + 1))
+    # A light set links with a heavy one only from 3/4 of the first heavy size on; a single element has no subset.
+    listed = (place < size - need(size) + 1) & ((OF * size >= LEAST * (boundary + 1)) | (size == 1))
     all_rows = np.concatenate([few_rows, rows[listed]])
     return all_rows, np.concatenate([few_keys, tb.mixed(hashes[listed])])
 
@@ -133,26 +123,8 @@ def _send(frequent: Broadcast, boundary: int, buckets: int):
         copies: list[tuple[int, int]] = []
 
         def sent() -> pa.RecordBatch:
-            ids, ns, keys = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
-            keys = keys.astype(np.uint64)
-            bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-            order = np.lexsort((ids, bucket))
-            ids, ns, keys, bucket = ids[order], ns[order], keys[order].astype(np.uint32), bucket[order]
-            names = np.unique(bucket)
-            cuts = np.searchsorted(bucket, [*names, buckets])
-            out = {"bucket": [], "keys": [], "ids": [], "sizes": [], "times": []}
-            for b, lo, hi in zip(names, cuts, cuts[1:], strict=False):
-                new = np.flatnonzero(np.diff(ids[lo:hi], prepend=ids[lo] - 1))
-                out["bucket"].append(int(b))
-                out["keys"].append(keys[lo:hi].tobytes())
-                out["ids"].append(ids[lo:hi][new].tobytes())
-                out["sizes"].append(ns[lo:hi][new].astype(np.int32).tobytes())
-                out["times"].append(np.diff([*new, hi - lo]).astype(np.int32).tobytes())
-            if copies:
-                both = np.array(copies, np.int64)
-                for name, value in (("bucket", -1), ("keys", b""), ("ids", both[:, 0].tobytes()), ("sizes", b""), ("times", both[:, 1].tobytes())):
-                    out[name].append(value)
-            return pa.RecordBatch.from_pydict(out, schema=_SENT_ARROW)
+            parts = held or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+            return lists.pack(*(np.concatenate(x) for x in zip(*parts, strict=True)), buckets, copies)
 
         for batch in batches:
             if not batch.num_rows:
@@ -171,14 +143,14 @@ def _send(frequent: Broadcast, boundary: int, buckets: int):
                         copies.append((doc, kept))
                 rows = np.repeat(np.arange(len(sizes)), sizes)
                 use = fresh[rows]
-                mine, keys = keys_of(rows[use], hashes[use], sizes, (frequent.value), boundary)
+                mine, keys = keys_of(rows[use], hashes[use], sizes, frequent.value, boundary)
                 doc_ids = np.array([x if x is not None else 0 for x in ids.slice(first, len(sizes)).to_pylist()], np.int64)
                 held.append((doc_ids[mine], sizes[mine], keys))
                 size += len(keys)
-                if size >= SEND_KEYS:
+                if size >= lists.SEND_KEYS:
                     yield sent()
                     held, size, copies = [], 0, []
-                if len(seen) > SEND_KEYS:
+                if len(seen) > REMEMBERED:
                     seen.clear()
         if held or copies:
             yield sent()
@@ -186,96 +158,34 @@ def _send(frequent: Broadcast, boundary: int, buckets: int):
     return run
 
 
-_SENT = "bucket int, keys binary, ids binary, sizes binary, times binary"
-_SENT_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "ids", "sizes", "times"))])
-_SCANNED = "a long, b long, list long"
-
-
-def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, ids and sizes of a bucket, in the order of key, size and id, without repeats."""
-    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["keys"]])
-    times = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["times"]])
-    ids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), times)
-    sizes = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]]), times)
-    alone = np.unique(keys, return_inverse=True, return_counts=True)
-    use = alone[2][alone[1]] > 1
-    keys, ids, sizes = keys[use], ids[use], sizes[use]
-    order = np.lexsort((ids, sizes, keys))
-    keys, ids, sizes = keys[order], ids[order], sizes[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    return keys[new], ids[new], sizes[new]
-
-
-def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a bucket to check now (a, b), and members of its long lists (a, list)."""
-    keys, ids, sizes = _unpacked(pdf)
-    starts = np.searchsorted(keys, keys)
-    lengths = np.searchsorted(keys, keys, "right") - starts
-    found = []
-    every = np.arange(len(keys))
-    for step in range(1, SHORT_LIST):
-        i = every[: max(0, len(keys) - step)]
-        i = i[(keys[i] == keys[i + step]) & ((lengths[i] <= SHORT_LIST) | (step == 1))]
-        found.append((i, i + step))
-    far = every[(lengths > SHORT_LIST) & (every > starts)]
-    found.append((starts[far], far))
-    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
-    fits = (4 * sizes[i].astype(np.int64) >= 3 * sizes[j]) & (ids[i] != ids[j])
-    i, j = i[fits], j[fits]
-    low, high = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-    order = np.lexsort((high, low))
-    low, high = low[order], high[order]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-    long = lengths > SHORT_LIST
-    name = (int(pdf["bucket"].iloc[0]) << 32) + keys[long].astype(np.int64)
-    pairs = pd.DataFrame({"a": low[new], "b": high[new], "list": pd.array([pd.NA] * int(new.sum()), "Int64")})
-    members = pd.DataFrame({"a": ids[long], "b": sizes[long].astype(np.int64), "list": pd.array(name, "Int64")})
-    return pd.concat([pairs, members], ignore_index=True)
-
-
-def _apart(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a long list whose sets are in different components."""
-    pdf = pdf.sort_values(["n", "a"])
-    ids, sizes, parts = (pdf[c].to_numpy() for c in ("a", "n", "part"))
-    found = []
-    for i in range(len(ids) - 1):
-        end = np.searchsorted(sizes, 4 * sizes[i] // 3, "right")
-        j = np.arange(i + 1, end)
-        j = j[parts[j] != parts[i]]
-        found.append((np.full(len(j), ids[i]), ids[j]))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for first, at, hashes in tb.shingle_sets(batch.column(1)):
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(at) - 1), lists], ["doc_id", "items"])
+def _bodies(wanted: np.ndarray):
+    """Texts of documents that may be asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids = batch.column(0)
+                use = pa.array(lists.in_filter(wanted, ids.to_numpy(zero_copy_only=False)))
+                texts = [lists.packed_text(t.encode()) for t in batch.column(1).filter(use).to_pylist()]
+                yield pa.RecordBatch.from_arrays([ids.filter(use), pa.array(texts, pa.binary())], ["id", "body"])
+
+    return run
 
 
-def _checked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of 3/4 or more."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "asked")
-    asked = texts.join(ids, "doc_id", "left_semi")
-    sets = written(asked.mapInArrow(_sets, "doc_id long, items array<long>"), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    enough = 4 * shared >= 3 * (F.size("x") + F.size("y") - shared)
-    return written(both.filter(enough).select("a", "b").distinct(), "checked")
+def _shingles_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the sets of texts."""
+    found = [(first, at, hashes) for first, at, hashes in tb.shingle_sets(pa.array(texts, pa.large_binary()))]
+    rows = [np.repeat(np.arange(first, first + len(at) - 1), np.diff(at)) for first, at, _ in found]
+    return np.concatenate(rows), np.concatenate([hashes for _, _, hashes in found])
 
 
 def choose_boundary(sizes: DataFrame, load: float) -> int:
     """The boundary with the least cost; ``load`` is the expected length of a scanned list."""
     n = F.col("n")
-    short = n - F.floor((3 * n + 3) / 4)
+    short = n - F.floor((LEAST * n + OF - 1) / OF)
     subsets = (short + 2) * (short + 1) / 2
     lists = (short + 1) * F.lit(1.0 + load)
-    cost = [F.sum(F.when(n <= x, subsets).otherwise(lists) + F.when((n <= x) & (4 * n >= 3 * (x + 1)), lists).otherwise(0.0)) for x in BOUNDARIES]
+    cost = [F.sum(F.when(n <= x, subsets).otherwise(lists) + F.when((n <= x) & (OF * n >= LEAST * (x + 1)), lists).otherwise(0.0)) for x in BOUNDARIES]
     costs = sizes.filter("n > 1").agg(*cost).first()
     return min(zip((c or 0.0 for c in costs), BOUNDARIES, strict=True))[1]
 
@@ -298,47 +208,27 @@ def jaccard_join(docs: DataFrame, boundary: int | None = None) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = written(texts.mapInArrow(_sizes_and_counts, "doc_id long, shingle long, n long, is_doc boolean"), "sizes")
     sizes = first.filter("is_doc").select("doc_id", "n")
-    totals = sizes.agg(F.sum("n"), F.sum(F.when(F.col("n") > 1, F.col("n") / 4 + 1))).first()
+    totals = sizes.agg(F.sum("n"), F.sum(F.when(F.col("n") > 0, F.col("n") / 4 + 1))).first()
     common = first.filter("NOT is_doc").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = common.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toPandas().sort_values("shingle")
-    values = top["shingle"].to_numpy(np.int64).view(np.uint64)
-    counts = top["n"].to_numpy(np.int64)
+    top = common.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    values = top["shingle"].to_numpy().view(np.uint64)
+    counts = top["n"].to_numpy()
     order = np.argsort(values)
     frequent = spark.sparkContext.broadcast((values[order], counts[order]))
     load = float((counts.astype(float) ** 2).sum()) / max(1, totals[0] or 0)
     if boundary is None:
         boundary = choose_boundary(sizes, load)
-    buckets = max(1, int((totals[1] or 0) // BUCKET_KEYS) + 1)
-
-    sent = written(texts.mapInArrow(_send(frequent, boundary, buckets), _SENT), "keys")
-    copies = sent.filter("bucket = -1").mapInPandas(_copy_links, "a long, b long")
-    scanned = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(_scan, _SCANNED)
-    scanned = written(scanned, "scanned")
-    pairs = written(scanned.filter("list IS NULL").select("a", "b").distinct(), "pairs")
-    links = _checked(texts, pairs).union(copies)
-    parts = components(links)
-
-    members = scanned.filter("list IS NOT NULL").select("a", F.col("b").alias("n"), "list")
-    placed = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
-    placed = written(placed.select("a", "n", "list", F.coalesce("component", "a").alias("part")), "placed")
-    split = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    split = written(split.select("list"), "split")
-    if not split.isEmpty():
-        rest = placed.join(split, "list").groupBy("list").applyInPandas(_apart, "a long, b long").distinct()
-        more = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            merged = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            parts = components(merged.union(_checked(texts, more)))
+    buckets = lists.bucket_count(totals[1] or 0)
+
+    sent = texts.mapInArrow(_send(frequent, boundary, buckets), lists.PACKED)
+    known = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    parts = lists.list_components(
+        sent, lambda wanted: known.mapInArrow(_bodies(wanted), "id long, body binary"), _shingles_of, LEAST, OF
+    )
     named = sizes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _copy_links(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in frames:
-        for a, b in zip(pdf["ids"], pdf["times"], strict=True):
-            yield pd.DataFrame({"a": np.frombuffer(a, np.int64), "b": np.frombuffer(b, np.int64)})
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones, the one with the smallest doc_id.
 

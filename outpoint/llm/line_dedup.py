@@ -5,9 +5,11 @@ lines are left alone. Lines are compared by their character shingles (six
 characters, A-Z lower-cased; a shorter line is one shingle) and are the same
 line at a Jaccard similarity of 0.8 or more.
 
-MinHash signatures come from one pass over the shingles: a hash chooses a bin
-and competes there for the minimum; empty bins borrow from the next filled
-one. Sixteen bands of five values find 99.8 % of pairs at 0.8 and more above
+MinHash signatures of long lines come from one pass over the shingles: a hash
+chooses a bin and competes there for the minimum; the few empty bins borrow
+from the next filled one. Lines with few shingles would leave many bins empty,
+so each of their values is the minimum of an own hash; lines in between get
+both. Sixteen bands of five values find 99.8 % of pairs at 0.8 and more above
 it. Banding keys travel in packed inverted lists; candidates are checked
 exactly, and a distributed union-find makes components. Of each component the
 first line stays, by doc_id and place; all others go. Equal lines (by a 64-bit
@@ -26,13 +28,16 @@ from pyspark.sql import types as T
 
 from . import lists
 from . import textbytes as tb
-from .common import bounded_batches, table, written
+from .common import bounded_batches, map_batches, table, written
 
 CHARS = 6
 #: Similarity of 4/5 or more.
 LEAST, OF = 4, 5
 BANDS, VALUES = 16, 5
 BINS = BANDS * VALUES
+#: Lines that fill fewer bins get an own hash per value, those that fill more get bins. At a
+#: similarity of 0.8 a line on one side and a line on the other side of the gap are not to be expected.
+FEW, MANY = 60, 72
 #: Bytes of a line that are signed at once (a line that is longer is alone).
 BLOCK = 1 << 18
 #: Hashes of lines that a task has signed and remembers.
@@ -83,9 +88,10 @@ def char_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)
     line = np.repeat(np.arange(len(low)), lengths)
     at = np.flatnonzero(ends[line] - np.arange(len(code)) >= CHARS) if len(code) else np.zeros(0, np.int64)
-    total = np.zeros(len(at), np.uint64)
-    for k in range(CHARS):
-        total += code[at + k] * tb.STEPS[32 + k]
+    every = np.zeros(len(code), np.uint64)
+    for k in range(min(CHARS, len(code))):
+        every[: len(code) - k] += code[k:] * tb.STEPS[32 + k]
+    total = every[at]
     short = np.flatnonzero((lengths > 0) & (lengths < CHARS))
     part = lengths[short].astype(np.uint64) * tb.STEPS[40]
     for k in range(CHARS - 1):
@@ -94,124 +100,131 @@ def char_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([line[at], short]), tb.mixed(np.concatenate([total, part]))
 
 
-def band_keys(lines: list[bytes]) -> np.ndarray:
-    """The banding keys of each line, lines by bands."""
-    rows, hashes = char_shingles(lines)
-    empty = np.uint64(1 << 32)
-    low = np.full(len(lines) * BINS, empty, np.uint64)
+_OWN = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BINS, dtype=np.uint64) * _U(2) + _U(1)
+
+
+def _few_minima(rows: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
+    """Lines by values, each the minimum of an own hash."""
+    low = np.zeros((lines, BINS), np.uint64)
+    order = np.argsort(rows, kind="stable")
+    rows, hashes = rows[order], hashes[order]
+    at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
+    for k in range(BINS if len(rows) else 0):
+        low[rows[at], k] = np.minimum.reduceat((hashes * _OWN[k]) >> _U(32), at)
+    return low
+
+
+def _binned_minima(rows: np.ndarray, hashes: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lines by values, each the minimum of the hashes that fall into its bin, and how many bins those fill."""
+    empty = _U(1 << 32)
+    low = np.full(lines * BINS, empty, np.uint64)
     bins = ((hashes >> _U(32)) * _U(BINS) >> _U(32)).astype(np.int64)
     np.minimum.at(low, rows * BINS + bins, hashes & _U(0xFFFFFFFF))
-    low = low.reshape(len(lines), BINS)
-    # Twice around: every empty bin takes the next filled one's value and its distance.
-    value, far = low[:, 0].copy(), np.zeros(len(lines), np.uint64)
-    for turn in range(2):
-        for b in range(BINS - 1, -1, -1):
-            filled = low[:, b] != empty
-            value = np.where(filled, low[:, b], value)
-            far = np.where(filled, _U(0), far + _U(1))
-            if turn:
-                low[:, b] = np.where(filled, low[:, b], value + far * tb.STEPS[41])
-    keys = np.zeros((len(lines), BANDS), np.uint64)
-    for band in range(BANDS):
-        for k in range(VALUES):
-            keys[:, band] += tb.mixed(low[:, band * VALUES + k] + _U(1)) * tb.STEPS[42 + k]
-        keys[:, band] += tb.STEPS[band]
-    return tb.mixed(keys)
-
-
-_SENT = lists.PACKED + ", doc_id long, place int, line long"
-_SENT_ARROW = pa.schema([*lists.PACKED_ARROW, pa.field("doc_id", pa.int64()), pa.field("place", pa.int32()), pa.field("line", pa.int64())])
+    low = low.reshape(lines, BINS)
+    filled = low != empty
+    counts = filled.sum(1)
+    # Every empty bin takes the value of the next filled one, going around, and its distance.
+    if (counts < BINS).any():
+        place = np.where(filled, np.arange(BINS), 2 * BINS)
+        around = np.concatenate([place, place + BINS], axis=1)
+        following = np.minimum.accumulate(around[:, ::-1], axis=1)[:, ::-1][:, :BINS]
+        far = (following - np.arange(BINS)).astype(np.uint64)
+        low = np.take_along_axis(low, following % BINS, axis=1) + far * tb.STEPS[41]
+    return low, counts
+
+
+def band_keys(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) for every banding key of the lines."""
+    rows, hashes = char_shingles(lines)
+    binned, filled = _binned_minima(rows, hashes, len(lines))
+    found = []
+    for tag, part in ((0, filled < MANY), (1, filled >= FEW)):
+        at = np.flatnonzero(part)
+        if not len(at):
+            continue
+        if tag:
+            low = binned[at]
+        else:
+            number = np.cumsum(part) - 1
+            use = part[rows]
+            low = _few_minima(number[rows[use]], hashes[use], len(at))
+        values = tb.mixed(low + _U(1)).reshape(len(at), BANDS, VALUES) * tb.STEPS[42 : 42 + VALUES]
+        keys = values.sum(axis=2, dtype=np.uint64) + tb.STEPS[tag * BANDS : (tag + 1) * BANDS]
+        found.append((np.repeat(at, BANDS), tb.mixed(keys).ravel()))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _places(batch: pa.RecordBatch) -> dict:
+    """A row per line."""
+    data, at = tb.string_parts(batch.column(1))
+    rows, place, starts, ends = line_spans(data, at)
+    doc_ids = batch.column(0).take(pa.array(rows))
+    return {"doc_id": doc_ids, "place": pa.array(place.astype(np.int32)), "line": pa.array(line_ids(data, starts, ends))}
+
+
+def _new_lines(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Ids and bytes of lines that are new to the task (and may be wanted)."""
+    seen: set[int] = set()
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, at = tb.string_parts(batch.column(0))
+        _, _, starts, ends = line_spans(data, at)
+        ids = line_ids(data, starts, ends)
+        new = []
+        for i in range(len(ids)) if wanted is None else np.flatnonzero(lists.in_filter(wanted, ids)).tolist():
+            if (x := int(ids[i])) not in seen:
+                seen.add(x)
+                new.append(i)
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        first, total = 0, 0
+        for n, i in enumerate(new):
+            total += int(ends[i] - starts[i])
+            if total >= BLOCK or n + 1 == len(new):
+                part = new[first : n + 1]
+                yield ids[part], [data[starts[k] : ends[k]].tobytes() for k in part]
+                first, total = n + 1, 0
 
 
 def _sign(buckets: int):
-    """A row per line (doc_id, place, line), and packed banding keys of the lines that are new to the task."""
+    """Packed banding keys of the lines that are new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def sent() -> pa.RecordBatch:
-            ids = np.repeat(np.concatenate([x for x, _ in held]), BANDS)
-            out = lists.pack(ids, np.zeros(len(ids), np.int64), np.concatenate([k for _, k in held]).ravel(), buckets)
-            none = [None] * len(out["bucket"])
-            return pa.RecordBatch.from_pydict(out | {"doc_id": none, "place": none, "line": none}, schema=_SENT_ARROW)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, at = tb.string_parts(batch.column(1))
-            rows, place, starts, ends = line_spans(data, at)
-            ids = line_ids(data, starts, ends)
-            none = pa.nulls(len(rows), pa.binary())
-            doc_ids = batch.column(0).take(pa.array(rows))
-            columns = [pa.nulls(len(rows), pa.int32()), none, none, none, none, doc_ids, pa.array(place.astype(np.int32)), pa.array(ids)]
-            yield pa.RecordBatch.from_arrays(columns, schema=_SENT_ARROW)
-            new = []
-            for i, x in enumerate(ids.tolist()):
-                if x not in seen:
-                    seen.add(x)
-                    new.append(i)
-            first, total = 0, 0
-            for n, i in enumerate(new):
-                total += int(ends[i] - starts[i])
-                if total >= BLOCK or n + 1 == len(new):
-                    part = new[first : n + 1]
-                    keys = band_keys([data[starts[k] : ends[k]].tobytes() for k in part])
-                    held.append((ids[part], keys))
-                    size += keys.size
-                    first, total = n + 1, 0
-                    if size >= lists.SEND_KEYS:
-                        yield sent()
-                        held, size = [], 0
-            if len(seen) > REMEMBERED:
-                seen.clear()
+            ids, keys = (np.concatenate(x) for x in zip(*held, strict=True))
+            return lists.pack(ids, np.zeros(len(ids), np.int64), keys, buckets)
+
+        for ids, lines in _new_lines(batches):
+            line, keys = band_keys(lines)
+            held.append((ids[line], keys))
+            size += len(keys)
+            if size >= lists.SEND_KEYS:
+                yield sent()
+                held, size = [], 0
         if held:
             yield sent()
 
     return run
 
 
-def _line_sets(wanted: np.ndarray):
-    """Shingles of lines that may be asked for, once per task."""
+def _bodies(wanted: np.ndarray):
+    """Lines that may be asked for, once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            data, at = tb.string_parts(batch.column(0))
-            _, _, starts, ends = line_spans(data, at)
-            ids = line_ids(data, starts, ends)
-            use = []
-            for i in np.flatnonzero(lists.in_filter(wanted, ids)).tolist():
-                if ids[i] not in seen:
-                    seen.add(int(ids[i]))
-                    use.append(i)
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            if use:
-                rows, hashes = tb.distinct_sorted(*char_shingles([data[starts[k] : ends[k]].tobytes() for k in use]))
-                cuts = np.searchsorted(rows, np.arange(len(use) + 1))
-                items = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[use]), items], ["line", "items"])
+        for ids, lines in _new_lines(batches, wanted):
+            bodies = pa.array([lists.packed_text(x) for x in lines], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), bodies], ["id", "body"])
 
     return run
 
 
-def _checked(texts: DataFrame):
-    def check(pairs: DataFrame) -> DataFrame:
-        asked = written(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct(), "asked")
-        wanted = lists.id_filter(asked, "line")
-        sets = texts.select("text").mapInArrow(_line_sets(wanted), "line long, items array<long>")
-        sets = written(sets.join(asked, "line", "left_semi").dropDuplicates(["line"]), "sets")
-        left = pairs.join(sets.select(F.col("line").alias("a"), F.col("items").alias("x")), "a")
-        both = left.join(sets.select(F.col("line").alias("b"), F.col("items").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        enough = OF * shared >= LEAST * (F.size("x") + F.size("y") - shared)
-        return written(both.filter(enough).select("a", "b"), "checked")
-
-    return check
+def _shingles_of(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the sets of lines."""
+    return tb.distinct_sorted(*char_shingles(lines))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -225,12 +238,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # About one line in 256 bytes; it only sets how many buckets there are.
-    sent = written(texts.mapInArrow(_sign(lists.bucket_count(size / 256 * BANDS)), _SENT), "lines")
-    packed = sent.filter("bucket IS NOT NULL").select("bucket", "keys", "ids", "sizes", "times")
-    parts = lists.list_components(packed, _checked(texts), 0, 1)
-    every = sent.filter("bucket IS NULL").select("doc_id", "place", "line")
+    every = written(map_batches(texts, _places, "doc_id long, place int, line long"), "lines")
+    sent = texts.select("text").mapInArrow(_sign(lists.bucket_count(every.count() * BANDS)), lists.PACKED)
+
+    def bodies(wanted: np.ndarray) -> DataFrame:
+        return texts.select("text").mapInArrow(_bodies(wanted), "id long, body binary").dropDuplicates(["id"])
+
+    parts = lists.list_components(sent, bodies, _shingles_of, LEAST, OF, sized=False)
     named = every.join(parts.select(F.col("node").alias("line"), "component"), "line", "left")
     named = written(named.select("doc_id", "place", "line", F.coalesce("component", "line").alias("group")), "groups")
     first = F.min(F.struct("doc_id", "place"))
@@ -245,8 +259,9 @@ def _without(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
     gone = batch.column(batch.schema.get_field_index("gone")).to_pylist()
     data, at = tb.string_parts(texts)
     rows, place, starts, ends = line_spans(data, at)
-    ids = line_ids(data, starts, ends)
     counts = np.bincount(rows, minlength=len(gone))
+    losing = np.flatnonzero(np.array([bool(g) for g in gone])[rows])
+    rows, place, ids = rows[losing], place[losing], line_ids(data, starts[losing], ends[losing])
     cuts = np.searchsorted(rows, np.arange(len(gone) + 1))
     out, dropped = texts.to_pylist(), []
     for r, drop in enumerate(gone):
@@ -274,7 +289,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [f.name for f in fields]
     per_doc = repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("place", "line")).alias("gone"))
     per_doc = written(per_doc, "gone")
-    keyed = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col("doc_id").cast("long").alias("gone_id"))
+    row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
+    keyed = docs.select(row, F.col("doc_id").cast("long").alias("gone_id"))
     joined = keyed.join(per_doc, "gone_id", "left").select("row", F.col("row.text").cast("string").alias("text"), "gone")
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 

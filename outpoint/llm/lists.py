@@ -10,32 +10,46 @@ lists, and of long ones the pairs with the first id and the next one. They are
 checked exactly and united. The second takes from long lists every pair of
 ids that are still apart. So no link between components is lost, while a group
 of copies costs its size and not its square.
+
+Before a pair is checked, sketches of both sets bound how much they can share:
+every element flips one bit of a sketch, so two sketches differ in no more
+bits than the sets differ in elements. That rules out nearly all pairs that
+are not linked, and never one that is. In the second pass the sketches are
+compared where the list is, so ruled-out pairs are not even rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textbytes as tb
 from .common import written
 from .components import components
 
 #: Keys of a bucket; a bucket is worked through in one task.
 BUCKET_KEYS = 1 << 20
 #: Keys that a task holds before it sends them.
-SEND_KEYS = 1 << 20
+SEND_KEYS = 1 << 19
 #: All pairs of a list up to this length are checked at once.
-SHORT_LIST = 8
+SHORT_LIST = 4
+#: Bytes of texts whose sets are compared at once, and from where on texts are compressed.
+VERIFY_BYTES = 1 << 19
+LONG_TEXT = 512
+#: Bits of a sketch per element of the set, at least.
+SKETCH_BITS = 2.5
 #: Bits of the filter of asked ids (2 MB), whatever their number.
 FILTER_BITS = 24
 
-PACKED = "bucket int, keys binary, ids binary, sizes binary, times binary"
-PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "ids", "sizes", "times"))])
+PACKED = "bucket int, keys binary, ids binary, sizes binary, times binary, known binary"
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), *((n, pa.binary()) for n in ("keys", "ids", "sizes", "times", "known"))])
 
 _U = np.uint64
 
@@ -44,23 +58,28 @@ def bucket_count(keys: float) -> int:
     return int(keys // BUCKET_KEYS) + 1
 
 
-def pack(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, buckets: int) -> dict[str, list]:
-    """Columns of ``PACKED`` for keys (64-bit hashes) with their ids and set sizes."""
+def pack(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, buckets: int, known: list[tuple[int, int]] = ()) -> pa.RecordBatch:
+    """A batch of ``PACKED`` for keys (64-bit hashes) with their ids and set sizes, and links that need no check."""
     bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-    order = np.lexsort((ids, bucket))
+    order = np.lexsort((sizes, ids, bucket))
     ids, sizes, keys, bucket = ids[order], sizes[order], keys[order].astype(np.uint32), bucket[order]
     names = np.unique(bucket)
     cuts = np.append(np.searchsorted(bucket, names), len(bucket))
     out: dict[str, list] = {"bucket": [], "keys": [], "ids": [], "sizes": [], "times": []}
     for b, lo, hi in zip(names, cuts, cuts[1:], strict=False):
-        part = ids[lo:hi]
-        new = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        part, size = ids[lo:hi], sizes[lo:hi]  # a repeated id may have sets of several sizes
+        new = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (size[1:] != size[:-1])))
         out["bucket"].append(int(b))
         out["keys"].append(keys[lo:hi].tobytes())
         out["ids"].append(part[new].tobytes())
-        out["sizes"].append(sizes[lo:hi][new].astype(np.int32).tobytes())
+        out["sizes"].append(size[new].astype(np.int32).tobytes())
         out["times"].append(np.diff(np.append(new, hi - lo)).astype(np.int32).tobytes())
-    return out
+    links = [b""] * len(names)
+    if len(known):
+        if not links:
+            links, out = [b""], {"bucket": [0]} | {n: [b""] for n in ("keys", "ids", "sizes", "times")}
+        links[0] = np.array(known, np.int64).tobytes()
+    return pa.RecordBatch.from_pydict(out | {"known": links}, schema=PACKED_ARROW)
 
 
 def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +94,12 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((ids, sizes, keys))
     keys, ids, sizes = keys[order], ids[order], sizes[order]
     new = np.ones(len(keys), bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])
     return keys[new], ids[new], sizes[new]
 
 
 def _scan(least: int, of: int):
-    """Pairs of a bucket to check now (a, b), and members of its long lists (a, size as b, list)."""
+    """Pairs of a bucket to check now (a, b), known links (list is -1), and members of its long lists (a, size as b)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, ids, sizes = _unpacked(pdf)
@@ -105,53 +124,187 @@ def _scan(least: int, of: int):
         name = (int(pdf["bucket"].iloc[0]) << 32) + keys[long].astype(np.int64)
         pairs = pd.DataFrame({"a": low[new], "b": high[new], "list": pd.array([pd.NA] * int(new.sum()), "Int64")})
         members = pd.DataFrame({"a": ids[long], "b": sizes[long].astype(np.int64), "list": pd.array(name, "Int64")})
-        return pd.concat([pairs, members], ignore_index=True)
+        known = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["known"]]).reshape(-1, 2)
+        links = pd.DataFrame({"a": known[:, 0], "b": known[:, 1], "list": pd.array([-1] * len(known), "Int64")})
+        return pd.concat([pairs, links, members], ignore_index=True)
+
+    return run
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """Bits that the distinct elements of a set flip; more bits for more elements."""
+    bits = max(64, 1 << max(0, int(len(hashes) * SKETCH_BITS) - 1).bit_length())
+    flips = np.bincount((hashes % _U(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(sets: Callable):
+    """Sizes and sketches of the sets of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed, first = batch.column(1).to_pylist(), 0
+            while first < len(packed):  # a few at a time, as they grow when they are unpacked
+                last, size, found = first, 0, []
+                while last < len(packed) and (size < VERIFY_BYTES or last == first):
+                    found.append(unpacked_text(packed[last]))
+                    size += len(found[-1])
+                    last += 1
+                rows, hashes = sets(found)
+                at = np.searchsorted(rows, np.arange(len(found) + 1))
+                bits = pa.array([sketch(hashes[lo:hi]) for lo, hi in pairwise(at)], pa.binary())
+                columns = [batch.column(0).slice(first, len(found)), pa.array(np.diff(at).astype(np.int64)), bits]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
+                first = last
+
+    return run
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as they would be with fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, sizes_a, sizes_b, least: int, of: int) -> np.ndarray:
+    """Whether sets with these sketches (of one length) and sizes can be as similar as ``least / of``."""
+    apart = np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+    total = sizes_a + sizes_b
+    return (least + of) * (total - apart) >= 2 * least * total
+
+
+def _possible(least: int, of: int):
+    """The pairs (a, b) whose sizes and sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (3, 5))
+            words = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
+            keep = np.zeros(batch.num_rows, bool)
+            for w in np.unique(words):
+                at = np.flatnonzero(words == w)
+                p, q = (np.stack([_folded(v[i][None], w)[0] for i in at]) for v in (x, y))
+                keep[at] = may_link(p, q, n[at], m[at], least, of)
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     return run
 
 
 def _apart(least: int, of: int):
-    """Pairs of a long list whose ids are in different components."""
+    """Pairs of ids that share a long list, are in different components and may link.
+
+    A group has all long lists with one smallest id, so that ids which share
+    many lists meet once.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n", "a"])
-        ids, sizes, parts = (pdf[c].to_numpy() for c in ("a", "n", "part"))
+        ids, sizes, parts = (pdf[c].to_numpy(np.int64) for c in ("a", "n", "part"))
+        sketches = [np.frombuffer(v, np.uint64) for v in pdf["sketch"]]
+        lists_of = [set(v) for v in pdf["lists"]]
+        words = np.array([len(v) for v in sketches])
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(len(ids) - 1):
-            j = np.arange(i + 1, np.searchsorted(sizes, of * sizes[i] // least, "right"))
-            j = j[parts[j] != parts[i]]
-            found.append((np.full(len(j), ids[i]), ids[j]))
+        for w in np.unique(words):  # sizes rise, so sketches do not get shorter
+            mine = np.flatnonzero(words == w)
+            end = int(np.searchsorted(sizes, of * sizes[mine[-1]] // least, "right"))
+            bits = np.stack([_folded(v[None], w)[0] for v in sketches[mine[0] : end]])
+            for i in mine.tolist():
+                j = np.arange(i + 1, int(np.searchsorted(sizes, of * sizes[i] // least, "right")))
+                j = j[parts[j] != parts[i]]
+                if len(j):
+                    j = j[may_link(bits[i - mine[0]], bits[j - mine[0]], sizes[i], sizes[j], least, of)]
+                    j = np.array([k for k in j.tolist() if not lists_of[i].isdisjoint(lists_of[k])], np.int64)
+                    found.append((np.full(len(j), ids[i]), ids[j]))
         a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return out[out["a"] != out["b"]]
 
     return run
 
 
-def list_components(packed: DataFrame, check: Callable[[DataFrame], DataFrame], least: int, of: int, known: DataFrame | None = None) -> DataFrame:
-    """(node, component) of ids that lists bring together and ``check`` links.
+def list_components(
+    packed: DataFrame, bodies: Callable[[np.ndarray], DataFrame], sets: Callable, least: int, of: int, sized: bool = True
+) -> DataFrame:
+    """(node, component) of ids whose sets are as similar as ``least / of`` and that lists bring together.
 
-    ``check`` takes pairs (a, b) and returns those that are linked. ``known``
-    has links that need no check. A pair is possible only when the smaller
-    size is at least ``least / of`` of the larger one.
+    ``bodies`` gives (id, body) for ids that may be in a filter, body being a
+    ``packed_text``: texts are smaller than their sets, and compressed where
+    they are long. ``sets`` makes (row, hash) of the distinct elements of a
+    list of texts, in order. Without ``sized`` the packed sizes mean nothing.
     """
-    scanned = written(packed.groupBy("bucket").applyInPandas(_scan(least, of), "a long, b long, list long"), "scanned")
-    pairs = written(scanned.filter("list IS NULL").select("a", "b").distinct(), "pairs")
-    links = check(pairs)
-    parts = components(links if known is None else links.union(known))
+    scan = _scan(least if sized else 0, of)
+    scanned = written(packed.groupBy("bucket").applyInPandas(scan, "a long, b long, list long"), "scanned")
+    met = written(scanned.filter("list IS NULL").select("a", "b").distinct(), "met")
+    asked = met.select(F.col("a").alias("id")).union(met.select("b"))
+    texts = written(bodies(id_filter(asked, "id")), "bodies")
+    known_sets = written(texts.mapInArrow(_sketches(sets), "id long, n long, sketch binary"), "sketches")
+    x = known_sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
+    y = known_sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
+    both = met.join(x, "a").join(y, "b").select("a", "b", "n_a", "x", "n_b", "y")
+    pairs = written(both.mapInArrow(_possible(least, of), "a long, b long").distinct(), "pairs")
+    known = scanned.filter("list = -1").select("a", "b")
+    parts = components(similar_pairs(pairs, texts, sets, least, of).union(known))
 
-    members = scanned.filter("list IS NOT NULL").select("a", F.col("b").alias("n"), "list")
+    members = scanned.filter("list >= 0").select("a", "list")
     placed = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
-    placed = written(placed.select("a", "n", "list", F.coalesce("component", "a").alias("part")), "placed")
-    split = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    split = written(split.select("list"), "split")
+    placed = written(placed.select("a", "list", F.coalesce("component", "a").alias("part")), "placed")
+    ends = placed.groupBy("list").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("a").alias("head"))
+    split = written(ends.filter("lo < hi").select("list", "head"), "split")
     if split.isEmpty():
         return parts
-    rest = placed.join(split, "list").groupBy("list").applyInPandas(_apart(least, of), "a long, b long").distinct()
+    rest = placed.join(split, "list").groupBy("head", "a").agg(F.first("part").alias("part"), F.collect_set("list").alias("lists"))
+    rest = rest.join(known_sets.withColumnRenamed("id", "a"), "a")
+    rest = rest.groupBy("head").applyInPandas(_apart(least, of), "a long, b long").distinct()
     more = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return parts
     merged = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(merged.union(check(more)))
+    return components(merged.union(similar_pairs(more, texts, sets, least, of)))
+
+
+def _verify(sets: Callable, least: int, of: int):
+    """The pairs (a, b) whose bodies x and y have sets of a similarity of ``least / of`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            keep = np.zeros(batch.num_rows, bool)
+            first = 0
+            while first < batch.num_rows:  # a few at a time, as bodies grow when they are unpacked
+                last, size, bodies = first, 0, []
+                while last < batch.num_rows and (size < VERIFY_BYTES or last == first):
+                    bodies += [unpacked_text(x[last]), unpacked_text(y[last])]
+                    size += len(bodies[-1]) + len(bodies[-2])
+                    last += 1
+                rows, hashes = sets(bodies)
+                n = np.bincount(rows, minlength=len(bodies)).reshape(-1, 2).sum(1)
+                pair = rows >> 1
+                hashes = tb.sort_segments(pair, hashes)
+                same = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
+                shared = np.bincount(pair[1:][same], minlength=last - first)
+                keep[first:last] = (n > 0) & ((least + of) * shared >= least * n)
+                first = last
+            at = pa.array(np.flatnonzero(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    return run
+
+
+def packed_text(text: bytes) -> bytes:
+    return zstandard.compress(text, 1) if len(text) >= LONG_TEXT else b"=" + text
+
+
+def unpacked_text(body: bytes) -> bytes:
+    return body[1:] if body[:1] == b"=" else zstandard.decompress(body)
+
+
+def similar_pairs(pairs: DataFrame, texts: DataFrame, sets: Callable, least: int, of: int) -> DataFrame:
+    """Exact check of ``pairs`` (a, b) on ``texts`` (id, body): those with a similarity of ``least / of`` or more."""
+    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("x")), "a")
+    both = left.join(texts.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
+    found = both.select("a", "b", "x", "y").mapInArrow(_verify(sets, least, of), "a long, b long")
+    return written(found.distinct(), "checked")
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -159,9 +312,9 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
     bits = ids.select(F.pmod(F.col(column), F.lit(1 << FILTER_BITS)).alias("bit"))
     each = F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))")
     words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(each.alias("bits"))
-    found = words.toPandas()
+    found = words.toArrow()
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
+    table[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return table
 
 
