@@ -34,16 +34,22 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words that are encoded together; more than fit in a processor's cache are slower.
 BLOCK_WORDS = 1 << 12
 #: Encoded words that a task keeps.
-KEPT_WORDS = 1 << 19
+KEPT_WORDS = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every token of a rank file, by rank."""
+    with open(path, "rb") as lines:
+        return {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
 
 
 class Merges:
     """The merges of one rank file."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.parts = {rank: token for token, rank in self.ranks.items()}
+        self.parts = token_bytes(path)
+        self.ranks = {token: rank for rank, token in self.parts.items()}
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.base = max(self.parts) + 1
         # Every pair of neighbours that makes a token, as one number, with the token's rank.
@@ -140,9 +146,6 @@ class Merges:
         for words in split:
             yield b"".join(map(self.words.__getitem__, words))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.parts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def merges(path: str) -> Merges:
@@ -176,8 +179,8 @@ def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, ids and the bytes they stand for, as ``decoded``. Null ids stay null."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        known = merges(ranks)
-        decoded = [None if ids is None else known.decode(ids) for ids in batch.column(1).to_pylist()]
+        part = token_bytes(ranks).__getitem__
+        decoded = [None if x is None else b"".join(map(part, np.frombuffer(x, "<u4").tolist())) for x in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "ids": batch.column(1), "decoded": pa.array(decoded, pa.binary())}
 
     return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids binary, decoded binary")

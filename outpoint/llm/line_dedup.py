@@ -41,7 +41,7 @@ FEW, MANY = 60, 72
 #: Bytes of a line that are signed at once (a line that is longer is alone).
 BLOCK = 1 << 18
 #: Hashes of lines that a task has signed and remembers.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 _U = np.uint64
 _FEED = 10
