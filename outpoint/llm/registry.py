@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, language, line_dedup, mixing, near_vectors, quality, token_counts, topk, url_filter
+from . import (
+    byte_bpe,
+    fill_middle,
+    jaccard_join,
+    language,
+    line_dedup,
+    merkle_manifest,
+    mixing,
+    near_vectors,
+    quality,
+    token_counts,
+    topk,
+    url_filter,
+)
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +28,8 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
 SQL = {
@@ -22,4 +37,6 @@ SQL = {
     "op2_top_k": topk.OP2_SQL,
     "op3_near_vectors": near_vectors.OP3_SQL,
     "op8_jaccard_join": jaccard_join.OP8_SQL,
+    "op11_fill_in_middle": fill_middle.OP11_SQL,
+    "op13_merkle_manifest": merkle_manifest.OP13_SQL,
 }
