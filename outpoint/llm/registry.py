@@ -14,6 +14,7 @@ from . import (
     quality,
     token_counts,
     topk,
+    toxicity,
     url_filter,
 )
 
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_fill_in_middle": fill_middle.op11_fill_in_middle,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
 }
 
