@@ -191,16 +191,18 @@ class Model:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    """(doc_id, least, y, fit, words) of each labelled text; ``least`` has a least shingle per order.
+    """(words, y, fit, weight) of each labelled text.
 
     Words are distinct, but whole sequences where ``fit`` says that they serve
     to fit the extreme-value law. Null ids and labels other than 0 and 1 are
-    not used; a text with both labels is toxic.
+    not used; a text with both labels is toxic. Words are moved once, to their
+    labels and weights.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = written(known, "toxic-labels")
     asked = spark.sparkContext.broadcast(id_filter(known, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +223,10 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "least", "fit", "words"])
 
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(run, "doc_id long, least array<long>, fit boolean, words binary")
-    return written(found.join(known, "doc_id").select("doc_id", "least", "y", "fit", "words"), "toxic-training")
+    found = written(texts.mapInArrow(run, "doc_id long, least array<long>, fit boolean, words binary"), "toxic-words")
+    weighed = weights(found.select("doc_id", "least").join(known, "doc_id", "left_semi"))
+    beside = written(weighed.join(known, "doc_id"), "toxic-weights")
+    return written(found.select("doc_id", "fit", "words").join(beside, "doc_id").drop("doc_id"), "toxic-training")
 
 
 def weights(rows: DataFrame) -> DataFrame:
@@ -338,11 +342,10 @@ def fit_law(model: Model, clean: DataFrame) -> None:
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The model from all labelled texts. Without labels every score is 0.5, with one class about that class."""
     rows = training_texts(docs, labels, label)
-    weighed = rows.join(written(weights(rows), "toxic-weights"), "doc_id").select("words", "y", "fit", "weight")
-    toxic, every = weighed.agg(F.sum(F.col("y") * F.col("weight")), F.sum("weight")).first()
+    toxic, every = rows.agg(F.sum(F.col("y") * F.col("weight")), F.sum("weight")).first()
     model = Model(prior=((toxic or 0.0) + 0.5) / ((every or 0.0) + 1.0))
-    model.odds = log_odds(written(word_counts(weighed.filter("NOT fit")), "word-counts"))
-    fit_law(model, weighed.filter("fit AND y = 0"))
+    model.odds = log_odds(written(word_counts(rows.filter("NOT fit")), "word-counts"))
+    fit_law(model, rows.filter("fit AND y = 0"))
     return model
 
 

@@ -113,8 +113,8 @@ def test_passages_are_found_where_they_are(spark, documents):
         assert r.predicted == wanted[r.doc_id] == int(r.score >= 0.7)
         if r.predicted:
             (p,) = r.passages
-            assert set(texts[r.doc_id][p.begin : p.end].split()) <= {"vile", "rotten", "foul", "nasty"}
-            assert len(texts[r.doc_id][p.begin : p.end].split()) == 4 and p.expected <= X.ALPHA
+            words = texts[r.doc_id][p.begin : p.end].split()
+            assert {"vile", "rotten", "foul", "nasty"} <= set(words) and len(words) <= 6 and p.expected <= X.ALPHA
 
 
 def test_copies_of_one_text_do_not_make_its_words_toxic(spark, documents):
