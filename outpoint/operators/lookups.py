@@ -209,8 +209,9 @@ def admit_broadcasts(
 
     ``tx`` is the serialized transaction as hex; bytes behind its end are not
     part of it. ``known`` has the hashes that exist already (``known_txs``).
-    Of one transaction submitted several times the first in ``arrival`` order
-    (a unique column; any one without it) is taken, the others exist by then.
+    Of one transaction submitted several times, also under several names, the
+    first in ``arrival`` order is taken, the others exist by then. ``arrival``
+    is a unique column, which may be a struct; any one is taken without it.
     """
     kept = [c for c in submitted.columns if c != "tx"]
     checked = submitted.withColumn("_reason", validate.check_tx_hex(F.col("tx"), max_bytes)["reason"])

@@ -536,14 +536,18 @@ def _queries() -> dict[str, str]:
         END) AS priority FROM outs GROUP BY hash HAVING priority IS NOT NULL"""
     q["t8_broadcast_capture"] = "SELECT hash FROM collection WHERE name = 'broadcast'"
     q["t8_stream_collections"] = "SELECT hash, name FROM collection"
-    q["t9_broadcast_admission"] = f"""SELECT hash, again, CASE WHEN fault IS NULL THEN txid END txid,
-        fault IS NULL AND NOT late AS accepted,
-        CASE WHEN fault IS NOT NULL THEN fault WHEN late THEN 'already exists: ' || txid END reason
-      FROM (SELECT x.hash, again, {rev(h256('x.tx'))} txid, again = 1 OR x.hash IN (SELECT hash FROM tx
-          UNION SELECT hash FROM mempool WHERE time < {CUT} UNION SELECT hash FROM collection) late, CASE
-          WHEN length(x.tx) / 2 - (CASE WHEN y.submitted THEN 1 ELSE 0 END) > 300 THEN 'too large'
-          WHEN y.submitted THEN 'not a transaction' END fault
-        FROM raw x JOIN txs y ON x.hash = y.hash CROSS JOIN (VALUES (0), (1)) s(again))"""
+    # Equal bytes under two names are one transaction: known and first are asked of the id that the bytes have.
+    q["t9_broadcast_admission"] = f"""SELECT * FROM (WITH ids AS (SELECT hash, tx, {rev(h256('tx'))} txid FROM raw),
+      known AS (SELECT DISTINCT txid FROM ids WHERE hash IN (SELECT hash FROM tx
+        UNION SELECT hash FROM mempool WHERE time < {CUT} UNION SELECT hash FROM collection)),
+      sent AS (SELECT x.hash, again, x.txid, CASE
+        WHEN length(x.tx) / 2 - (CASE WHEN y.submitted THEN 1 ELSE 0 END) > 300 THEN 'too large'
+        WHEN y.submitted THEN 'not a transaction' END fault
+        FROM ids x JOIN txs y ON x.hash = y.hash CROSS JOIN (VALUES (0), (1)) s(again)),
+      judged AS (SELECT *, txid IN (SELECT txid FROM known)
+        OR row_number() OVER (PARTITION BY txid, fault IS NULL ORDER BY again, hash) > 1 late FROM sent)
+      SELECT hash, again, CASE WHEN fault IS NULL THEN txid END txid, fault IS NULL AND NOT late AS accepted,
+        CASE WHEN fault IS NOT NULL THEN fault WHEN late THEN 'already exists: ' || txid END reason FROM judged)"""
     q["t10_rebuild"] = """SELECT hash, pos, satoshis, height, pubkeyhash FROM created c WHERE height >= 0 AND NOT EXISTS
       (SELECT 1 FROM ins i WHERE i.prev_hash = c.hash AND i.prev_index = c.pos AND i.blockindex > 0)"""
     q["t11_throttle"] = """WITH RECURSIVE r AS (SELECT event_id id, user_id, epoch_us(ts) t FROM events),

@@ -944,9 +944,10 @@ def t9_broadcast_admission(L: Ledger) -> DataFrame:
     text = _raw_hex(L).join(L.txs.select("hash", "submitted"), "hash")
     cut = F.when(F.col("submitted"), F.expr("substr(tx, 1, length(tx) - 2)")).otherwise(F.col("tx"))
     twice = text.select("hash", cut.alias("tx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))
+    twice = twice.withColumn("turn", F.struct("again", "hash"))
     stored = lookups.known_txs(L.tx, _old(L.mempool), L.collection)
     known = codec.txids(L.raw).join(stored, "hash", "left_semi").select(F.col("txid").alias("hash"))
-    return lookups.admit_broadcasts(twice, known, 300, "again")
+    return lookups.admit_broadcasts(twice, known, 300, "turn").drop("turn")
 
 
 @query

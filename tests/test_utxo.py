@@ -233,3 +233,12 @@ def test_an_owner_with_most_outputs_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_equal_bytes_under_two_names_are_one_transaction(spark):
+    empty = "01000000000000000000"
+    rows = [("b", 0, empty), ("a", 0, empty), ("a", 1, empty), ("c", 0, "01000000000000000001")]
+    sent = spark.createDataFrame(rows, "hash string, again int, tx string").withColumn("turn", F.struct("again", "hash"))
+    none = spark.createDataFrame([], "hash string")
+    out = {(r["hash"], r["again"]): r["accepted"] for r in lookups.admit_broadcasts(sent, none, 80, "turn").collect()}
+    assert out == {("a", 0): True, ("b", 0): False, ("a", 1): False, ("c", 0): True}
