@@ -9,7 +9,8 @@ two neighbours, whose pairs enter the index. Should a new pair rank below the
 merge in hand, that pair goes first, as in a word-by-word encoder. Texts are
 then put together from their words, and decoded from the ids alone.
 
-A task keeps the words it has encoded for the next block, up to a bound.
+A task keeps the words it has encoded for the next block, up to a bound, and
+forgets them at its end: the worker that ran it may serve other stages.
 """
 
 from __future__ import annotations
@@ -172,7 +173,7 @@ def encode(docs: DataFrame, ranks: str = RANKS, pattern: str = public_tokenizers
         return {"doc_id": batch.column(0), "ids": pa.array(ids, pa.binary())}
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(texts, run, "doc_id long, ids binary")
+    return map_batches(texts, run, "doc_id long, ids binary", lambda: merges(ranks).words.clear())
 
 
 def decode(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:

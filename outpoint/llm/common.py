@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +41,24 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-def map_batches(df: DataFrame, per_batch, schema: str) -> DataFrame:
-    """``per_batch`` (a record batch to a dict of columns) over all batches, Arrow both ways."""
+def map_batches(df: DataFrame, per_batch, schema: str, at_end: Callable[[], None] | None = None) -> DataFrame:
+    """``per_batch`` (a record batch to a dict of columns) over all batches, Arrow both ways.
+
+    A task gives its memory back at its end, as workers outlive tasks;
+    ``at_end`` drops what the task itself has kept.
+    """
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                columns = per_batch(batch)
-                yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    columns = per_batch(batch)
+                    yield pa.RecordBatch.from_pydict({n: columns[n] for n in names})
+        finally:
+            if at_end:
+                at_end()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -67,3 +68,15 @@ def test_repeated_and_missing_ids(documents):
     assert sorted(str(r.doc_id) for r in B.digests(docs).collect()) == ["1", "1", "None"]
     assert B.digests(documents([])).count() == 0
     assert B.decode(docs.sparkSession.createDataFrame([(1, None)], "doc_id long, ids binary")).collect()[0].decoded is None
+
+
+def test_a_task_forgets_its_words(spark, documents):
+    docs = documents([(i, f"some words {i} and others") for i in range(200)]).repartition(1)
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(B.merges(B.RANKS).words)] * batch.num_rows)})
+
+    assert B.encode(docs).count() == 200
+    kept = spark.range(40).repartition(8).mapInArrow(left, "n long")
+    assert {r.n for r in kept.collect()} == {0}
