@@ -255,7 +255,8 @@ def _queries() -> dict[str, str]:
         f"WHERE b.height IS NULL OR b.timestamp < {CUT}"
     )
     q["k11_collection_insert"] = (
-        f"SELECT c.hash, c.name FROM collection c JOIN txs t ON c.hash = t.hash WHERE t.time >= {CUT}"
+        "SELECT c.hash, c.name, r.tx FROM collection c JOIN txs t ON c.hash = t.hash JOIN raw r ON c.hash = r.hash "
+        f"WHERE t.time >= {CUT}"
     )
     q["k12_connection_log"] = (
         f"SELECT {utc('seconds')} AS date, ip, CASE kind WHEN 'Connected' THEN 'Connect' ELSE 'Disconnect' END AS event "

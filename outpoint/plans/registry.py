@@ -14,6 +14,7 @@ from ..operators.ordering import row_position
 from ..schemas import TABLES
 from ..session import materialize, new_path
 from ..sources import blockfile, tables
+from ..sources.keyed import KeyedTable
 from ..streaming import events as event_stream
 from ..streaming import throttle
 from ..streaming.ingest import rebuild
@@ -159,61 +160,64 @@ def s11_monitor_source(L: Ledger) -> DataFrame:
 # Table maintenance: rows before the cut are stored, later ones are new.
 
 
+def _table(L: Ledger, name: str, rows: DataFrame, keys: list[str] | None = None) -> KeyedTable:
+    """A stored table that changes by key, with ``rows``; columns that they lack are null."""
+    table = tables.keyed(L.spark, new_path(L.spark, "tables"), name, keys)
+    table.upsert(rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in table.kinds.items()]))
+    return table
+
+
+def _inserted(table: KeyedTable, delta: DataFrame, order: list[str]) -> DataFrame:
+    """What an insert of ``delta`` has added to a stored table."""
+    before = table.manifest()["version"]
+    table.insert_once(delta, order)
+    return table.added(before)
+
+
 @query
 def k1_append_blocks(L: Ledger) -> DataFrame:
-    stored = _old(L.blocks, "timestamp")
     announced = L.blocks.unionByName(L.blocks)
-    return maintenance.insert_once(stored, announced, ["hash"], ["height"]).select("hash", "height")
+    return _inserted(_table(L, "blocks", _old(L.blocks, "timestamp")), announced, ["height"]).select("hash", "height")
 
 
 @query
 def k2_append_txs(L: Ledger) -> DataFrame:
-    stored = _old(_tx_with_time(L)).select(*L.tx.columns)
-    return maintenance.insert_once(stored, L.tx, ["hash"], ["height", "blockindex"])
-
-
-def _stored_table(L: Ledger, name: str, rows: DataFrame) -> str:
-    """Folder with a table that has ``rows``."""
-    folder = new_path(L.spark, "tables")
-    columns = [c.split() for c in TABLES[name].split(", ")]
-    values = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns]
-    tables.append_table(rows.select(*values), folder, name)
-    return folder
+    return _inserted(_table(L, "tx", _old(_tx_with_time(L))), L.tx, ["height", "blockindex"])
 
 
 @query
 def k3_utxo_upsert(L: Ledger) -> DataFrame:
     made = utxo.created_outputs(L.outputs)
-    folder = _stored_table(L, "utxo", made.withColumn("height", F.lit(utxo.NOT_IN_BLOCK)))
-    confirmed = made.filter("height >= 0").withColumn("seq", F.col("height").cast("long"))
-    tables.upsert_table(confirmed, folder, "utxo", ["hash", "pos"], "seq")
-    return tables.read_table(L.spark, folder, "utxo")
+    table = _table(L, "utxo", made.withColumn("height", F.lit(utxo.NOT_IN_BLOCK)))
+    table.upsert(made.filter("height >= 0").withColumn("seq", F.col("height").cast("long")), "seq")
+    return table.read()
 
 
 @query
 def k4_utxo_delete(L: Ledger) -> DataFrame:
-    folder = _stored_table(L, "utxo", utxo.created_outputs(L.outputs))
-    tables.delete_from_table(utxo.spent_outpoints(L.inputs), folder, "utxo", ["hash", "pos"])
-    return tables.read_table(L.spark, folder, "utxo")
+    table = _table(L, "utxo", utxo.created_outputs(L.outputs))
+    table.delete(utxo.spent_outpoints(L.inputs), ["hash", "pos"])
+    return table.read()
 
 
 @query
 def k5_mempool_insert(L: Ledger) -> DataFrame:
-    announced = L.mempool.join(_raw_hex(L), "hash")
-    return maintenance.insert_once(_old(announced), announced.unionByName(announced), ["hash"], ["time"])
+    announced = materialize(L.mempool.join(_raw_hex(L), "hash"), "announced")
+    return _inserted(_table(L, "mempool", _old(announced)), announced.unionByName(announced), ["time"])
 
 
 @query
 def k6_mempool_delete(L: Ledger) -> DataFrame:
-    folder = _stored_table(L, "mempool", L.txs.select("hash", "time"))
-    tables.delete_from_table(L.tx.select("hash"), folder, "mempool", ["hash"])
-    return tables.read_table(L.spark, folder, "mempool").select("hash", "time")
+    table = _table(L, "mempool", L.txs.select("hash", "time"))
+    table.delete(L.tx, ["hash"])
+    return table.read().select("hash", "time")
 
 
 @query
 def k7_orphan_insert(L: Ledger) -> DataFrame:
     left = L.blocks.filter(F.col("timestamp") >= CUT)
-    return maintenance.orphan_rows(left, F.current_timestamp()).drop("created_at")
+    rows = maintenance.orphan_rows(left, F.current_timestamp())
+    return _inserted(_table(L, "orphans", rows.limit(0)), rows, ["created_at"]).drop("created_at")
 
 
 def _late_blocks(L: Ledger) -> DataFrame:
@@ -222,30 +226,29 @@ def _late_blocks(L: Ledger) -> DataFrame:
 
 @query
 def k8_delete_blocks(L: Ledger) -> DataFrame:
-    folder = _stored_table(L, "blocks", L.blocks)
-    tables.delete_from_table(_late_blocks(L).select("hash", "height"), folder, "blocks", ["hash", "height"])
-    return tables.read_table(L.spark, folder, "blocks").select("height", "hash")
+    table = _table(L, "blocks", L.blocks)
+    table.delete(_late_blocks(L), ["hash"])
+    return table.read().select("height", "hash")
 
 
 @query
 def k9_delete_txs(L: Ledger) -> DataFrame:
-    folder = _stored_table(L, "tx", L.tx)
-    tables.delete_from_table(_late_blocks(L).select("height"), folder, "tx", ["height"])
-    return tables.read_table(L.spark, folder, "tx")
+    table = _table(L, "tx", L.tx)
+    table.delete(_late_blocks(L), ["height"])
+    return table.read()
 
 
 @query
 def k10_delete_utxo(L: Ledger) -> DataFrame:
-    folder = _stored_table(L, "utxo", L.utxo)
-    tables.delete_from_table(_late_blocks(L).select("height"), folder, "utxo", ["height"])
-    return tables.read_table(L.spark, folder, "utxo")
+    table = _table(L, "utxo", L.utxo)
+    table.delete(_late_blocks(L), ["height"])
+    return table.read()
 
 
 @query
 def k11_collection_insert(L: Ledger) -> DataFrame:
-    timed = L.collection.join(L.txs.select("hash", "time"), "hash")
-    stored = _old(timed).select("hash", "name")
-    return maintenance.insert_once(stored, L.collection, ["hash", "name"], [])
+    timed = materialize(_collection_text(L).join(L.txs.select("hash", "time"), "hash"), "captured")
+    return _inserted(_table(L, "collection", _old(timed)), timed.select("hash", "name", "tx"), [])
 
 
 def _connections(df: DataFrame) -> DataFrame:
@@ -260,8 +263,9 @@ def k12_connection_log(L: Ledger) -> DataFrame:
 @query
 def k13_peer_append(L: Ledger) -> DataFrame:
     seen = feeds.peers(L).select("ip", "services", "port", "ts", "event_id")
-    stored = seen.filter("ts < timestamp_ntz'2024-01-01 04:00:00'")
-    return maintenance.insert_once(stored, seen, ["ip"], ["ts", "event_id"]).select("ip", "services", "port")
+    none = seen.limit(0)
+    stored = maintenance.insert_once(none, seen.filter("ts < timestamp_ntz'2024-01-01 04:00:00'"), ["ip"], ["ts", "event_id"])
+    return _inserted(_table(L, "addr", stored), seen, ["ts", "event_id"])
 
 
 @query
@@ -562,14 +566,47 @@ def j2_tx_fee(L: Ledger) -> DataFrame:
     return utxo.fees(L.txs, L.inputs, L.outputs)
 
 
+STORED = {"tx": ["hash"], "mempool": ["hash"], "collection": ["hash", "name"], "utxo": ["hash", "pos"], "blocks": ["height", "hash"]}
+
+
+def _stored(L: Ledger, name: str) -> KeyedTable:
+    """A table as it is at rest, written once; lookups find the files of their keys in it."""
+    rows = {"collection": _collection_text}.get(name, lambda ledger: getattr(ledger, name))
+    return _once(L, f"stored-{name}", lambda ledger: _table(ledger, name, rows(ledger), STORED[name]))
+
+
+def _stored_by_height(L: Ledger) -> KeyedTable:
+    """The transactions in the order of the chain, as the index on (height, blockindex) has them."""
+    return _once(L, "stored-order", lambda ledger: _table(ledger, "tx", ledger.tx, ["height", "blockindex", "hash"]))
+
+
+def _placed(L: Ledger, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The transactions of the keys, and the blocks that hold them."""
+    placed = materialize(_stored(L, "tx").find(keys, "hash"), "placed")
+    return placed, _stored(L, "blocks").find(placed, "height")
+
+
+def _ask_utxo(L: Ledger, keys: DataFrame, answer: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    return answer(keys, _stored(L, "utxo").find(keys, "hash"))
+
+
+def _listing(L: Ledger, keys: DataFrame, on: str) -> DataFrame:
+    blocks = materialize(_stored(L, "blocks").find(keys, on), "listed")
+    return lookups.block_listing(keys, blocks, _stored_by_height(L).find(blocks, "height"), on)
+
+
 @query
 def j3_tx_block_offset(L: Ledger) -> DataFrame:
-    return lookups.tx_block_offset(feeds.keys(L), L.tx, L.blocks)
+    keys = feeds.keys(L)
+    placed, blocks = _placed(L, keys)
+    return lookups.tx_block_offset(keys, placed, blocks)
 
 
 @query
 def j4_tx_block(L: Ledger) -> DataFrame:
-    return lookups.tx_block(feeds.keys(L), L.tx, L.blocks)
+    keys = feeds.keys(L)
+    placed, blocks = _placed(L, keys)
+    return lookups.tx_block(keys, placed, blocks)
 
 
 @query
@@ -579,7 +616,7 @@ def j5_spent_flags(L: Ledger) -> DataFrame:
 
 @query
 def j6_tx_position(L: Ledger) -> DataFrame:
-    return lookups.tx_position(feeds.keys(L), L.tx)
+    return lookups.tx_position(feeds.keys(L), _stored(L, "tx").find(feeds.keys(L), "hash"))
 
 
 @query
@@ -592,7 +629,8 @@ def j7_mempool_confirmation(L: Ledger) -> DataFrame:
 
 @query
 def j8_tx_exists(L: Ledger) -> DataFrame:
-    return lookups.tx_exists(feeds.keys(L), L.tx, L.mempool, L.collection)
+    keys = feeds.keys(L)
+    return lookups.tx_exists(keys, *[_stored(L, name).find(keys, "hash") for name in ("tx", "mempool", "collection")])
 
 
 @query
@@ -772,25 +810,25 @@ def q2_balance_by_address(L: Ledger) -> DataFrame:
 
 @query
 def q3_utxo_by_tx(L: Ledger) -> DataFrame:
-    return utxo.utxo_by_tx(feeds.keys(L), L.utxo)
+    return _ask_utxo(L, feeds.keys(L), utxo.utxo_by_tx)
 
 
 @query
 def q4_outpoint_unspent(L: Ledger) -> DataFrame:
     named = L.inputs.select(F.col("prev_hash").alias("hash"), F.col("prev_index").alias("pos"))
-    return utxo.outpoint_unspent(L.outputs.select("hash", "pos").unionByName(named), L.utxo)
+    return _ask_utxo(L, L.outputs.select("hash", "pos").unionByName(named), utxo.outpoint_unspent)
 
 
 @query
 def q5_block_at_height(L: Ledger) -> DataFrame:
     asked = L.blocks.select("height").unionByName(L.blocks.select((-F.col("height")).alias("height")))
-    return lookups.block_listing(asked, L.blocks, L.tx, "height")
+    return _listing(L, asked, "height")
 
 
 @query
 def q6_block_at_hash(L: Ledger) -> DataFrame:
     unknown = L.blocks.select(tagged_hash("no:", F.col("height")).alias("hash"))
-    return lookups.block_listing(L.blocks.select("hash").unionByName(unknown), L.blocks, L.tx, "hash")
+    return _listing(L, L.blocks.select("hash").unionByName(unknown), "hash")
 
 
 @query
@@ -815,7 +853,8 @@ def q9_tx_from_collection(L: Ledger) -> DataFrame:
 
 @query
 def q10_hex_from_collection(L: Ledger) -> DataFrame:
-    return lookups.hex_from_collection(feeds.keys(L), _collection_text(L))
+    keys = feeds.keys(L)
+    return lookups.hex_from_collection(keys, _stored(L, "collection").find(keys, "hash"))
 
 
 def _proofs(L: Ledger) -> DataFrame:

@@ -1,117 +1,48 @@
-"""Scans of the tables at rest, appends, and changes that are written.
-
-Tables are Parquet folders. ``collection`` is partitioned by name, so reading
-one collection prunes the others. Tables with a hash are partitioned by its
-first digits and blocks by ranges of heights (column ``part``): a lookup reads
-the partitions of its keys, and an upsert or a delete writes only the
-partitions that it changes, through Spark's dynamic partition overwrite. Rows
-whose stored hash is no hash are set aside by ``split_undecodable``.
+"""Scans of the tables at rest, appends, and the keys by which they change.
+
+Tables are Parquet folders; ``collection`` is partitioned by name, so reading
+one collection prunes the others. A table that changes by key is a
+``KeyedTable``. Rows whose stored hash is no hash are set aside by
+``split_undecodable``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import utxo
-from ..operators.maintenance import delete_keys, insert_once, matching, split_undecodable
+from ..operators.maintenance import split_undecodable
 from ..schemas import TABLES
-from ..session import materialize
+from .keyed import KeyedTable
 
-# Leading digits of a hash and heights in a row that share a partition.
-PREFIX_DIGITS = 2
-HEIGHTS = 10_000
-BY_HASH = ("tx", "mempool", "utxo")
-BY_HEIGHT = ("blocks", "orphans")
+# A table that is looked up by another column has that one first.
+KEYS = {
+    "blocks": ["hash"],
+    "orphans": ["hash"],
+    "tx": ["hash"],
+    "mempool": ["hash"],
+    "utxo": ["hash", "pos"],
+    "collection": ["hash", "name"],
+    "addr": ["ip"],
+}
 
 
 def _path(folder: str, name: str) -> str:
     return f"{folder.rstrip('/')}/{name}"
 
 
-def part_of(name: str) -> Column | None:
-    """Partition of a row of a table, null for a table without ``part``."""
-    if name in BY_HASH:
-        return F.substring("hash", 1, PREFIX_DIGITS)
-    return F.floor(F.col("height") / HEIGHTS).cast("string") if name in BY_HEIGHT else None
-
-
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return _stored(spark, folder, name).drop("part")
-
-
-def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    ddl = TABLES[name] + ("" if part_of(name) is None else ", part string")
-    return spark.read.schema(ddl).parquet(_path(folder, name))
+    return spark.read.schema(TABLES[name]).parquet(_path(folder, name))
 
 
 def append_table(df: DataFrame, folder: str, name: str) -> None:
-    writer = (df if part_of(name) is None else _dealt(df, name)).write.mode("append")
-    if name == "collection":
-        writer = writer.partitionBy("name")
-    elif part_of(name) is not None:
-        writer = writer.partitionBy("part")
-    writer.parquet(_path(folder, name))
-
-
-def _dealt(df: DataFrame, name: str) -> DataFrame:
-    """Rows by their partition, so that it gets few files; Spark splits a large one."""
-    return df.withColumn("part", part_of(name)).hint("rebalance", F.col("part"))
-
-
-def _parts(rows: DataFrame) -> list[str]:
-    """Names of partitions: at most 16 ** PREFIX_DIGITS, or one per HEIGHTS blocks."""
-    return [r[0] for r in rows.select("part").distinct().collect()]
-
-
-def lookup(keys: DataFrame, folder: str, name: str, on: str) -> DataFrame:
-    """Rows of a table with a key in ``keys``; only the partitions of the keys are read.
-
-    ``on`` is the column that decides the partition (``hash`` or ``height``).
-    """
-    wanted = materialize(keys.select(on).distinct().withColumn("part", part_of(name)), "asked")
-    stored = _stored(keys.sparkSession, folder, name).filter(F.col("part").isin(_parts(wanted)))
-    return matching(stored, wanted, [on]).drop("part")
-
-
-def _rewrite(rows: DataFrame, parts: list[str], folder: str, name: str) -> None:
-    """Put ``rows`` in place of the given partitions."""
-    spark = rows.sparkSession
-    rows = materialize(_dealt(rows, name), "rewritten")
-    writer = rows.hint("rebalance", F.col("part")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("part").parquet(_path(folder, name))
-    for part in set(parts) - set(_parts(rows)):  # nothing is left of these, so nothing has replaced them
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{_path(folder, name)}/part={part}")
-        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
-
-
-def upsert_table(delta: DataFrame, folder: str, name: str, keys: list[str], order: str) -> list[str]:
-    """Write the newest row of each key in ``delta``, by ``order``; the changed partitions come back."""
-    parts = _parts(delta.withColumn("part", part_of(name)))
-    current = _stored(delta.sparkSession, folder, name).filter(F.col("part").isin(parts)).drop("part")
-    _rewrite(utxo.upsert(current, delta, keys, order), parts, folder, name)
-    return parts
-
-
-def delete_from_table(keys: DataFrame, folder: str, name: str, on: list[str]) -> list[str]:
-    """Delete the rows whose ``on`` is in ``keys``; the changed partitions come back.
-
-    The partitions follow from the keys, or, where these do not tell, from a
-    scan of the key columns.
-    """
-    stored = _stored(keys.sparkSession, folder, name)
-    if {"hash" if name in BY_HASH else "height"} <= set(on):
-        stored = stored.filter(F.col("part").isin(_parts(keys.withColumn("part", part_of(name)))))
-    parts = _parts(matching(stored.select(*on, "part"), keys, on))
-    touched = stored.filter(F.col("part").isin(parts)).drop("part")
-    _rewrite(delete_keys(touched, keys, on), parts, folder, name)
-    return parts
+    writer = df.write.mode("append")
+    (writer.partitionBy("name") if name == "collection" else writer).parquet(_path(folder, name))
 
 
-def append_once(df: DataFrame, folder: str, name: str, keys: list[str], order: list[str]) -> None:
-    """Append the rows whose key the table does not have yet."""
-    current = read_table(df.sparkSession, folder, name)
-    append_table(insert_once(current, df, keys, order), folder, name)
+def keyed(spark: SparkSession, folder: str, name: str, keys: list[str] | None = None) -> KeyedTable:
+    """A table that changes by key, new or as it stands in the folder."""
+    return KeyedTable(spark, _path(folder, name), TABLES[name], keys or KEYS[name])
 
 
 def scan_blocks(blocks: DataFrame) -> DataFrame:

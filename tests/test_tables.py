@@ -19,10 +19,10 @@ def block(n, name):
 
 def test_append_once(spark, h, folder):
     frame = lambda rows: spark.createDataFrame(rows, TABLES["blocks"])
-    first = [block(1, h("a")), block(2, h("b")), block(2, h("b"))]
-    tables.append_once(frame(first), folder, "blocks", ["hash"], ["height"])
-    tables.append_once(frame([block(2, h("b")), block(3, h("c"))]), folder, "blocks", ["hash"], ["height"])
-    stored = tables.read_table(spark, folder, "blocks")
+    blocks = tables.keyed(spark, folder + "-keyed", "blocks")
+    blocks.insert_once(frame([block(1, h("a")), block(2, h("b")), block(2, h("b"))]), ["height"])
+    blocks.insert_once(frame([block(2, h("b")), block(3, h("c"))]), ["height"])
+    stored = tables.keyed(spark, folder + "-keyed", "blocks").read()
     assert [r["height"] for r in tables.scan_blocks(stored).collect()] == [1, 2, 3]
 
 
@@ -46,58 +46,10 @@ def test_mempool_and_peers(spark, h, folder):
     stored = tables.read_table(spark, folder, "mempool")
     assert [r["time"] for r in tables.scan_mempool(stored).collect()] == [10, 20]
     tables.append_table(spark.createDataFrame([("1.1.1.1", 1, 8333)], TABLES["addr"]), folder, "addr")
+    peers = tables.keyed(spark, folder + "-keyed", "addr")
+    peers.upsert(tables.read_table(spark, folder, "addr"))
     again = spark.createDataFrame([("1.1.1.1", 5, 8333), ("2.2.2.2", 5, 8333)], TABLES["addr"])
-    tables.append_once(again, folder, "addr", ["ip"], ["services"])
-    stored = tables.read_table(spark, folder, "addr")
+    peers.insert_once(again, ["services"])
+    stored = peers.read()
     assert sorted(r["ip"] for r in tables.scan_addr(stored).collect()) == ["1.1.1.1", "2.2.2.2"]
     assert stored.filter(F.col("ip") == "1.1.1.1").first()["services"] == 1
-
-
-def hashes(n):
-    return [f"{i % 256:02x}" + f"{i:062x}" for i in range(n)]
-
-
-def files(folder, name):
-    import pathlib
-
-    return {str(p): p.stat().st_mtime_ns for p in pathlib.Path(folder, name).rglob("*.parquet")}
-
-
-def test_a_lookup_reads_the_partitions_of_its_keys(spark, folder):
-    rows = [(x, i, 0, 10, 5) for i, x in enumerate(hashes(600))]
-    tables.append_table(spark.createDataFrame(rows, TABLES["tx"]), folder, "tx")
-    keys = spark.createDataFrame([(hashes(600)[5],), (hashes(600)[261],), ("ff" * 32,)], "hash string")
-    found = tables.lookup(keys, folder, "tx", "hash")
-    assert sorted(r["height"] for r in found.collect()) == [5, 261]
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [part" in plan and "05" in plan
-
-
-def test_changes_write_only_their_partitions(spark, folder):
-    rows = [(x, 0, 5, -1, "p") for x in hashes(300)]
-    tables.append_table(spark.createDataFrame(rows, TABLES["utxo"]), folder, "utxo")
-    before = files(folder, "utxo")
-    delta = spark.createDataFrame([(hashes(300)[7], 0, 9, 3, "q", 1), (hashes(300)[7], 0, 8, 2, "q", 0), ("07" + "e" * 62, 0, 1, 1, "q", 0)], TABLES["utxo"] + ", seq int")
-    assert tables.upsert_table(delta, folder, "utxo", ["hash", "pos"], "seq") == ["07"]
-    stored = tables.read_table(spark, folder, "utxo")
-    assert stored.count() == 301 and stored.filter("satoshis = 9 AND height = 3").count() == 1
-    after = files(folder, "utxo")
-    assert {p for p in before if before[p] != after.get(p)} == {p for p in before if "/part=07/" in p}
-    gone = spark.createDataFrame([(hashes(300)[100], 0), (hashes(300)[8], 0), (hashes(300)[9], 4)], "hash string, pos bigint")
-    assert sorted(tables.delete_from_table(gone, folder, "utxo", ["hash", "pos"])) == ["08", "64"]
-    left = files(folder, "utxo")
-    assert tables.read_table(spark, folder, "utxo").count() == 299
-    assert not [p for p in left if "/part=64/" in p]  # its only row is gone
-    assert {p for p in after if after[p] != left.get(p)} == {p for p in after if "/part=08/" in p or "/part=64/" in p}
-
-
-def test_deletes_by_height(spark, h, folder):
-    rows = [(x, i % 10, 0, 10, 5) for i, x in enumerate(hashes(100))]
-    tables.append_table(spark.createDataFrame(rows, TABLES["tx"]), folder, "tx")
-    heights = spark.createDataFrame([(3,), (77,)], "height bigint")
-    parts = tables.delete_from_table(heights, folder, "tx", ["height"])
-    assert len(parts) == 10 and tables.read_table(spark, folder, "tx").count() == 90
-    blocks = [block(n, h(n)) for n in (1, 9_999, 10_000, 25_000)]
-    tables.append_table(spark.createDataFrame(blocks, TABLES["blocks"]), folder, "blocks")
-    assert tables.delete_from_table(spark.createDataFrame([(9_999,)], "height bigint"), folder, "blocks", ["height"]) == ["0"]
-    assert sorted(r["height"] for r in tables.read_table(spark, folder, "blocks").collect()) == [1, 10_000, 25_000]
