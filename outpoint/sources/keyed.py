@@ -8,7 +8,12 @@ and what a failed change has written is never named. ``compact`` writes the
 merged rows as one folder and starts a new list; ``vacuum`` removes what no
 manifest that is kept names.
 
-Rows are sorted by key over the files of a folder. Beside each folder lies an
+A log appends rows as they come, with the number of their batch. A batch that
+runs again replaces what it has appended. ``settle`` merges parts of about one
+size, eight at a time, so a row is written again once per power of eight and a
+lookup meets few parts however long the history is.
+
+Rows are sorted by key over the files of a folder. Beside each such folder lies an
 index with the least and greatest value per file and cell (the first two
 characters of a text, a range of whole numbers) of every key column. A lookup
 joins its keys with the index and opens the files that come out.
@@ -28,6 +33,8 @@ from ..session import materialize
 
 # Whole numbers that share a cell of the index.
 RANGE = 10_000
+#: Parts of one level that are merged into one of the next.
+MERGED = 8
 #: A table is due for compaction when its changes have more than this share of its rows.
 DUE = 0.25
 
@@ -93,17 +100,18 @@ class KeyedTable:
     # Changes
 
     def _write(self, rows: DataFrame, kind: str, on: list[str], turn: int) -> dict | None:
-        """A folder with ``rows`` and its index; None without rows."""
+        """A folder with ``rows`` and its index; None without rows. Rows that have a turn keep it."""
         name = f"{kind}-{turn:012d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.folder}/{name}"
-        ranged = rows.repartitionByRange(*on).sortWithinPartitions(*on).withColumn("_turn", F.lit(turn).cast("long"))
+        turned = rows if "_turn" in rows.columns else rows.withColumn("_turn", F.lit(turn).cast("long"))
+        ranged = turned.repartitionByRange(*on).sortWithinPartitions(*on)
         writer = ranged.write.option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as its file needs
         for column in on:
             if self.kinds[column] == "string":
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
         writer.parquet(path)
         indexed = [c for c in on if c in self.keys]
-        stored = self.spark.read.schema(self._ddl(rows.columns)).parquet(path)
+        stored = self.spark.read.schema(self._ddl([c for c in rows.columns if c != "_turn"])).parquet(path)
         stored = stored.select(F.col("_metadata.file_name").alias("file"), *on)
         stats = [
             stored.groupBy("file", F.lit(c).alias("column"), _cell(F.col(c), self.kinds[c]).alias("cell")).agg(
@@ -122,6 +130,73 @@ class KeyedTable:
     def _ddl(self, columns: list[str]) -> str:
         return ", ".join(f"{c} {self.kinds[c]}" for c in columns) + ", _turn bigint"
 
+    def append(self, rows: DataFrame, batch: int) -> DataFrame:
+        """Add the rows of a batch to a log, instead of what this and later batches have added before; they come back.
+
+        Nothing is looked up or sorted; the folder has the size of the batch.
+        """
+        base = self.manifest()
+        name = f"rows-{base['version'] + 1:012d}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.folder}/{name}"
+        rows.select(*self.columns, F.lit(batch).cast("long").alias("_turn")).write.parquet(path)
+        written = self.spark.read.schema(self.ddl + ", _turn bigint").parquet(path)
+        parts = [p for p in base["parts"] if p["batch"] < batch]
+        count = written.count()
+        if count:
+            parts.append({"path": name, "kind": "rows", "on": [], "turn": batch, "rows": count, "files": None, "batch": batch, "level": 0})
+        if parts != base["parts"]:
+            self._publish(base, parts)
+        return written.drop("_turn")
+
+    def settle(self, before: int) -> None:
+        """Merge parts of a log, all of batches that will not run again, wherever a level has ``MERGED`` of them."""
+        base = self.manifest()
+        parts, changed = base["parts"], False
+        while True:
+            levels: dict[int, list[dict]] = {}
+            for p in parts:
+                if p["batch"] < before:
+                    levels.setdefault(p["level"], []).append(p)
+            full = min((k for k, found in levels.items() if len(found) >= MERGED), default=None)
+            if full is None:
+                break
+            old = levels[full]
+            rows = reduce(DataFrame.unionByName, self._frames(old))
+            last = max(p["batch"] for p in old)
+            merged = self._write(rows, "rows", self.keys, last) | {"batch": last, "level": full + 1}
+            at = parts.index(old[0])
+            parts = [p for p in parts if p not in old]
+            parts.insert(at, merged)
+            changed = True
+        if changed:
+            self._publish(base, parts)
+
+    def log_parts(self, before: int | None = None) -> list[dict]:
+        return [p for p in self.manifest()["parts"] if before is None or p["batch"] < before]
+
+    def logged(self, before: int | None = None) -> DataFrame:
+        """All rows of a log, or those of batches before one."""
+        frames = self._frames(self.log_parts(before))
+        return reduce(DataFrame.unionByName, frames).drop("_turn") if frames else self.spark.createDataFrame([], self.ddl)
+
+    def newest(self, before: int | None = None) -> DataFrame:
+        """Rows of the last part that has any."""
+        frames = self._frames(self.log_parts(before)[-1:])
+        return frames[0].drop("_turn") if frames else self.spark.createDataFrame([], self.ddl)
+
+    def logged_of(self, keys: DataFrame, on: str, before: int | None = None) -> DataFrame:
+        """Rows of a log whose key column ``on`` is in ``keys``, from recent parts and from the files that can have them."""
+        parts = self.log_parts(before)
+        recent, settled = [p for p in parts if not p["level"]], [p for p in parts if p["level"]]
+        wanted = keys.filter(F.col(on).isNotNull()).select(F.col(on).cast(self.kinds[on]).alias(on)).distinct()
+        frames = self._frames(recent)
+        if settled:
+            wanted = materialize(wanted, "asked")
+            frames += self._frames(settled, self.candidates(wanted, on, settled))
+        if not frames:
+            return self.spark.createDataFrame([], self.ddl)
+        return matching(reduce(DataFrame.unionByName, frames).drop("_turn"), wanted, [on])
+
     def _change(self, rows: DataFrame, kind: str, on: list[str]) -> int:
         base = self.manifest()
         part = self._write(rows, kind, on, base["version"] + 1)

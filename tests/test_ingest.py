@@ -200,3 +200,46 @@ def test_as_a_stream(spark, log, tmp_path):
     assert heights(log) == {"b1": 1, "b2": 2}
     assert unspent(log) == {("t", 0): -1}
     assert log.read("blocks").filter(F.col("height") > 2).count() == 0
+
+
+def test_cost_of_a_batch_does_not_grow_with_the_history(spark, tmp_path, monkeypatch):
+    """Batches of one block each; what a batch opens stays the same, and the state equals the chain."""
+    from outpoint.sources import keyed
+
+    monkeypatch.setattr(keyed, "MERGED", 3)
+    log = LedgerLog(spark, str(tmp_path / "log"), "b0", 0).start()
+    opened, parts = [], []
+    frames = keyed.KeyedTable._frames
+
+    def counted(self, found, files=None):
+        out = frames(self, found, files)
+        if count:
+            opened[-1] += sum(len(f.inputFiles()) for f in out)
+        return out
+
+    monkeypatch.setattr(keyed.KeyedTable, "_frames", counted)
+    settle = LedgerLog.settle
+
+    def quiet(self, batch):
+        nonlocal count
+        count = False  # merging is paid for by the rows that it merges
+        settle(self, batch)
+        count = True
+
+    monkeypatch.setattr(LedgerLog, "settle", quiet)
+    count = True
+    n = 11
+    for i in range(1, n):
+        opened.append(0)
+        spends = [(f"t{i - 1}", 0)] if i > 1 else [("00", 1)]
+        messages = [header(i, f"b{i}", f"b{i - 1}", 2), tx(i, f"c{i}", [("00", 0)], [(50, KEY)], f"b{i}", 0), tx(i, f"t{i}", spends, [(9, KEY)], f"b{i}", 1)]
+        apply(spark, log, i - 1, *messages)
+        parts.append(max(len(log.keyed(name).log_parts()) for name in ("blocks", "tx", "created", "spent")))
+    assert max(parts) <= 6 and max(opened[-3:]) <= 2 * max(opened[2:6])
+    assert heights(log) == {f"b{i}": i for i in range(1, n)} and log.tip() == (f"b{n - 1}", n - 1)
+    assert unspent(log) == {**{(f"c{i}", 0): i for i in range(1, n)}, (f"t{n - 1}", 0): n - 1}
+    # A late child of an old block and a batch that runs again are still recognised.
+    again = [header(99, "x3", "b2", 1), header(99, "b4", "b3"), header(99, "y1", "b0")]
+    apply(spark, log, n - 1, *again)
+    apply(spark, log, n - 1, *again)
+    assert {r["hash"] for r in log.read("rejected").collect()} == {"x3", "y1"} and len(heights(log)) == n - 1
