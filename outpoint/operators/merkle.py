@@ -4,6 +4,9 @@ Leaves are folded in chunks of 2**SPAN_LEVELS: a chunk is a bounded array, all
 its levels are computed in one pass, and the tops of the chunks are the leaves
 of the next pass. A block with a third of all transactions is spread over many
 chunks, and even 10**12 leaves need four shuffles.
+
+Folded chunks can be kept as a table, written when a block is: a proof then
+reads the chunks on its way up, and nothing is folded again.
 """
 
 from __future__ import annotations
@@ -15,6 +18,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash256, reverse_hex, to_hex
 from ..session import materialize
+from ..sources.keyed import KeyedTable
+
+#: Schema and key of kept trees: a row per block, pass and chunk.
+TREES = "height bigint, pass int, chunk bigint, done boolean, levels array<array<binary>>"
+TREE_KEYS = ["height", "pass", "chunk"]
 
 SPAN_LEVELS = 10
 BRANCHES = "array<struct<hash:string,pos:string>>"
@@ -55,11 +63,12 @@ def _fold(nodes: DataFrame) -> DataFrame:
     return chunked.select("height", "chunk", F.reduce(steps, F.array(leaves), climb).alias("levels"), "done")
 
 
-def _passes(txs: DataFrame, wanted: DataFrame | None = None) -> list[DataFrame]:
+def _passes(txs: DataFrame, wanted: DataFrame | None = None, whole: bool = False) -> list[DataFrame]:
     """Folded chunks of each pass; the tops of one are the leaves of the next.
 
     Of a chunk only its ``top`` is kept, and its ``levels`` where one of the
-    ``wanted`` nodes (height, pos) or what became of it is in it.
+    ``wanted`` nodes (height, pos) or what became of it is in it, or if the
+    trees are wanted ``whole``.
     """
     node = F.unhex(reverse_hex(F.col("hash")))
     nodes = txs.select("height", F.col("blockindex").cast("long").alias("pos"), node.alias("node"))
@@ -67,9 +76,9 @@ def _passes(txs: DataFrame, wanted: DataFrame | None = None) -> list[DataFrame]:
     passes = []
     while True:
         folded = _fold(nodes).withColumn("top", F.element_at(F.element_at("levels", -1), 1))
-        if wanted is None:
+        if wanted is None and not whole:
             folded = folded.drop("levels")
-        else:
+        elif wanted is not None:
             asked = wanted.select("height", F.floor(F.col("pos") / span).alias("chunk")).distinct()
             wanted = asked.withColumnRenamed("chunk", "pos")
             folded = folded.join(asked.withColumn("_asked", F.lit(True)), ["height", "chunk"], "left")
@@ -139,16 +148,34 @@ def _paths(wanted: DataFrame, passes: list[DataFrame]) -> DataFrame:
     return inside.join(above, ["height", "chunk"], "left").select("height", "pos", whole.alias("branches"))
 
 
-def merkle_proofs(keys: DataFrame, txs: DataFrame, blocks: DataFrame) -> DataFrame:
+def tree_rows(txs: DataFrame) -> DataFrame:
+    """Rows of the table of trees for the blocks of ``txs`` (hash, height, blockindex)."""
+    rows = [p.select("height", F.lit(i).alias("pass"), "chunk", "done", "levels") for i, p in enumerate(_passes(txs, whole=True))]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def _kept_passes(placed: DataFrame, trees: KeyedTable) -> list[DataFrame]:
+    """The chunks of the blocks of ``placed``, pass by pass, as they are kept."""
+    held = materialize(trees.find(placed, "height"), "chunks")
+    last = held.agg(F.max("pass")).first()[0] or 0
+    return [held.filter(F.col("pass") == i) for i in range(last + 1)]
+
+
+def merkle_proofs(keys: DataFrame, txs: DataFrame, blocks: DataFrame, trees: KeyedTable | None = None) -> DataFrame:
     """One proof per distinct requested hash.
 
     Columns: tx_hash, found, block_hash, merkle_root and branches, an array of
-    (hash, pos) from the leaf up, with one entry per tree level.
+    (hash, pos) from the leaf up, with one entry per tree level. With kept
+    ``trees``, only the places of the requested hashes are needed in ``txs``;
+    without, the trees of their blocks are folded from all their transactions.
     """
     wanted = keys.select("hash").distinct()
     leaves = txs.select("hash", "height", F.col("blockindex").cast("long").alias("pos"))
     placed = materialize(leaves.join(wanted, "hash", "left_semi"), "placed")
-    passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"), placed)
+    if trees is not None:
+        passes = _kept_passes(placed, trees)
+    else:
+        passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"), placed)
     heads = blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root")
     proofs = placed.join(_paths(placed, passes), ["height", "pos"]).join(heads, "height")
     return wanted.join(proofs, "hash", "left").select(

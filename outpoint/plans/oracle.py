@@ -551,6 +551,9 @@ def _queries() -> dict[str, str]:
         CASE WHEN fault IS NOT NULL THEN fault WHEN late THEN 'already exists: ' || txid END reason FROM judged)"""
     q["t10_rebuild"] = """SELECT hash, pos, satoshis, height, pubkeyhash FROM created c WHERE height >= 0 AND NOT EXISTS
       (SELECT 1 FROM ins i WHERE i.prev_hash = c.hash AND i.prev_index = c.pos AND i.blockindex > 0)"""
+    q["t10_rebuild_collections"] = (
+        "SELECT c.hash, c.name FROM collection c JOIN tx t ON c.hash = t.hash WHERE c.name <> 'broadcast'"
+    )
     q["t11_throttle"] = """WITH RECURSIVE r AS (SELECT event_id id, user_id, epoch_us(ts) t FROM events),
       anchors AS (SELECT user_id, min(t) a FROM r GROUP BY user_id
         UNION ALL SELECT a.user_id, min(r.t) FROM anchors a JOIN r ON r.user_id = a.user_id AND r.t >= a.a + 86400000000

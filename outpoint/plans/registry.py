@@ -569,6 +569,25 @@ def j2_tx_fee(L: Ledger) -> DataFrame:
 STORED = {"tx": ["hash"], "mempool": ["hash"], "collection": ["hash", "name"], "utxo": ["hash", "pos"], "blocks": ["height", "hash"]}
 
 
+def stored_tables(L: Ledger) -> None:
+    """Write all tables that lookups read."""
+    for name in STORED:
+        _stored(L, name)
+    _stored_by_height(L)
+    _trees(L)
+
+
+def _trees(L: Ledger) -> KeyedTable:
+    """The folded chunks of all blocks."""
+
+    def make(ledger: Ledger) -> KeyedTable:
+        trees = KeyedTable(ledger.spark, new_path(ledger.spark, "trees"), merkle.TREES, merkle.TREE_KEYS)
+        trees.upsert(merkle.tree_rows(ledger.tx))
+        return trees
+
+    return _once(L, "trees", make)
+
+
 def _stored(L: Ledger, name: str) -> KeyedTable:
     """A table as it is at rest, written once; lookups find the files of their keys in it."""
     rows = {"collection": _collection_text}.get(name, lambda ledger: getattr(ledger, name))
@@ -858,7 +877,9 @@ def q10_hex_from_collection(L: Ledger) -> DataFrame:
 
 
 def _proofs(L: Ledger) -> DataFrame:
-    return merkle.merkle_proofs(feeds.keys(L), L.tx, L.blocks)
+    keys = feeds.keys(L)
+    placed, blocks = _placed(L, keys)
+    return merkle.merkle_proofs(keys, placed, blocks, _trees(L))
 
 
 @query
@@ -989,9 +1010,8 @@ def t9_broadcast_admission(L: Ledger) -> DataFrame:
     return lookups.admit_broadcasts(twice, known, 300, "turn").drop("turn")
 
 
-@query
-def t10_rebuild(L: Ledger) -> DataFrame:
-    """Unspent outputs of the blocks alone, from the raw block file.
+def _rebuilt(L: Ledger, rules: list[monitors.Monitor]) -> dict[str, DataFrame]:
+    """The tables of the blocks alone, from the raw block file.
 
     The view names blocks and transactions by other hashes than their bytes
     have, so the names are put back after decoding.
@@ -1017,7 +1037,17 @@ def t10_rebuild(L: Ledger) -> DataFrame:
     )
     txs = decoded.select("block_hash", "hash", "blockindex", "txsize")
     arrived = L.arrivals.join(L.blocks.select("hash"), "hash", "left_semi")
-    return rebuild(arrived, txs, inputs, outputs, START_HASH, START_HEIGHT)["utxo"]
+    return rebuild(arrived, txs, inputs, outputs, START_HASH, START_HEIGHT, rules)
+
+
+@query
+def t10_rebuild(L: Ledger) -> DataFrame:
+    return _rebuilt(L, [])["utxo"]
+
+
+@query
+def t10_rebuild_collections(L: Ledger) -> DataFrame:
+    return _rebuilt(L, MONITORS)["collection"]
 
 
 def _requests(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outpoint.operators import merkle
+from outpoint.sources.keyed import KeyedTable
 
 # Transaction ids and branches that must come out exactly so.
 LEAVES_2 = [
@@ -110,3 +111,22 @@ def test_whole_block_check(spark):
     bad = spark.createDataFrame([(3,), (3,)], "height bigint")
     checked = merkle.check_blocks(blocks, merkle.merkle_roots(txs), bad, F.lit(True))
     assert {r["height"]: r["valid"] for r in checked.collect()} == {1: True, 2: False, 3: False}
+
+
+@pytest.mark.parametrize("span", [1, 2, 10])
+def test_kept_trees_give_the_same_proofs(spark, tmp_path, monkeypatch, h, span):
+    monkeypatch.setattr(merkle, "SPAN_LEVELS", span)
+    rows = [(h(f"{height}-{i}"), height, i) for height, n in ((1, 1), (2, 5), (3, 16), (7, 9)) for i in range(n)]
+    txs = spark.createDataFrame(rows, "hash string, height bigint, blockindex bigint")
+    roots = merkle.merkle_roots(txs)
+    blocks = roots.select("height", F.concat(F.lit("b"), F.col("height").cast("string")).alias("hash"), "merkle_root")
+    trees = KeyedTable(spark, str(tmp_path / "trees"), merkle.TREES, merkle.TREE_KEYS)
+    trees.upsert(merkle.tree_rows(txs.filter("height < 7")))
+    trees.upsert(merkle.tree_rows(txs.filter("height = 7")))
+    keys = txs.filter("blockindex % 3 = 0").select("hash").unionByName(spark.createDataFrame([(h("no"),)], "hash string"))
+    asked = txs.join(keys, "hash", "left_semi")
+    kept = merkle.merkle_proofs(keys, asked, blocks, trees)
+    folded = merkle.merkle_proofs(keys, txs, blocks)
+    in_order = lambda df: sorted(map(str, df.select(*folded.columns).collect()))
+    assert in_order(kept) == in_order(folded)
+    assert merkle.verify_merkle_proofs(kept.filter("found")).filter("not verified").count() == 0
