@@ -611,7 +611,7 @@ def _ask_utxo(L: Ledger, keys: DataFrame, answer: Callable[[DataFrame, DataFrame
 
 def _listing(L: Ledger, keys: DataFrame, on: str) -> DataFrame:
     blocks = materialize(_stored(L, "blocks").find(keys, on), "listed")
-    return lookups.block_listing(keys, blocks, _stored_by_height(L).find(blocks, "height"), on)
+    return lookups.block_listing(keys, blocks, _stored_by_height(L).find(blocks, "height", unique=True), on)
 
 
 @query
@@ -648,8 +648,8 @@ def j7_mempool_confirmation(L: Ledger) -> DataFrame:
 
 @query
 def j8_tx_exists(L: Ledger) -> DataFrame:
-    keys = feeds.keys(L)
-    return lookups.tx_exists(keys, *[_stored(L, name).find(keys, "hash") for name in ("tx", "mempool", "collection")])
+    keys = materialize(feeds.keys(L).distinct(), "asked")
+    return lookups.tx_exists(keys, *[_stored(L, name).find(keys, "hash", unique=True) for name in ("tx", "mempool", "collection")])
 
 
 @query

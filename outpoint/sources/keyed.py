@@ -33,6 +33,8 @@ from ..session import materialize
 
 # Whole numbers that share a cell of the index.
 RANGE = 10_000
+#: With this many times as many keys as files nearly every file has one, and the index is not asked.
+MANY = 4
 #: Parts of one level that are merged into one of the next.
 MERGED = 8
 #: A table is due for compaction when its changes have more than this share of its rows.
@@ -192,7 +194,7 @@ class KeyedTable:
         frames = self._frames(recent)
         if settled:
             wanted = materialize(wanted, "asked")
-            frames += self._frames(settled, self.candidates(wanted, on, settled))
+            frames += self._frames(settled, self._files_of(wanted, on, settled))
         if not frames:
             return self.spark.createDataFrame([], self.ddl)
         return matching(reduce(DataFrame.unionByName, frames).drop("_turn"), wanted, [on])
@@ -292,16 +294,25 @@ class KeyedTable:
             files.setdefault(row["part"], []).append(row["file"])
         return files
 
-    def find(self, keys: DataFrame, on: str) -> DataFrame:
+    def _files_of(self, wanted: DataFrame, on: str, parts: list[dict]) -> dict[str, list[str]] | None:
+        """The candidates, or None for all files where there are keys for nearly all of them."""
+        if wanted.count() >= MANY * sum(p["files"] for p in parts):
+            return None
+        return self.candidates(wanted, on, parts)
+
+    def find(self, keys: DataFrame, on: str, unique: bool = False) -> DataFrame:
         """Rows whose key column ``on`` is in ``keys``; other files than theirs are not opened.
 
-        All versions of a row have the same key, so no file that matters is left out.
+        All versions of a row have the same key, so no file that matters is
+        left out. ``unique`` says that the keys are distinct and stand in a
+        table; otherwise they are written first.
         """
         if on not in self.keys:
             raise ValueError(f"{on} is no key column of {self.folder}")
-        wanted = materialize(keys.filter(F.col(on).isNotNull()).select(F.col(on).cast(self.kinds[on]).alias(on)).distinct(), "asked")
+        wanted = keys.filter(F.col(on).isNotNull()).select(F.col(on).cast(self.kinds[on]).alias(on))
+        wanted = wanted if unique else materialize(wanted.distinct(), "asked")
         parts, gone = self._split(self.manifest())
-        files = self.candidates(wanted, on, parts)
+        files = self._files_of(wanted, on, parts)
         return self._merged([matching(f, wanted, [on]) for f in self._frames(parts, files)], gone)
 
     # Upkeep
