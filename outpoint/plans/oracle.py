@@ -221,6 +221,7 @@ def _queries() -> dict[str, str]:
     file_rows = 'SELECT "offset", size, sha256(unhex(digits)) digest FROM wire_index'
     q["s1_read_blocks"] = file_rows
     q["s2_index_blocks"] = f'SELECT {rev(h256("header"))} hash, "offset", size FROM wire_index'
+    q["s2_frame_blocks"] = q["s2_index_blocks"]
     q["s3_fetch_blocks"] = file_rows
     q["s4_scan_blocks"] = "SELECT * FROM blocks"
     q["s5_scan_tx"] = "SELECT hash, height FROM tx"

@@ -79,6 +79,13 @@ def s2_index_blocks(L: Ledger) -> DataFrame:
     return blockfile.index_blocks(L.spark, _block_file(L)[0]).drop("path")
 
 
+@query
+def s2_frame_blocks(L: Ledger) -> DataFrame:
+    """The index of a file whose kept starts are not used: every task guesses its own."""
+    found = blockfile.index_blocks(L.spark, _block_file(L)[0], kept_starts=False, range_bytes=4 << 20)
+    return found.drop("path")
+
+
 @query
 def s3_fetch_blocks(L: Ledger) -> DataFrame:
     path, index = _block_file(L)
