@@ -9,7 +9,7 @@ joined with the scripts of that form which an output script holds.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +29,10 @@ ADDRESS_SCRIPT = "76a914[0-9a-f]{40}88ac"
 
 @dataclass(frozen=True)
 class Monitor:
-    """A rule. It is active for arrival numbers in [valid_from, valid_to)."""
+    """A rule. It is active for arrival numbers in [valid_from, valid_to).
+
+    The arrival is the column ``at`` of the rows in question, or else ``seq``.
+    """
 
     name: str
     track_descendants: bool = False
@@ -45,12 +48,14 @@ MONITOR_SCHEMA = (
 )
 
 
-def monitors_frame(spark: SparkSession, monitors: list[Monitor]) -> DataFrame:
+def monitors_frame(spark: SparkSession, monitors: list[Monitor], numbered: bool = False) -> DataFrame:
+    """A table of monitors, with their ``position`` if ``numbered``."""
     rows = [
-        (m.name, m.track_descendants, m.address, m.locking_script_pattern, m.valid_from, m.valid_to)
-        for m in monitors
+        (i, m.name, m.track_descendants, m.address, m.locking_script_pattern, m.valid_from, m.valid_to)
+        for i, m in enumerate(monitors)
     ]
-    return spark.createDataFrame(rows, MONITOR_SCHEMA)
+    table = spark.createDataFrame(rows, "position int, " + MONITOR_SCHEMA)
+    return table if numbered else table.drop("position")
 
 
 def monitors_of(table: DataFrame) -> list[Monitor]:
@@ -79,6 +84,46 @@ def with_patterns(spark: SparkSession, monitors: list[Monitor], network: str) ->
     return out
 
 
+def change_monitors(spark: SparkSession, held: list[Monitor], taken: set[str], events: DataFrame, network: str) -> tuple[list[Monitor], list[tuple]]:
+    """Monitors after ``events``, and (arrival, kind, name, reason) of those that were refused.
+
+    ``events`` has arrival, kind (``monitor_add`` or ``monitor_delete``) and
+    the columns of a monitor; they take effect in the order of arrival. A
+    monitor sees what arrives after it was added, up to where it was deleted.
+    ``held`` are those added before, ``taken`` the names of configured ones.
+    """
+    name_check = validate.check_monitor_name(F.col("name"))["valid"]
+    pattern_check = validate.check_pattern(F.col("locking_script_pattern"))["valid"]
+    columns = ["arrival", "kind", "name", "track_descendants", "address", "locking_script_pattern"]
+    asked = events.select(*columns, name_check.alias("name_ok"), pattern_check.alias("pattern_ok")).collect()  # configuration
+    now, refused = list(held), []
+    resolved = with_patterns(spark, [Monitor(r["address"], address=r["address"]) for r in asked if r["address"] is not None], network)
+    scripts = {m.name: m.locking_script_pattern for m in resolved}
+    for r in sorted(asked, key=lambda r: (r["arrival"], r["kind"], r["name"] or "")):
+        live = {m.name: i for i, m in enumerate(now) if m.valid_to is None}
+        adds, name, reason = r["kind"] == "monitor_add", r["name"], None
+        pattern = r["locking_script_pattern"] if r["address"] is None else scripts.get(r["address"])
+        if not r["name_ok"]:
+            reason = "bad name"
+        elif adds and r["locking_script_pattern"] is not None and not r["pattern_ok"]:
+            reason = "bad pattern"
+        elif adds and r["address"] is None and pattern is None:
+            reason = "neither address nor pattern"
+        elif adds and (name in live or name in taken):
+            reason = "name in use"
+        elif adds and pattern is None:
+            reason = "bad address"
+        elif not adds and name not in live:
+            reason = "not dynamic" if name in taken else "unknown name"
+        if reason:
+            refused.append((r["arrival"], r["kind"], name, reason))
+        elif adds:
+            now.append(Monitor(name, bool(r["track_descendants"]), None, pattern, r["arrival"]))
+        else:
+            now[live[name]] = replace(now[live[name]], valid_to=r["arrival"])
+    return now, refused
+
+
 def monitor_order(static: DataFrame, dynamic: DataFrame, added: DataFrame | None = None) -> DataFrame:
     """All monitors in the order they are tried, with their priority.
 
@@ -154,10 +199,14 @@ def check_deletes(names: DataFrame, static: DataFrame, dynamic: DataFrame) -> Da
     )
 
 
-def _active(m: Monitor) -> Column:
+def _arrival(df: DataFrame) -> str:
+    return "at" if "at" in df.columns else "seq"
+
+
+def _active(m: Monitor, at: str) -> Column:
     if m.valid_from is None and m.valid_to is None:
         return F.lit(True)
-    return F.col("seq").between(m.valid_from or 0, (m.valid_to or FOREVER) - 1)
+    return F.col(at).between(m.valid_from or 0, (m.valid_to or FOREVER) - 1)
 
 
 def _matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
@@ -165,7 +214,7 @@ def _matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     usable = [(i, m) for i, m in enumerate(monitors) if m.locking_script_pattern is not None]
     exact = [(i, m) for i, m in usable if re.fullmatch(ADDRESS_SCRIPT, m.locking_script_pattern)]
     hits = [
-        F.when(F.col("script_hex").rlike(m.locking_script_pattern) & _active(m), F.lit(i))
+        F.when(F.col("script_hex").rlike(m.locking_script_pattern) & _active(m, _arrival(outputs)), F.lit(i))
         for i, m in usable
         if (i, m) not in exact
     ]
@@ -176,7 +225,7 @@ def _matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     table = outputs.sparkSession.createDataFrame(rows, "script string, priority int, since long, until long")
     timed = any(m.valid_from is not None or m.valid_to is not None for _, m in exact)
     scripts = F.array_distinct(F.regexp_extract_all("script_hex", F.lit(f"(?=({ADDRESS_SCRIPT}))"), F.lit(1)))
-    seq = F.col("seq") if timed else F.lit(0).cast("long")
+    seq = F.col(_arrival(outputs)) if timed else F.lit(0).cast("long")
     held = outputs.select("hash", seq.alias("seq"), F.explode(scripts).alias("script"))
     joined = held.join(table, "script").filter(F.col("seq").between(F.col("since"), F.col("until")))
     return found.unionByName(joined.select("hash", "priority"))
@@ -219,11 +268,12 @@ def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list
     own = matches.select("hash", F.col("priority").alias("own"))
     parent = txs.select("hash", F.col("seq").alias("prev_seq")).join(own, "hash", "left")
     parent = parent.select(F.col("hash").alias("prev_hash"), "prev_seq", F.col("own").alias("prev_own"))
-    links = inputs.select("hash", "prev_hash", "seq").distinct().join(parent, "prev_hash")
+    extra = [c for c in inputs.columns if c == "at"]
+    links = inputs.select("hash", "prev_hash", "seq", *extra).distinct().join(parent, "prev_hash")
     edges = materialize(links.filter("prev_seq < seq").drop("prev_seq").join(own, "hash", "left"), "edges")
     timed = [i for i in tracking if monitors[i].valid_from is not None or monitors[i].valid_to is not None]
     always = F.col("priority").isin([i for i in tracking if i not in timed])
-    passes_on = reduce(lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i])), timed, always)
+    passes_on = reduce(lambda c, i: c | ((F.col("priority") == i) & _active(monitors[i], _arrival(inputs))), timed, always)
     folder = new_path(spark, "assigned")
     schema = "hash string, priority int, before int"
     spark.createDataFrame([], schema).write.parquet(f"{folder}/round=0")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.display import utc_to_epoch
 from ..functions.scripts import BASE58_DIGITS, lock_script
+from ..operators import monitors
 from ..session import new_path
 from ..sources import blockfile
 from ..streaming.ingest import FEED_SCHEMA, LedgerLog, ingest_stream
@@ -139,18 +140,20 @@ def scaled_values(satoshis: Column) -> Column:
     return (satoshis - 1_000_000) * 300_000_000
 
 
+def feed_rows(df: DataFrame, kind: str, **values: Column) -> DataFrame:
+    """Rows of the ingest feed; what is not given is null."""
+    values["kind"] = F.lit(kind)
+    columns = [c.split() for c in FEED_SCHEMA.split(", ")]
+    return df.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns])
+
+
 def ingest_feed(ledger: Ledger) -> list[DataFrame]:
     """The ledger as a feed, in the order its parts arrive.
 
     Blocks come shuffled, with forks; then every header is announced again;
     loose transactions come last.
     """
-    columns = [c.split() for c in FEED_SCHEMA.split(", ")]
-
-    def rows(df: DataFrame, kind: str, **values: Column) -> DataFrame:
-        values["kind"] = F.lit(kind)
-        return df.select(*[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in columns])
-
+    rows = feed_rows
     arrived = ledger.arrivals.withColumn("at", (F.col("arrival") * 2).cast("long"))
     heads = ledger.blocks.select("height", "merkle_root", "numtxs")
     blocks = arrived.join(heads, "height")
@@ -217,3 +220,45 @@ def run_ingest(ledger: Ledger) -> LedgerLog:
         feed = spark.readStream.schema(FEED_SCHEMA).parquet(landing)
         ingest_stream(feed, log, checkpoint).awaitTermination()
     return log
+
+
+def _streamed(ledger: Ledger, parts: list[DataFrame], log_of: Callable[[], LedgerLog]) -> LedgerLog:
+    """One micro-batch per part, each after a restart."""
+    landing, checkpoint = new_path(ledger.spark, "feed"), new_path(ledger.spark, "feed-state")
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        feed = ledger.spark.readStream.schema(FEED_SCHEMA).parquet(landing)
+        ingest_stream(feed, log_of(), checkpoint).awaitTermination()
+    return log_of()
+
+
+def run_late_block(ledger: Ledger, ingested: LedgerLog) -> LedgerLog:
+    """The ingested ledger, then an empty message, then a block older than all others."""
+    folder = new_path(ledger.spark, "log-late")
+    ingested.restart(folder, ingested.state(), -1)
+    first = ledger.blocks.agg(F.min("timestamp").alias("timestamp"))
+    at, late = F.lit(1 << 62), tagged_hash("late:", F.col("timestamp"))
+    header = {"hash": late, "prev_hash": late, "merkle_root": late, "timestamp": F.col("timestamp") - 1, "numtxs": F.lit(0)}
+    parts = [feed_rows(first, "nothing", arrival=at - 1), feed_rows(first, "header", arrival=at, **header)]
+    return _streamed(ledger, parts, lambda: LedgerLog(ledger.spark, folder, START_HASH, START_HEIGHT, MONITORS, 10))
+
+
+def run_monitor_changes(ledger: Ledger, at: int) -> LedgerLog:
+    """All transactions as loose ones; one monitor comes at an arrival and another one, which was there before, goes."""
+    outs = feed_rows(
+        ledger.outputs, "out", arrival=F.col("seq"), hash=F.col("hash"), n=F.col("pos"), satoshis=F.col("satoshis"), script_hex=F.col("script_hex")
+    )
+    txs = feed_rows(ledger.txs, "tx", arrival=F.col("seq"), hash=F.col("hash"), time=F.col("time"), locktime=F.lit(0), txsize=F.lit(0))
+    start = ledger.txs.agg(F.min("seq").alias("seq"))
+
+    def change(kind: str, rule: monitors.Monitor, arrival: Column) -> DataFrame:
+        return feed_rows(start, kind, arrival=arrival, name=F.lit(rule.name), locking_script_pattern=F.lit(rule.locking_script_pattern))
+
+    whole = outs.unionByName(txs)
+    comes, goes = MONITORS[0], MONITORS[2]
+    half = F.col("arrival") < at
+    early = whole.filter(half).unionByName(change("monitor_add", goes, F.col("seq")))
+    late = whole.filter(~half).unionByName(change("monitor_add", comes, F.lit(at))).unionByName(change("monitor_delete", goes, F.lit(at)))
+    folder = new_path(ledger.spark, "log-monitors")
+    LedgerLog(ledger.spark, folder, START_HASH, START_HEIGHT).start()
+    return _streamed(ledger, [early, late], lambda: LedgerLog(ledger.spark, folder, START_HASH, START_HEIGHT))

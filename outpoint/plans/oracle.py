@@ -536,6 +536,9 @@ def _queries() -> dict[str, str]:
         WHEN regexp_matches(script_hex, '7576a914[0-9a-f]{{40}}88ac$') AND seq >= ({CUT} // 86400) * 1099511627776 THEN 0
         WHEN regexp_matches(script_hex, '76a9140[0-9a-f]{{39}}88ac') AND seq < ({CUT} // 86400) * 1099511627776 THEN 1
         END) AS priority FROM outs GROUP BY hash HAVING priority IS NOT NULL"""
+    q["t6_stream_roll_back"] = q["t6_roll_back"]
+    q["t7_stream_monitors"] = f"""SELECT hash, CASE priority WHEN 0 THEN 'johns' ELSE 'zero' END AS name
+      FROM ({q["t7_monitor_intervals"]})"""
     q["t8_broadcast_capture"] = "SELECT hash FROM collection WHERE name = 'broadcast'"
     q["t8_stream_collections"] = "SELECT hash, name FROM collection"
     # Equal bytes under two names are one transaction: known and first are asked of the id that the bytes have.

@@ -982,6 +982,17 @@ def t6_roll_back(L: Ledger) -> DataFrame:
     return out
 
 
+@query
+def t6_stream_roll_back(L: Ledger) -> DataFrame:
+    """A late block takes the tip off within the stream."""
+    log = feeds.run_late_block(L, _ingested(L))
+    out = None
+    for name, df in (("blocks", log.read("blocks")), ("tx", log.read("tx")), ("utxo", log.utxo()), ("orphan", log.read("orphans"))):
+        part = df.select(F.lit(name).alias("source"), "hash", F.col("height").cast("long").alias("height"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def t7_monitor_intervals(L: Ledger) -> DataFrame:
     """One monitor is added at the cut, another is deleted then."""
@@ -991,6 +1002,12 @@ def t7_monitor_intervals(L: Ledger) -> DataFrame:
     return monitors.own_matches(L.outputs, [added, deleted])
 
 
+@query
+def t7_stream_monitors(L: Ledger) -> DataFrame:
+    """The same as events of the feed, with a restart in between."""
+    return feeds.run_monitor_changes(L, (CUT // 86400) << 40).read("collection")
+
+
 @query
 def t8_broadcast_capture(L: Ledger) -> DataFrame:
     captured = monitors.capture(L.txs, L.assigned, MONITORS)

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -150,6 +151,16 @@ class KeyedTable:
             self._publish(base, parts)
         return written.drop("_turn")
 
+    def forget(self, keys: DataFrame, on: list[str], batch: int) -> None:
+        """Rows of a log that this and earlier batches have written go, if their ``on`` (any columns) is in ``keys``.
+
+        Only these values are written. It comes after the rows of its batch: when that runs again, ``append`` takes it back.
+        """
+        base = self.manifest()
+        part = self._write(keys.select(*[F.col(c).cast(self.kinds[c]).alias(c) for c in on]).distinct(), "gone", on, batch)
+        if part:
+            self._publish(base, [*base["parts"], part | {"batch": batch, "level": None}])
+
     def settle(self, before: int) -> None:
         """Merge parts of a log, all of batches that will not run again, wherever a level has ``MERGED`` of them."""
         base = self.manifest()
@@ -157,7 +168,7 @@ class KeyedTable:
         while True:
             levels: dict[int, list[dict]] = {}
             for p in parts:
-                if p["batch"] < before:
+                if p["batch"] < before and p["kind"] == "rows":
                     levels.setdefault(p["level"], []).append(p)
             full = min((k for k, found in levels.items() if len(found) >= MERGED), default=None)
             if full is None:
@@ -173,22 +184,33 @@ class KeyedTable:
         if changed:
             self._publish(base, parts)
 
+    def _log(self, before: int | None) -> tuple[list[dict], list[dict]]:
+        """Parts with rows, and those with what is forgotten."""
+        manifest = self.manifest()
+        return self._split({"parts": [p for p in manifest["parts"] if before is None or p["batch"] < before]})
+
     def log_parts(self, before: int | None = None) -> list[dict]:
-        return [p for p in self.manifest()["parts"] if before is None or p["batch"] < before]
+        return self._log(before)[0]
+
+    def _remembered(self, frames: list[DataFrame], gone: list[dict]) -> DataFrame:
+        if not frames:
+            return self.spark.createDataFrame([], self.ddl)
+        return self._without(reduce(DataFrame.unionByName, frames), gone).select(*self.columns)
 
     def logged(self, before: int | None = None) -> DataFrame:
         """All rows of a log, or those of batches before one."""
-        frames = self._frames(self.log_parts(before))
-        return reduce(DataFrame.unionByName, frames).drop("_turn") if frames else self.spark.createDataFrame([], self.ddl)
+        parts, gone = self._log(before)
+        return self._remembered(self._frames(parts), gone)
 
-    def newest(self, before: int | None = None) -> DataFrame:
-        """Rows of the last part that has any."""
-        frames = self._frames(self.log_parts(before)[-1:])
-        return frames[0].drop("_turn") if frames else self.spark.createDataFrame([], self.ddl)
+    def backwards(self, before: int | None = None) -> Iterator[DataFrame]:
+        """Rows of each part, the last one first."""
+        parts, gone = self._log(before)
+        for part in reversed(parts):
+            yield self._remembered(self._frames([part]), gone)
 
     def logged_of(self, keys: DataFrame, on: str, before: int | None = None) -> DataFrame:
         """Rows of a log whose key column ``on`` is in ``keys``, from recent parts and from the files that can have them."""
-        parts = self.log_parts(before)
+        parts, gone = self._log(before)
         recent, settled = [p for p in parts if not p["level"]], [p for p in parts if p["level"]]
         wanted = keys.filter(F.col(on).isNotNull()).select(F.col(on).cast(self.kinds[on]).alias(on)).distinct()
         frames = self._frames(recent)
@@ -197,7 +219,7 @@ class KeyedTable:
             frames += self._frames(settled, self._files_of(wanted, on, settled))
         if not frames:
             return self.spark.createDataFrame([], self.ddl)
-        return matching(reduce(DataFrame.unionByName, frames).drop("_turn"), wanted, [on])
+        return self._remembered([matching(reduce(DataFrame.unionByName, frames), wanted, [on])], gone)
 
     def _change(self, rows: DataFrame, kind: str, on: list[str]) -> int:
         base = self.manifest()
@@ -243,6 +265,17 @@ class KeyedTable:
                 out.append(reader.parquet(*[f"{path}/{f}" for f in files[part["path"]]]))
         return out
 
+    def _without(self, rows: DataFrame, gone: list[dict]) -> DataFrame:
+        """Rows that no part of ``gone`` has removed after they were written."""
+        by_columns: dict[tuple, list[str]] = {}
+        for part in gone:
+            by_columns.setdefault(tuple(part["on"]), []).append(f"{self.folder}/{part['path']}")
+        for on, paths in by_columns.items():
+            keys = self.spark.read.schema(self._ddl(list(on))).parquet(*paths)
+            until = keys.groupBy(*on).agg(F.max("_turn").alias("_until"))
+            rows = rows.join(until, list(on), "left").filter(F.col("_until").isNull() | (F.col("_turn") > F.col("_until"))).drop("_until")
+        return rows
+
     def _merged(self, frames: list[DataFrame], gone: list[dict]) -> DataFrame:
         """The rows that count: the newest of each key, if it was not deleted later."""
         if not frames:
@@ -255,14 +288,7 @@ class KeyedTable:
             later = later.select(*self.keys, *[F.col(f"_newest.{c}").alias(c) for c in rest])
             # The large part is not aggregated: it loses the keys that have newer rows.
             rows = delete_keys(rows, later, self.keys).unionByName(later.select(*rows.columns))
-        by_columns: dict[tuple, list[str]] = {}
-        for part in gone:
-            by_columns.setdefault(tuple(part["on"]), []).append(f"{self.folder}/{part['path']}")
-        for on, paths in by_columns.items():
-            keys = self.spark.read.schema(self._ddl(list(on))).parquet(*paths)
-            until = keys.groupBy(*on).agg(F.max("_turn").alias("_until"))
-            rows = rows.join(until, list(on), "left").filter(F.col("_until").isNull() | (F.col("_turn") > F.col("_until"))).drop("_until")
-        return rows.select(*self.columns)
+        return self._without(rows, gone).select(*self.columns)
 
     @staticmethod
     def _split(manifest: dict) -> tuple[list[dict], list[dict]]:

@@ -243,3 +243,91 @@ def test_cost_of_a_batch_does_not_grow_with_the_history(spark, tmp_path, monkeyp
     apply(spark, log, n - 1, *again)
     apply(spark, log, n - 1, *again)
     assert {r["hash"] for r in log.read("rejected").collect()} == {"x3", "y1"} and len(heights(log)) == n - 1
+
+
+def monitor(at, kind, name, pattern=None, tracks=None, address=None):
+    return [row(arrival=at, kind=f"monitor_{kind}", name=name, locking_script_pattern=pattern, track_descendants=tracks, address=address)]
+
+
+def test_monitors_come_and_go_with_the_feed(spark, tmp_path):
+    """A transaction sees the monitors of its arrival, also within a batch, after a restart and when a batch runs again."""
+    folder, rules = str(tmp_path / "log"), [Monitor("fixed", False, None, "ffff")]
+    LedgerLog(spark, folder, "b0", 0, rules).start()
+
+    def batch(number, *messages):
+        apply(spark, LedgerLog(spark, folder, "b0", 0, rules, network="testnet"), number, *messages)
+
+    def taken():
+        return {r["hash"]: r["name"] for r in LedgerLog(spark, folder, "b0", 0).read("collection").collect()}
+
+    first = [
+        tx(1, "before", [("00", 0)], [(1, "aa")]),
+        monitor(2, "add", "m", "aa", True),
+        tx(3, "caught", [("00", 1)], [(1, "aa")]),
+        tx(4, "child", [("caught", 0)], [(1, "51")]),
+        monitor(5, "add", "m", "bb"),
+        monitor(6, "delete", "fixed"),
+        monitor(7, "delete", "nobody"),
+        monitor(8, "add", "empty"),
+        monitor(9, "add", "bad name", "aa"),
+        monitor(9, "add", "where", address="nonsense"),
+        tx(10, "fixed1", [("00", 2)], [(1, "ffff")]),
+        # This block waits for its parent, and sees what was there when it arrived.
+        header(11, "b2", "b1", 1),
+        tx(11, "waits", [("00", 3)], [(1, "aa")], "b2", 0),
+    ]
+    batch(0, *first)
+    batch(0, *first)
+    assert taken() == {"caught": "m", "child": "m", "fixed1": "fixed"}
+    batch(1, tx(20, "grandchild", [("child", 0)], [(1, "51")]), monitor(21, "delete", "m"), tx(22, "late", [("00", 4)], [(1, "aa")]))
+    batch(2, tx(30, "later", [("grandchild", 0)], [(1, "aa")]), monitor(31, "add", "m", "cc"), header(32, "b1", "b0"))
+    assert taken() == {"caught": "m", "child": "m", "fixed1": "fixed", "grandchild": "m", "waits": "m"}
+    batch(3, tx(40, "new", [("00", 5)], [(1, "cc")]), tx(41, "old", [("00", 6)], [(1, "aa")]))
+    assert taken()["new"] == "m" and "old" not in taken()
+    log = LedgerLog(spark, folder, "b0", 0, rules)
+    assert [(m.name, m.locking_script_pattern, m.valid_to) for m in log.rules(3)] == [("fixed", "ffff", None), ("m", "cc", None)]
+    assert sorted((r["arrival"], r["reason"]) for r in log.read("refused").collect()) == [
+        (5, "name in use"),
+        (6, "not dynamic"),
+        (7, "unknown name"),
+        (8, "neither address nor pattern"),
+        (9, "bad address"),
+        (9, "bad name"),
+    ]
+
+
+def test_late_block_takes_off_the_tip(spark, tmp_path, monkeypatch):
+    """In the stream, by what is forgotten; the chain goes on from there, and a batch may run again."""
+    from outpoint.sources import keyed
+
+    monkeypatch.setattr(keyed, "MERGED", 2)
+    log = LedgerLog(spark, str(tmp_path / "log"), "b0", 0, orphan_threshold=2).start()
+    for n in range(1, 5):
+        more = tx(100 * n, f"p{n}", [(f"c{n - 1}", 0)], [(7, KEY)], f"b{n}", 1) if n > 1 else []
+        apply(spark, log, n - 1, header(100 * n, f"b{n}", f"b{n - 1}", 2), tx(100 * n, f"c{n}", [("00", 0)], [(9, KEY)], f"b{n}", 0), more)
+    assert log.start_timestamp(4) == 100
+    apply(spark, log, 4, tx(401, "loose", [("00", 5)], [(3, KEY)]), header(402, "b9", "b8"))
+    last = [
+        header(500, "b5", "b4", 1),
+        tx(500, "loose", [("00", 5)], [(3, KEY)], "b5", 1),
+        [row(arrival=501, kind="header", hash="late", prev_hash="b5", merkle_root="m", timestamp=99, numtxs=0)],
+        tx(501, "of-late", [("00", 8)], [(3, KEY)], "late", 0),
+    ]
+    for _ in range(2):
+        apply(spark, log, 5, *last)
+        assert heights(log) == {f"b{n}": n for n in range(1, 5)} and log.tip() == ("b4", 4)
+        assert unspent(log) == {("c4", 0): 4, **{(f"p{n}", 0): n for n in range(2, 5)}}
+        assert log.mempool().count() == 0 and log.read_batch("pending", 5).count() == 0
+        assert [(r["height"], r["hash"]) for r in log.read("orphans").collect()] == [(5, "b5")]
+    # Two late blocks: two tips. What b4 spent does not come back.
+    late = [row(arrival=600 + i, kind="header", hash=f"late{i}", prev_hash="x", merkle_root="m", timestamp=9, numtxs=0) for i in range(2)]
+    apply(spark, log, 6, late)
+    assert log.tip() == ("b2", 2) and unspent(log) == {("p2", 0): 2}
+    assert sorted(r["hash"] for r in log.read("tx").collect()) == ["c1", "c2", "p2"]
+    gone = [p for name in ("blocks", "tx", "created") for p in log.keyed(name).manifest()["parts"] if p["kind"] == "gone"]
+    assert sum(p["rows"] for p in gone) == 1 + 1 + 1 + 2 + 2 + 4
+    # The chain goes on, with a block that was taken off before.
+    apply(spark, log, 7, header(700, "b3", "b2", 1), tx(700, "c3", [("00", 0)], [(9, KEY)], "b3", 0), header(701, "z4", "b3"))
+    apply(spark, log, 8, header(800, "z5", "z4"))
+    assert heights(log) == {"b1": 1, "b2": 2, "b3": 3, "z4": 4, "z5": 5}
+    assert unspent(log) == {("p2", 0): 2, ("c3", 0): 3}
