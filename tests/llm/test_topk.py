@@ -9,17 +9,16 @@ VECTORS = "vec_id long, embedding array<float>, label int, score string"
 
 
 def brute(rows, k=5, every=50):
-    whole = {}
+    whole = []
     for vec_id, v, *_ in rows:
         if vec_id is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            value = [float(np.float32(x)) for x in v]
-            whole[vec_id] = min(value, whole.get(vec_id, value))
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in whole.items()}
+            whole.append((vec_id, [int(np.floor(256 * float(np.float32(x)))) for x in v]))
     out = []
-    for q in whole:
+    for n, (q, v) in enumerate(whole):
         if q % every == 0:
-            scores = [(-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k])]
+            others = [(i, w) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v)]
+            scores = [(-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), i) for i, w in others]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(out)
 
 
@@ -35,6 +34,19 @@ def test_many_shards_and_blocks(spark, monkeypatch):
     draw = np.random.default_rng(5)
     rows = [(i, [float(x) for x in draw.normal(0, 0.2, 6)], 1, None) for i in range(400)]
     rows += [(1000 + i, [0.5] * 6, 1, None) for i in range(150)]  # one vector many times: ties
+    rows += [(50, [0.5] * 6, 1, None), (50, rows[7][1], 1, None), (3, rows[3][1], 1, None)]  # ids that repeat
+    assert found(spark, rows) == brute(rows)
+
+
+def test_scores_beyond_64_bits(spark, monkeypatch):
+    """They count as the nearest value that a score can have, ties go to smaller ids."""
+    monkeypatch.setattr(T, "SHARD_ROWS", 6)
+    monkeypatch.setattr(T, "LEAF_ROWS", 2)
+    rows = [(i, [(-1) ** i * 1e12, float(i)], 1, None) for i in range(0, 120, 5)]
+    rows += [(200 + i, [1e38, -1e38], 1, None) for i in range(4)] + [(250, [-1e15, 3.0], 1, None), (7, [0.5, 0.5], 1, None)]
+    expected = brute(rows, k=40)
+    assert {s for *_, s in expected} >= {2**63 - 1, -(2**63)}
+    assert found(spark, rows, k=40) == expected
     assert found(spark, rows) == brute(rows)
 
 
@@ -74,7 +86,7 @@ def test_tree_prunes():
 
     leaves = sum(r is not None for r in tree.rows)
     tree.rows = Leaves(tree.rows)
-    best = tree.search(query, tree.bounds(query[None])[0], -1, 5, (T._NONE, 0))
+    best = tree.search(query, tree.bounds(query[None])[0], -1, 5, T._NOTHING)
     expected = sorted(((int(s), -i) for i, s in enumerate(points @ query)), reverse=True)[:5]
     assert sorted(best, reverse=True) == expected
     assert len(opened) < leaves / 3
