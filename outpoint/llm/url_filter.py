@@ -20,7 +20,8 @@ from .common import map_batches, table
 LIMIT = 6
 STRICT = ("porn", "xxx", "hentai", "camgirls", "escorts", "warez", "malware", "phishing", "casino", "viagra")
 SOFT = ("adult", "sex", "nude", "erotic", "betting", "poker", "jackpot", "torrent", "crack", "keygen", "pills", "payday", "loan", "lottery")
-VOCABULARY = tuple([(t, LIMIT) for t in STRICT] + [(t, 2) for t in SOFT])
+#: (term, weight); a strict term has none and counts as much as the limit, whatever that is.
+VOCABULARY = tuple([(t, None) for t in STRICT] + [(t, 2) for t in SOFT])
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
@@ -29,7 +30,7 @@ _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @lru_cache(maxsize=4)
-def automaton(vocabulary: tuple[tuple[str, int], ...]):
+def automaton(vocabulary: tuple[tuple[str, int | None], ...]):
     """The automaton over the terms, None for an empty vocabulary."""
     found = ahocorasick.Automaton()
     for term, weight in vocabulary:
@@ -39,15 +40,14 @@ def automaton(vocabulary: tuple[tuple[str, int], ...]):
     return found if len(found) else None
 
 
-def weight_of(url: str, vocabulary: tuple[tuple[str, int], ...]) -> int:
-    """Summed weight of the distinct terms that stand in ``url`` between boundaries."""
-    terms = automaton(vocabulary)
+def weight_of(url: str, terms, limit: int = LIMIT) -> int:
+    """Summed weight of the distinct terms of an automaton that stand in ``url`` between boundaries."""
     url = url.translate(_LOWER)
     hits = {}
     for end, (term, weight) in terms.iter(url) if terms else ():
         begin = end - len(term) + 1
         if (begin == 0 or url[begin - 1] not in _WORD) and (end + 1 == len(url) or url[end + 1] not in _WORD):
-            hits[term] = weight
+            hits[term] = limit if weight is None else weight
     return sum(hits.values())
 
 
@@ -74,16 +74,18 @@ def judge(pages: DataFrame, rules=RULES, vocabulary=VOCABULARY, limit: int = LIM
     A null url or one without ``://`` has an empty host and path; no rule fits
     it unless the rule's host is empty. Without a rule the vocabulary decides,
     on the whole url: ``block`` if the weights reach ``limit``, else ``allow``
-    (so for null). Other columns are ignored; the table of rules is small.
+    (so for null); a strict term alone blocks at any ``limit``. Other columns
+    are ignored; the table of rules is small, the vocabulary may be large.
     """
     vocabulary = tuple(vocabulary)
 
     def run(batch: pa.RecordBatch) -> dict:
+        terms = automaton(vocabulary)
         out: dict[str, list] = {"host": [], "path": [], "rule": [], "verdict": [], "weight": []}
         for url in batch.column(1).to_pylist():
             host, path = split_url(url)
             rule = rule_for(host, path, rules)
-            weight = weight_of(url or "", vocabulary)
+            weight = weight_of(url or "", terms, limit)
             verdict = rule[1] if rule else "block" if weight >= limit else "allow"
             for name, value in zip(out, (host, path, rule and rule[0], verdict, weight), strict=True):
                 out[name].append(value)
@@ -99,7 +101,7 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sql() -> str:
-    weights = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {w} ELSE 0 END" for t, w in VOCABULARY)
+    weights = " + ".join(f"CASE WHEN regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN {LIMIT if w is None else w} ELSE 0 END" for t, w in VOCABULARY)
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in ordered]
     rule = " ".join(f"WHEN {test} THEN '{name}'" for _, name, test in fits)

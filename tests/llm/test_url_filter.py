@@ -37,7 +37,7 @@ def test_split(url, host, path):
     ],
 )
 def test_weights(url, weight):
-    assert U.weight_of(url, U.VOCABULARY) == weight
+    assert U.weight_of(url, U.automaton(U.VOCABULARY)) == weight
 
 
 def test_rules_and_verdicts(spark):
@@ -76,3 +76,13 @@ def test_empty_table_vocabulary_and_long_url(spark):
     long = spark.createDataFrame([(1, "http://x/" + "a" * 300_000 + "/casino"), (1, "http://x/")], "page_id long, url string")
     assert rows_of(U.judge(long), "page_id", "verdict") == [(1, "allow"), (1, "block")]
     assert rows_of(U.judge(long, vocabulary=()), "verdict") == [("allow",), ("allow",)]
+
+
+def test_a_large_vocabulary_and_another_limit(spark):
+    """Strict terms block alone at any limit, and a hundred thousand terms are looked up once per batch."""
+    vocabulary = [(f"t{i}x", None if i % 1000 == 0 else 3) for i in range(100_000)]
+    urls = [(i, f"http://h.test/t{i}x-t{i}x/t{i + 1}x") for i in range(3000)]
+    out = U.judge(spark.createDataFrame(urls, "page_id long, url string"), rules=(), vocabulary=vocabulary, limit=50)
+    blocked = {r["page_id"] for r in out.filter("verdict = 'block'").collect()}
+    assert blocked == {i for i in range(3000) if i % 1000 in (0, 999)}
+    assert {r["weight"] for r in out.filter("verdict = 'allow'").collect()} == {6}
