@@ -18,11 +18,15 @@ from pyspark.sql import functions as F
 from ..functions import validate
 from ..functions.scripts import address_to_lock_script
 from ..session import materialize, new_path
+from .descent import LONGEST, Passing, settle
 
 # Fixed value.
 BROADCAST = "broadcast"
 FOREVER = 2**63 - 1
 
+#: Generations of descendants that are followed one by one; deeper histories are contracted.
+GENERATIONS = 6
+
 # The script of an address; the lookahead finds it at every place of a script.
 ADDRESS_SCRIPT = "76a914[0-9a-f]{40}88ac"
 
@@ -248,7 +252,20 @@ def direct_descendants(inputs: DataFrame, captured: DataFrame) -> DataFrame:
     return inputs.join(parents, "prev_hash", "left_semi").select("hash").distinct()
 
 
-def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list[Monitor]) -> DataFrame:
+def _passing(monitors: list[Monitor]) -> Passing:
+    def span(m: Monitor) -> tuple[int, int] | None:
+        if not m.track_descendants:
+            return None
+        if m.valid_from is None and m.valid_to is None:
+            return -LONGEST, LONGEST
+        return m.valid_from or 0, (m.valid_to or FOREVER) - 1
+
+    return Passing([span(m) for m in monitors])
+
+
+def assign(
+    txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list[Monitor], generations: int = GENERATIONS
+) -> DataFrame:
     """(hash, priority): the one collection of each captured transaction.
 
     A transaction goes to the first monitor that matches it or, for monitors
@@ -259,7 +276,9 @@ def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list
 
     Edges carry what parent and child match on their own, so a round joins
     them only with the transactions that changed; its result is appended to a
-    log, from which the newest row per hash counts.
+    log, from which the newest row per hash counts. A round is a generation;
+    what still changes after ``generations`` of them is worked out by
+    ``descent.settle``, whose rounds skip whole chains.
     """
     tracking = [i for i, m in enumerate(monitors) if m.track_descendants]
     if not tracking:
@@ -280,6 +299,12 @@ def assign(txs: DataFrame, inputs: DataFrame, matches: DataFrame, monitors: list
     changed = matches.filter(F.col("priority").isin(tracking)).select(F.col("hash").alias("prev_hash"))
     step = 0
     while True:
+        if step == generations:
+            passing = _passing(monitors)
+            epoch = passing.epoch(F.col(_arrival(inputs))).alias("epoch")
+            held = settle(edges.select("hash", "prev_hash", epoch), own, passing)
+            alone = matches.join(edges.select("hash").distinct(), "hash", "left_anti")
+            return alone.unionByName(held.filter("priority is not null"))
         step += 1
         log = spark.read.schema(schema + ", round int").parquet(folder)
         # A row means the hash is not in its own collection any more.

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from outpoint.operators import monitors
+from outpoint.operators import descent, monitors
 from outpoint.operators.monitors import Monitor
 
 
@@ -20,8 +20,8 @@ def sequential(txs, rules):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_closure_equals_one_by_one(spark, seed):
+@pytest.mark.parametrize("seed, generations", [(1, 99), (2, 99), (3, 0), (4, 0), (5, 2)])
+def test_closure_equals_one_by_one(spark, seed, generations):
     rng = random.Random(seed)
     rules = [
         Monitor("first", True, None, "a0"),
@@ -42,8 +42,61 @@ def test_closure_equals_one_by_one(spark, seed):
     outs = [(t, f"a{j}", i) for i, (t, _, js) in enumerate(txs) for j in js] + [("t0", "ff", 0)]
     outputs = spark.createDataFrame(outs, "hash string, script_hex string, seq bigint")
     matches = monitors.own_matches(outputs, rules)
-    found = {r["hash"]: r["priority"] for r in monitors.assign(frame, inputs, matches, rules).collect()}
+    found = monitors.assign(frame, inputs, matches, rules, generations).collect()
+    assert len(found) == len({r["hash"] for r in found})
+    assert {r["hash"]: r["priority"] for r in found} == sequential(txs, rules)
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    """5000 generations with matches on the way, side parents and detours, in at most 20 rounds."""
+    rounds = []
+    keep = descent.materialize
+    monkeypatch.setattr(descent, "materialize", lambda df, label: rounds.append(label) or keep(df, label))
+    rules = [Monitor("a", True, None, "a0"), Monitor("b", False, None, "a1"), Monitor("c", True, None, "a2")]
+    rng = random.Random(7)
+    txs = [("t0", set(), {2})]
+    for i in range(1, 5000):
+        if i % 10 == 9:
+            txs += [(f"s{i}", {f"t{i - 1}"}, set()), (f"x{i}", set(), set())]
+        parents = {f"t{i - 1}"} | ({f"s{i}", f"x{i}"} if i % 10 == 9 else set())
+        matched = {0} if i == 3000 else {1} if i == 1500 else {2} if rng.random() < 0.2 and i != 1501 else set()
+        txs.append((f"t{i}", parents, matched))
+    frame = spark.createDataFrame([(t, i) for i, (t, _, _) in enumerate(txs)], "hash string, seq bigint")
+    ins = [(t, p, i) for i, (t, ps, _) in enumerate(txs) for p in ps]
+    inputs = spark.createDataFrame(ins, "hash string, prev_hash string, seq bigint")
+    matches = spark.createDataFrame([(t, min(js)) for t, _, js in txs if js], "hash string, priority int")
+    found = {r["hash"]: r["priority"] for r in monitors.assign(frame, inputs, matches, rules, 2).collect()}
     assert found == sequential(txs, rules)
+    assert 2 + sum(label in ("pointers", "open") for label in rounds) <= 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_deep_chains_with_monitors_that_come_and_go(spark, seed):
+    """Contraction equals generation after generation where the active monitors change."""
+    rng = random.Random(seed)
+    rules = [Monitor("a", True, None, "a0", 20, 70), Monitor("b", False, None, "a1"), Monitor("c", True, None, "a2", None, 110)]
+    rules += [Monitor("d", True, None, "a3"), Monitor("e", True, None, "a4", 60)]
+    ins = []
+    for i in range(1, 150):
+        parents = {i - 1} if rng.random() < 0.85 else {rng.randrange(i), rng.randrange(i)}
+        ins += [(f"t{i}", f"t{p}", i) for p in parents]
+    frame = spark.createDataFrame([(f"t{i}", i) for i in range(150)], "hash string, seq bigint")
+    inputs = spark.createDataFrame(ins, "hash string, prev_hash string, seq bigint")
+    drawn = [(f"t{i}", rng.randrange(5)) for i in range(150) if rng.random() < 0.08]
+    matches = spark.createDataFrame(drawn, "hash string, priority int")
+    answer = lambda n: sorted(tuple(r) for r in monitors.assign(frame, inputs, matches, rules, n).collect())
+    assert answer(0) == in_order(ins, drawn, rules)
+
+
+def in_order(ins, drawn, rules):
+    """Holders of t0, t1, ... one by one, each parent passing on what is active when the child arrives."""
+    own, held = dict(drawn), {}
+    for i in range(150):
+        passed = [held.get(p) for t, p, _ in ins if t == f"t{i}"]
+        spans = {j: (m.valid_from or 0, m.valid_to or 10**9) for j, m in enumerate(rules) if m.track_descendants}
+        passed = [j for j in passed if j in spans and spans[j][0] <= i < spans[j][1]]
+        held[f"t{i}"] = min([*passed, *([own[f"t{i}"]] if f"t{i}" in own else [])], default=None)
+    return sorted((t, j) for t, j in held.items() if j is not None)
 
 
 def test_pattern_is_searched_anywhere(spark):
