@@ -1,7 +1,7 @@
 """Monitors and the collections of transactions they capture.
 
-Monitors are configuration, tried in order. Real patterns become literal
-conditions in the plan. Monitors of one pay-to-pubkey-hash script, which is
+Monitors are configuration, tried in order. A few real patterns become literal
+conditions in the plan, many share an index. Monitors of one pay-to-pubkey-hash script, which is
 what an address makes and what there may be many of, are a table that is
 joined with the scripts of that form which an output script holds.
 """
@@ -19,6 +19,7 @@ from ..functions import validate
 from ..functions.scripts import address_to_lock_script
 from ..session import materialize, new_path
 from .descent import LONGEST, Passing, settle
+from .patterns import indexed_matches, required_run
 
 # Fixed value.
 BROADCAST = "broadcast"
@@ -27,6 +28,9 @@ FOREVER = 2**63 - 1
 #: Generations of descendants that are followed one by one; deeper histories are contracted.
 GENERATIONS = 6
 
+#: Up to this many patterns are tried one by one.
+FEW_PATTERNS = 16
+
 # The script of an address; the lookahead finds it at every place of a script.
 ADDRESS_SCRIPT = "76a914[0-9a-f]{40}88ac"
 
@@ -217,12 +221,21 @@ def _matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
     """(hash, priority) of every output script and monitor that matches it."""
     usable = [(i, m) for i, m in enumerate(monitors) if m.locking_script_pattern is not None]
     exact = [(i, m) for i, m in usable if re.fullmatch(ADDRESS_SCRIPT, m.locking_script_pattern)]
+    plain = {i for i, _ in exact}
+    others = [(i, m) for i, m in usable if i not in plain]
+    indexed = [(i, m) for i, m in others if required_run(m.locking_script_pattern)] if len(others) > FEW_PATTERNS else []
+    shared = {i for i, _ in indexed}
     hits = [
         F.when(F.col("script_hex").rlike(m.locking_script_pattern) & _active(m, _arrival(outputs)), F.lit(i))
-        for i, m in usable
-        if (i, m) not in exact
+        for i, m in others
+        if i not in shared
     ]
     found = outputs.select("hash", F.explode(F.array_compact(F.array(*hits, F.lit(None).cast("int")))).alias("priority"))
+    if indexed:
+        rules = [(i, m.locking_script_pattern, m.valid_from or 0, (m.valid_to or FOREVER) - 1) for i, m in indexed]
+        timed = any(m.valid_from is not None or m.valid_to is not None for _, m in indexed)
+        at = F.col(_arrival(outputs)) if timed else F.lit(0).cast("long")
+        found = found.unionByName(indexed_matches(outputs, rules, at))
     if not exact:
         return found
     rows = [(m.locking_script_pattern, i, m.valid_from or 0, (m.valid_to or FOREVER) - 1) for i, m in exact]

@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from outpoint.operators import descent, monitors
+from outpoint.operators import descent, monitors, patterns
 from outpoint.operators.monitors import Monitor
 
 
@@ -198,3 +199,49 @@ def test_thousands_of_address_monitors(spark):
     assert first == {"a": "m3", "b": "m17", "d": "m9", "e": "first", "f": "m20", "h": "m21"}
     every = sorted((r["hash"], r["name"]) for r in monitors.pattern_matches(outputs, rules).collect())
     assert [n for h, n in every if h == "a"] == ["m3", "m4000"] and [n for h, n in every if h == "h"] == ["m21", "m22"]
+
+
+def test_runs_that_a_pattern_needs():
+    runs = {
+        "76a914": "76a914",
+        "^76a914[0-9a-f]{40}88ac$": "76a914",
+        "6a0c?deadbeef": "deadbeef",
+        "abcde{2}ff": "abcde",
+        "abcd+?ff00": "abcd",
+        "(?:aabb|ccdd)eeff00": "eeff00",
+        "aabbcc*": "aabbc",
+        "aabb|ccdd": None,
+        "(?i)aabbcc": None,
+        "(?=aabb)ccdd": None,
+        r"\Qaabb\E": None,
+        r"\x41aabb": None,
+        r"\daabb": "aabb",
+        "[a[bc]]aabb": None,
+        "[0-9a-f]+": None,
+        "(aabbccdd)?": None,
+        "aab": None,
+        "aabb{0}": None,
+        "aabb)": None,
+    }
+    assert {p: patterns.required_run(p) for p in runs} == runs
+
+
+def test_thousands_of_pattern_monitors(spark):
+    """As many single conditions would find, from a plan of one size."""
+    rules = [Monitor(f"m{i}", False, None, f"6a04{i:08x}[0-9a-f]{{2}}51{i % 7}?$") for i in range(5000)]
+    rules[40] = Monitor("loose", False, None, "^(51|52)$")
+    rules[41] = Monitor("some time", False, None, f"6a04{41:08x}", 5, 8)
+    rules[42] = Monitor("same run", False, None, f"6a04{43:08x}..5")
+    outs = [(f"t{i}", f"6a04{i:08x}ff51", 1) for i in (0, 3, 41, 43, 4999)]
+    outs += [("u", f"6a04{41:08x}ff52", 5), ("v", "52", 1), ("w", "", 1), ("x", None, 1), ("y", f"6a04{7:08x}ff53", 1)]
+    outs += [("z", f"6a04{8:08x}ff51" + f"6a04{9:08x}ff51", 1)]
+    outputs = spark.createDataFrame(outs, "hash string, script_hex string, seq long")
+    found = {(r["hash"], r["name"]) for r in monitors.pattern_matches(outputs, rules).collect()}
+    plain = {
+        (t, m.name)
+        for t, script, seq in outs
+        for m in rules
+        if script is not None and re.search(m.locking_script_pattern, script) and (m.valid_from or 0) <= seq < (m.valid_to or 10**9)
+    }
+    assert found == plain
+    assert len(monitors._matches(outputs, rules)._jdf.queryExecution().toString()) < 100_000
