@@ -232,15 +232,16 @@ def _streamed(ledger: Ledger, parts: list[DataFrame], log_of: Callable[[], Ledge
     return log_of()
 
 
-def run_late_block(ledger: Ledger, ingested: LedgerLog) -> LedgerLog:
+def run_late_block(ledger: Ledger, ingested: LedgerLog, keep_balances: bool = False) -> LedgerLog:
     """The ingested ledger, then an empty message, then a block older than all others."""
     folder = new_path(ledger.spark, "log-late")
-    ingested.restart(folder, ingested.state(), -1)
+    ingested.restart(folder, ingested.state(), -1, keep_balances)
     first = ledger.blocks.agg(F.min("timestamp").alias("timestamp"))
     at, late = F.lit(1 << 62), tagged_hash("late:", F.col("timestamp"))
     header = {"hash": late, "prev_hash": late, "merkle_root": late, "timestamp": F.col("timestamp") - 1, "numtxs": F.lit(0)}
     parts = [feed_rows(first, "nothing", arrival=at - 1), feed_rows(first, "header", arrival=at, **header)]
-    return _streamed(ledger, parts, lambda: LedgerLog(ledger.spark, folder, START_HASH, START_HEIGHT, MONITORS, 10))
+    place = (ledger.spark, folder, START_HASH, START_HEIGHT, MONITORS, 10)
+    return _streamed(ledger, parts, lambda: LedgerLog(*place, keep_balances=keep_balances))
 
 
 def run_monitor_changes(ledger: Ledger, at: int) -> LedgerLog:

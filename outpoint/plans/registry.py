@@ -993,6 +993,12 @@ def t6_stream_roll_back(L: Ledger) -> DataFrame:
     return out
 
 
+@query
+def a1_stream_balance(L: Ledger) -> DataFrame:
+    """Balances that the stream keeps, after a late block took the tip off."""
+    return feeds.run_late_block(L, _ingested(L), True).balances()
+
+
 @query
 def t7_monitor_intervals(L: Ledger) -> DataFrame:
     """One monitor is added at the cut, another is deleted then."""

@@ -9,7 +9,8 @@ merged rows as one folder and starts a new list; ``vacuum`` removes what no
 manifest that is kept names.
 
 A log appends rows as they come, with the number of their batch. A batch that
-runs again replaces what it has appended. ``settle`` merges parts of about one
+runs again replaces what it has appended. Where the other columns are ``summed``,
+rows are changes of an amount per key, and merging adds them up. ``settle`` merges parts of about one
 size, eight at a time, so a row is written again once per power of eight and a
 lookup meets few parts however long the history is.
 
@@ -53,8 +54,9 @@ def _cell(column: Column, kind: str) -> Column:
 class KeyedTable:
     """A table in one folder with at most one row per key; key columns are never null."""
 
-    def __init__(self, spark: SparkSession, folder: str, ddl: str, keys: list[str]):
+    def __init__(self, spark: SparkSession, folder: str, ddl: str, keys: list[str], summed: bool = False):
         self.spark, self.folder, self.ddl, self.keys = spark, folder.rstrip("/"), ddl, keys
+        self.summed = summed
         self.kinds = dict(c.split() for c in ddl.split(", "))
         self.columns = list(self.kinds)
 
@@ -176,14 +178,23 @@ class KeyedTable:
             old = levels[full]
             rows = reduce(DataFrame.unionByName, self._frames(old))
             last = max(p["batch"] for p in old)
-            merged = self._write(rows, "rows", self.keys, last) | {"batch": last, "level": full + 1}
+            if self.summed:
+                rows = self.added_up(rows).withColumn("_turn", F.lit(last).cast("long"))
+            merged = self._write(rows, "rows", self.keys, last)
             at = parts.index(old[0])
             parts = [p for p in parts if p not in old]
-            parts.insert(at, merged)
+            if merged:
+                parts.insert(at, merged | {"batch": last, "level": full + 1})
             changed = True
         if changed:
             self._publish(base, parts)
 
+    def added_up(self, rows: DataFrame) -> DataFrame:
+        """One row per key, none where all sums are 0."""
+        amounts = [c for c in self.columns if c not in self.keys]
+        sums = rows.groupBy(*self.keys).agg(*[F.sum(c).alias(c) for c in amounts])
+        return sums.filter(reduce(Column.__or__, [F.col(c) != 0 for c in amounts]))
+
     def _log(self, before: int | None) -> tuple[list[dict], list[dict]]:
         """Parts with rows, and those with what is forgotten."""
         manifest = self.manifest()

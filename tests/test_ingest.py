@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from outpoint.operators import utxo
 from outpoint.operators.monitors import Monitor
 from outpoint.streaming.ingest import FEED_SCHEMA, LedgerLog, ingest_batch, ingest_stream
 
@@ -331,3 +332,44 @@ def test_late_block_takes_off_the_tip(spark, tmp_path, monkeypatch):
     apply(spark, log, 8, header(800, "z5", "z4"))
     assert heights(log) == {"b1": 1, "b2": 2, "b3": 3, "z4": 4, "z5": 5}
     assert unspent(log) == {("p2", 0): 2, ("c3", 0): 3}
+
+
+def test_balances_are_kept(spark, tmp_path, monkeypatch):
+    """After every batch what the outputs say, with merged parts, spends before their outputs, repeats and tips taken off."""
+    from outpoint.sources import keyed
+
+    monkeypatch.setattr(keyed, "MERGED", 2)
+    other = "76a914" + "cd" * 20 + "88ac"
+    log = LedgerLog(spark, str(tmp_path / "log"), "b0", 0, orphan_threshold=2, keep_balances=True).start()
+
+    def agree():
+        tip = F.lit(log.tip()[1])
+        found, expected = (sorted(map(tuple, df.collect())) for df in (log.balances(complete=1), utxo.balances(log.utxo(), tip, 1)))
+        assert found == expected
+        return {owner[:2]: rest for owner, *rest in found}
+
+    apply(spark, log, 0, tx(50, "early", [("c2", 0)], [(4, other), (0, KEY)]))
+    assert agree() == {"cd": [0, 4], "ab": [0, 0]}
+    pays = [(9, KEY), (5, other), (2, "51")]
+    for n in (1, 2, 3):
+        spends = tx(100 * n, f"p{n}", [(f"c{n - 1}", 0)], [(7, other)], f"b{n}", 1) if n > 1 else []
+        block = (header(100 * n, f"b{n}", f"b{n - 1}", 2), tx(100 * n, f"c{n}", [("00", 0)], pays, f"b{n}", 0), spends)
+        for _ in range(2 if n == 2 else 1):
+            apply(spark, log, n, *block)
+            agree()
+    # What was loose is in a block now, and all that one owner has is spent.
+    apply(spark, log, 4, header(400, "b4", "b3", 1), tx(400, "early", [("c2", 0)], [(4, other), (0, KEY)], "b4", 0))
+    apply(spark, log, 5, tx(450, "all", [("c3", 0), ("early", 1)], [(1, other)]))
+    assert "ab" not in agree() or agree()["ab"] != [0, 0]
+    late = [row(arrival=600 + i, kind="header", hash=f"late{i}", prev_hash="x", merkle_root="m", timestamp=9, numtxs=0) for i in range(2)]
+    apply(spark, log, 6, late)
+    assert log.tip() == ("b2", 2)
+    whole = agree()
+    one = log.balances(spark.createDataFrame([("cd" * 20,)], "pubkeyhash string"), 1).collect()
+    assert [[r["confirmed"], r["unconfirmed"]] for r in one] == [whole["cd"]]
+    # A log that kept none takes them up.
+    log.keep_balances = False
+    with pytest.raises(ValueError):
+        log.balances()
+    log = log.restart(str(tmp_path / "next"), log.state(), keep_balances=True)
+    assert agree() == whole
