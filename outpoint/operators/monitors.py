@@ -260,8 +260,12 @@ def own_matches(outputs: DataFrame, monitors: list[Monitor]) -> DataFrame:
 
 
 def direct_descendants(inputs: DataFrame, captured: DataFrame) -> DataFrame:
-    """Transactions that spend from a captured one."""
-    parents = captured.select(F.col("hash").alias("prev_hash")).distinct()
+    """Transactions that spend from a captured one.
+
+    The parents are written first: both sides of the join are then plain
+    shuffles, and Spark splits a parent that is spent by very many.
+    """
+    parents = materialize(captured.select(F.col("hash").alias("prev_hash")).distinct(), "parents")
     return inputs.join(parents, "prev_hash", "left_semi").select("hash").distinct()
 
 

@@ -226,6 +226,26 @@ def test_runs_that_a_pattern_needs():
     assert {p: patterns.required_run(p) for p in runs} == runs
 
 
+def test_what_a_pattern_matches_holds_its_run():
+    rng = random.Random(1)
+    atoms = ["0", "a", "b", "76a9", "1", "[0-9a-f]", "[^0]", ".", "(ab|cd)", "(?:0a)", "\\d", "^", "$", "(a)?", "(b|c)*"]
+    times = ["", "", "", "", "?", "*", "+", "{2}", "{0,3}", "{1,}", "+?", "{0}"]
+    tried = 0
+    for _ in range(20000):
+        pattern = "".join(rng.choice(atoms) + rng.choice(times) for _ in range(rng.randrange(1, 9)))
+        try:
+            compiled = re.compile(pattern)
+        except re.error:
+            continue
+        run = patterns.required_run(pattern)
+        for _ in range(6 if run else 0):
+            text = "".join(rng.choice(["0", "a", "b", "76a9", "1", "ab", "cd", "0a"]) for _ in range(rng.randrange(1, 14)))
+            if compiled.search(text):
+                tried += 1
+                assert run in text, (pattern, text)
+    assert tried > 100
+
+
 def test_thousands_of_pattern_monitors(spark):
     """As many single conditions would find, from a plan of one size."""
     rules = [Monitor(f"m{i}", False, None, f"6a04{i:08x}[0-9a-f]{{2}}51{i % 7}?$") for i in range(5000)]
