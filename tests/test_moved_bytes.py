@@ -10,6 +10,7 @@ from outpoint import session
 from outpoint.functions import codec
 from outpoint.operators import lookups
 from outpoint.plans.view import Ledger, tx_hash
+from outpoint.streaming import ingest
 
 DAY = dt.datetime(1995, 3, 1)
 
@@ -118,3 +119,11 @@ def test_transactions_without_elements_are_found_by_their_owners(spark):
     elements = spark.createDataFrame([("a", 1)], "hash string, n int")
     found = lookups.with_elements(rows, elements, "hash", elements.select("hash")).collect()
     assert sorted(tuple(r) for r in found) == [("a", 1), ("b", None)]
+
+
+def test_new_rows_of_a_stream_are_not_shuffled_for_a_few_known_hashes(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "hash string, n int")
+    known = spark.createDataFrame([("b",), ("b",), (None,)], "hash string")
+    found = ingest._drop_hashes(rows, known)
+    assert sorted(r["n"] for r in found.collect()) == [1, 2, 4]
+    assert "SortMergeJoin" not in plan(found)
