@@ -299,8 +299,9 @@ def assign(
     """
     tracking = [i for i, m in enumerate(monitors) if m.track_descendants]
     if not tracking:
-        return matches
+        return matches.select("hash", "priority")
     spark = txs.sparkSession
+    matches = matches.select("hash", "priority")
     own = matches.select("hash", F.col("priority").alias("own"))
     parent = txs.select("hash", F.col("seq").alias("prev_seq")).join(own, "hash", "left")
     parent = parent.select(F.col("hash").alias("prev_hash"), "prev_seq", F.col("own").alias("prev_own"))

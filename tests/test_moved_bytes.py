@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from outpoint import session
 from outpoint.functions import codec
-from outpoint.operators import lookups
-from outpoint.plans.view import Ledger, tx_hash
+from outpoint.operators import lookups, monitors
+from outpoint.plans.view import MONITORS, Ledger, tx_hash
 from outpoint.streaming import ingest
 
 DAY = dt.datetime(1995, 3, 1)
@@ -42,6 +42,8 @@ def test_hashes_of_the_view_are_those_of_the_order_keys(ledger):
         assert table.count() > 0
     chained = ledger.inputs.filter("prev_okey IS NOT NULL")
     assert chained.count() > 0 and chained.filter(F.col("prev_hash") != tx_hash(F.col("prev_okey"))).count() == 0
+    held = monitors.assign(ledger.txs, ledger.inputs, ledger.matches, MONITORS)
+    assert sorted(held.collect()) == sorted(ledger.assigned.select("hash", "priority").collect())
     assert ledger.utxo.join(ledger.outputs, ["hash", "pos"], "left_anti").count() == 0
     assert ledger.txs.filter("hash IS NULL").count() == 1 and ledger.txs.groupBy("hash").count().filter("count = 2").count() == 1
 
