@@ -196,7 +196,8 @@ def whole_transactions(raw: DataFrame) -> DataFrame:
     """
     large = _large(raw.filter("chunk > 0"))
     chunks = raw.join(large, "hash", "left_semi").repartition("hash").sortWithinPartitions("hash", "chunk")
-    put_together = chunks.select("hash", "raw").mapInArrow(_join_chunks, "hash string, raw binary")
+    kind = raw.schema["hash"].dataType.simpleString()
+    put_together = chunks.select("hash", "raw").mapInArrow(_join_chunks, f"hash {kind}, raw binary")
     return raw.join(large, "hash", "left_anti").select("hash", "raw").unionByName(put_together)
 
 

@@ -6,7 +6,7 @@ the bytes in their own ("internal") order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HASH_HEX_DIGITS = 64
@@ -32,6 +32,33 @@ def from_hex(digits: Column) -> Column:
     return F.when(legal, F.unhex(digits))
 
 
+def packed(text: Column) -> Column:
+    """A text as bytes, lower-case hex as half as many; equal texts only have equal bytes, null stays null."""
+    data = text.cast("binary")
+    digits = (F.length(data) % 2 == 0) & text.rlike(r"^[0-9a-f]*\z")
+    return F.when(digits, F.concat(F.unhex(text), F.lit(b"\1"))).otherwise(F.concat(data, F.lit(b"\0")))
+
+
+def unpacked(data: Column) -> Column:
+    """The text that was ``packed``."""
+    body = F.substring(data, F.lit(1), F.octet_length(data) - 1)
+    return F.when(F.substring(data, -1, 1) == F.lit(b"\1"), to_hex(body)).otherwise(body.cast("string"))
+
+
+def text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
+
+
+def short(df: DataFrame) -> DataFrame:
+    """``df`` with its texts ``packed``, to be shuffled or joined with such frames."""
+    return df.withColumns({c: packed(F.col(c)) for c in text_columns(df)})
+
+
+def restored(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The frame ``df`` of which ``short`` was taken; ``like`` has its texts."""
+    return df.withColumns({c: unpacked(F.col(c)) for c in text_columns(like) if c in df.columns})
+
+
 def txid(raw: Column) -> Column:
     """Displayed hash of a serialized transaction."""
     return reverse_hex(to_hex(hash256(raw)))

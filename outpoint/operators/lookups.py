@@ -40,10 +40,12 @@ def known_txs(tx: DataFrame | None, mempool: DataFrame, collection: DataFrame) -
 
 
 def tx_exists(keys: DataFrame, tx: DataFrame | None, mempool: DataFrame, collection: DataFrame) -> DataFrame:
-    wanted = keys.select("hash").distinct()
-    found = matching(known_txs(tx, mempool, collection), wanted, ["hash"])
+    keys = keys.select("hash")
+    wanted = hashing.short(keys).distinct()
+    found = matching(hashing.short(known_txs(tx, mempool, collection)), wanted, ["hash"])
     known = found.distinct().withColumn("_known", F.lit(True))
-    return wanted.join(known, "hash", "left").select("hash", F.coalesce("_known", F.lit(False)).alias("known"))
+    answers = wanted.join(known, "hash", "left").select("hash", F.coalesce("_known", F.lit(False)).alias("known"))
+    return hashing.restored(answers, keys)
 
 
 def tx_block_offset(keys: DataFrame, tx: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -165,8 +167,9 @@ def collection_entries(keys: DataFrame, collection: DataFrame, utxo: DataFrame)
     locktime; an unknown hash has one row with a message in ``failed``.
     """
     wanted = materialize(keys.select("hash").distinct(), "asked")
-    texts = matching(collection, wanted, ["hash"]).groupBy("hash").agg(F.min("tx").alias("tx"))
-    decoded = codec.decode_tx_table(texts.select("hash", F.unhex("tx").alias("raw")))
+    held = matching(hashing.short(collection), hashing.short(wanted), ["hash"])
+    texts = held.groupBy("hash").agg(F.min(hashing.unpacked(F.col("tx"))).alias("tx"))
+    decoded = codec.decode_tx_table(texts.select(hashing.unpacked(F.col("hash")).alias("hash"), F.unhex("tx").alias("raw")))
     decoded = materialize(decoded.filter("version is not null"), "decoded")
     spending = decoded.select("hash", F.posexplode("vin").alias("vin", "e")).select(
         "hash", "vin", "e.prev_hash", "e.prev_index", hashing.to_hex(F.col("e.script_sig")).alias("script_sig_hex"), "e.sequence"
@@ -186,10 +189,13 @@ def collection_entries(keys: DataFrame, collection: DataFrame, utxo: DataFrame)
 
 def hex_from_collection(keys: DataFrame, collection: DataFrame) -> DataFrame:
     """Stored text of each transaction; copies in several collections are equal."""
-    wanted = keys.select("hash").distinct()
-    texts = matching(collection, wanted, ["hash"]).groupBy("hash").agg(F.min("tx").alias("tx"))
+    keys = keys.select("hash")
+    wanted = hashing.short(keys).distinct()
+    held = matching(hashing.short(collection), wanted, ["hash"])
+    texts = held.groupBy("hash").agg(F.min(hashing.unpacked(F.col("tx"))).alias("tx"))
     missing = F.concat(F.lit("Unknown txid "), F.col("hash"))
-    return wanted.join(texts, "hash", "left").withColumn("failed", F.when(F.col("tx").isNull(), missing))
+    answers = hashing.restored(wanted.join(texts, "hash", "left"), keys)
+    return answers.withColumn("failed", F.when(F.col("tx").isNull(), missing))
 
 
 def tx_hex(keys: DataFrame, tx: DataFrame, index: DataFrame, fetch) -> DataFrame:

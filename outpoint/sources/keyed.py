@@ -30,7 +30,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.maintenance import delete_keys, drop_known, matching
+from ..functions.hashing import restored, short, text_columns, unpacked
+from ..operators.maintenance import delete_keys, matching
 from ..session import compact_writer, materialize
 
 # Whole numbers that share a cell of the index.
@@ -109,11 +110,13 @@ class KeyedTable:
         name = f"{kind}-{turn:012d}-{uuid.uuid4().hex[:8]}"
         path = f"{self.folder}/{name}"
         turned = rows if "_turn" in rows.columns else rows.withColumn("_turn", F.lit(turn).cast("long"))
-        ranged = turned.repartitionByRange(*on).sortWithinPartitions(*on)
+        by = [unpacked(F.col(c)) if self.kinds[c] == "string" else F.col(c) for c in on]
+        ranged = restored(short(turned).repartitionByRange(*by), turned).sortWithinPartitions(*on)
         writer = compact_writer(ranged).option("parquet.bloom.filter.adaptive.enabled", "true")  # as large as its file needs
         for column in on:
             if self.kinds[column] == "string":
                 writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                writer = writer.option(f"parquet.bloom.filter.candidates.number#{column}", "10")  # down to 2 KB
         writer.parquet(path)
         indexed = [c for c in on if c in self.keys]
         stored = self.spark.read.schema(self._ddl([c for c in rows.columns if c != "_turn"])).parquet(path)
@@ -249,13 +252,25 @@ class KeyedTable:
         return self._change(newest.select(*[c if c in self.keys else F.col(f"_newest.{c}").alias(c) for c in self.columns]), "rows", self.keys)
 
     def insert_once(self, delta: DataFrame, order: list[str]) -> int:
-        """Add the rows whose key is new, the first of each by ``order``."""
+        """Add the rows whose key is new, the first of each by ``order``.
+
+        ``delta`` is read twice, for its keys and for its rows. Rows of known
+        keys go first, and the others stay where the join has put them: texts
+        are packed and move once.
+        """
         rest = [c for c in self.columns if c not in self.keys]
-        first = F.min(F.struct(*[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)], *rest)).alias("_first")
-        once = delta.groupBy(*self.keys).agg(first) if rest or order else delta.select(*self.keys).distinct()
-        once = once.select(*[c if c in self.keys else F.col(f"_first.{c}").alias(c) for c in self.columns])
-        once = materialize(once, "inserted")
-        return self._change(drop_known(once, self.find(once, self.keys[0]), self.keys), "rows", self.keys)
+        asked = delta.select(*self.columns, *[c for c in order if c not in self.columns])
+        texts = set(text_columns(asked))
+
+        def shown(name: str) -> Column:
+            return unpacked(F.col(name)) if name in texts else F.col(name)
+
+        known = self.find(delta, self.keys[0]).select(*self.keys)
+        fresh = delete_keys(short(asked), short(known), self.keys)
+        first = F.min(F.struct(*[shown(c).alias(f"_order{i}") for i, c in enumerate(order)], *[shown(c).alias(c) for c in rest]))
+        once = fresh.groupBy(*self.keys).agg(first.alias("_first")) if rest or order else fresh.distinct()
+        rows = once.select(*[shown(c).alias(c) if c in self.keys else F.col(f"_first.{c}").alias(c) for c in self.columns])
+        return self._change(rows, "rows", self.keys)
 
     def delete(self, keys: DataFrame, on: list[str]) -> int:
         """Delete the rows whose ``on`` (any columns) is in ``keys``. Only these values are written."""
@@ -347,10 +362,11 @@ class KeyedTable:
         if on not in self.keys:
             raise ValueError(f"{on} is no key column of {self.folder}")
         wanted = keys.filter(F.col(on).isNotNull()).select(F.col(on).cast(self.kinds[on]).alias(on))
-        wanted = wanted if unique else materialize(wanted.distinct(), "asked")
+        wanted = wanted if unique else materialize(restored(short(wanted).distinct(), wanted), "asked")
         parts, gone = self._split(self.manifest())
         files = self._files_of(wanted, on, parts)
-        return self._merged([matching(f, wanted, [on]) for f in self._frames(parts, files)], gone)
+        found = [restored(matching(short(f), short(wanted), [on]), f) for f in self._frames(parts, files)]
+        return self._merged(found, gone)
 
     # Upkeep
 

@@ -3,13 +3,15 @@
 import datetime as dt
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from outpoint import session
-from outpoint.functions import codec
+from outpoint.functions import codec, hashing
 from outpoint.operators import lookups, monitors
 from outpoint.plans.view import MONITORS, Ledger, tx_hash
+from outpoint.sources.keyed import KeyedTable
 from outpoint.streaming import ingest
 
 DAY = dt.datetime(1995, 3, 1)
@@ -129,3 +131,34 @@ def test_new_rows_of_a_stream_are_not_shuffled_for_a_few_known_hashes(spark):
     found = ingest._drop_hashes(rows, known)
     assert sorted(r["n"] for r in found.collect()) == [1, 2, 4]
     assert "SortMergeJoin" not in plan(found)
+
+
+def test_packed_texts_come_back_and_keep_their_differences(spark):
+    texts = ["", "ab", "AB", "abc", "ab00", "zz", "ab\n", "é", "\1", "\0", "00" * 3000, None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    back = hashing.restored(hashing.short(df), df)
+    assert sorted(str(r["t"]) for r in back.collect()) == sorted(map(str, texts))
+    sizes = {r["t"]: r["n"] for r in df.select("t", F.octet_length(hashing.packed(F.col("t"))).alias("n")).collect()}
+    assert sizes["00" * 3000] == 3001 and sizes["ab"] == 2 and sizes["AB"] == 3 and sizes[None] is None
+    assert hashing.short(df).distinct().count() == len(texts)
+
+
+def test_tables_of_the_view_are_written_without_hashes(ledger):
+    for name, columns in {"txs": {"hash"}, "outputs": {"hash", "script_hex"}, "inputs": {"hash", "prev_hash"}, "raw": {"hash"}, "mempool": {"hash"}, "collection": {"hash"}}.items():
+        table = getattr(ledger, name)
+        assert columns <= set(table.columns)
+        written = {f for path in table.inputFiles() for f in pq.read_schema(path.removeprefix("file://")).names}
+        assert written and not columns & written
+
+
+def test_texts_move_as_bytes_into_stored_tables(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path), "hash string, name string, tx string", ["hash", "name"])
+    rows = spark.createDataFrame([("aa", "n", "0102", 2), ("aa", "n", "0101", 2), ("aa", "n", "zz", 1), ("bb", "n", "00", 1), ("bb", "N", None, 1)], "hash string, name string, tx string, at int")
+    table.upsert(spark.createDataFrame([("bb", "n", "ff")], "hash string, name string, tx string"))
+    table.insert_once(rows, ["at"])
+    assert sorted(map(str, table.read().collect())) == sorted(
+        map(str, spark.createDataFrame([("aa", "n", "zz"), ("bb", "n", "ff"), ("bb", "N", None)], "hash string, name string, tx string").collect())
+    )
+    asked = spark.createDataFrame([("aa",), ("bb",)], "hash string")
+    text = plan(table.find(asked, "hash", unique=True))
+    assert "unhex(" in text
