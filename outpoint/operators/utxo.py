@@ -143,9 +143,13 @@ def fees(txs: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     spending = marked.groupBy("prev_hash", "prev_index", "seq", "hash", "_coinbase").agg(F.count(F.lit(1)).alias("k"))
     by_outpoint = spending.filter("NOT _coinbase").groupBy("prev_hash", "prev_index")
     first = by_outpoint.agg(F.min(F.struct("seq", "hash", "k")).alias("first"))
-    seen = spending.filter("_coinbase").join(
-        first.select("prev_hash", "prev_index", F.col("first.seq").alias("_taken")), ["prev_hash", "prev_index"], "left"
-    )
+    # One transaction per block: their few outpoints are written, and only the spenders of these are looked at again.
+    outpoint = ["prev_hash", "prev_index"]
+    named = marked.filter("_coinbase").select(F.col("prev_hash").alias("spent"), F.col("prev_index").alias("pos"))
+    asked = materialize(named.distinct(), "coinbase-outpoints").toDF(*outpoint)
+    taken = matching(marked.filter("NOT _coinbase").select(*outpoint, "seq"), asked, outpoint).groupBy(*outpoint)
+    taken = taken.agg(F.min(F.struct("seq")).alias("_first")).select(*outpoint, F.col("_first.seq").alias("_taken"))
+    seen = spending.filter("_coinbase").join(taken, outpoint, "left")
     seen = seen.filter(F.coalesce(F.col("_taken") > F.col("seq"), F.lit(True)))
     first = first.unionByName(seen.select("prev_hash", "prev_index", F.struct("seq", "hash", "k").alias("first")))
     known = outputs.filter(is_spendable(F.col("script_hex"))).select(
