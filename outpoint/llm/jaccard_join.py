@@ -158,15 +158,15 @@ def _send(frequent: Broadcast, boundary: int, buckets: int):
     return run
 
 
-def _bodies(wanted: np.ndarray):
-    """Texts of documents that may be asked for."""
+def _bodies(wanted: np.ndarray, pack):
+    """Texts of documents that may be asked for, as ``pack`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 ids = batch.column(0)
                 use = pa.array(lists.in_filter(wanted, ids.to_numpy(zero_copy_only=False)))
-                texts = [lists.packed_text(t.encode()) for t in batch.column(1).filter(use).to_pylist()]
+                texts = [pack(t.encode()) for t in batch.column(1).filter(use).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids.filter(use), pa.array(texts, pa.binary())], ["id", "body"])
 
     return run
@@ -222,9 +222,11 @@ def jaccard_join(docs: DataFrame, boundary: int | None = None) -> DataFrame:
 
     sent = texts.mapInArrow(_send(frequent, boundary, buckets), lists.PACKED)
     known = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    parts = lists.list_components(
-        sent, lambda wanted: known.mapInArrow(_bodies(wanted), "id long, body binary"), _shingles_of, LEAST, OF
-    )
+
+    def bodies(wanted: np.ndarray, pack) -> DataFrame:
+        return known.mapInArrow(_bodies(wanted, pack), "id long, body binary")
+
+    parts = lists.list_components(sent, bodies, _shingles_of, LEAST, OF, again=True)
     named = sizes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -43,8 +43,12 @@ SHORT_LIST = 4
 #: Bytes of texts whose sets are compared at once, and from where on texts are compressed.
 VERIFY_BYTES = 1 << 19
 LONG_TEXT = 512
-#: Bits of a sketch per element of the set, at least.
-SKETCH_BITS = 2.5
+#: Bits of a sketch per element of the set, at least. Sets that share little differ in 0.4 bits an element and more,
+#: those that link in less than 0.29.
+SKETCH_BITS = 1.25
+#: Rows from which on groups are worked through, and pairs whose sketches are compared at once.
+GROUPS_ROWS = 1 << 13
+PAIRS_AT_ONCE = 1 << 15
 #: Bits of the filter of asked ids (2 MB), whatever their number.
 FILTER_BITS = 24
 
@@ -191,40 +195,81 @@ def _possible(least: int, of: int):
     return run
 
 
+def _far(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, bits: np.ndarray, least: int, of: int):
+    """Which pairs of rows may link by their sketches, the rows of ``bits`` from ``at`` on; ``i`` has the shorter ones."""
+    keep = np.zeros(len(i), bool)
+    shape = words[i] * (1 << 32) + words[j]
+    for both in np.unique(shape):
+        w, v = int(both) >> 32, int(both) & 0xFFFFFFFF
+        use = np.flatnonzero(shape == both)
+        x = bits[at[i[use]][:, None] + np.arange(w)]
+        y = _folded(bits[at[j[use]][:, None] + np.arange(v)], w)
+        keep[use] = may_link(x, y, sizes[i[use]], sizes[j[use]], least, of)
+    return keep
+
+
+def _pairs_apart(rows: pa.Table, least: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids of one head, in order of head and size, that share a list, are in different components and may link."""
+    heads, ids, parts, sizes = (rows[c].to_numpy() for c in ("head", "a", "part", "n"))
+    sketch, shared = rows["sketch"].combine_chunks(), rows["lists"].combine_chunks()
+    data, at = tb.string_parts(sketch)
+    bits, words, at = np.frombuffer(data.tobytes(), np.uint64), np.diff(at) >> 3, at >> 3
+    # Per head, sizes rise: who is too small for the row that is a step away is so for all further ones.
+    i, found = np.arange(len(ids)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    held, count, step = [], 0, 0
+    while len(i) or held:
+        step += 1
+        i = i[i + step < len(ids)]
+        i = i[(heads[i] == heads[i + step]) & (of * sizes[i] >= least * sizes[i + step])]
+        ahead = i[parts[i] != parts[i + step]]
+        held.append((ahead, ahead + step))
+        count += len(ahead)
+        if count >= PAIRS_AT_ONCE or not len(i):
+            x, y = (np.concatenate(k) for k in zip(*held, strict=True))
+            for lo in range(0, len(x), PAIRS_AT_ONCE):
+                p, q = x[lo : lo + PAIRS_AT_ONCE], y[lo : lo + PAIRS_AT_ONCE]
+                may = _far(p, q, sizes, words, at, bits, least, of)
+                found.append((p[may], q[may]))
+            held, count = [], 0
+    x, y = (np.concatenate(k) for k in zip(*found, strict=True))
+    # An id may come with several sets, and is no pair with itself.
+    meet = [ids[p] != ids[q] and not set(shared[p].as_py()).isdisjoint(shared[q].as_py()) for p, q in zip(x.tolist(), y.tolist(), strict=True)]
+    x, y = ids[x[meet]], ids[y[meet]]
+    return np.minimum(x, y), np.maximum(x, y)
+
+
 def _apart(least: int, of: int):
     """Pairs of ids that share a long list, are in different components and may link.
 
-    A group has all long lists with one smallest id, so that ids which share
-    many lists meet once.
+    A group has all long lists with one smallest id (head), so that ids which
+    share many lists meet once. Groups come whole and one after the other;
+    many small ones are worked through together.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "a"])
-        ids, sizes, parts = (pdf[c].to_numpy(np.int64) for c in ("a", "n", "part"))
-        sketches = [np.frombuffer(v, np.uint64) for v in pdf["sketch"]]
-        lists_of = [set(v) for v in pdf["lists"]]
-        words = np.array([len(v) for v in sketches])
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for w in np.unique(words):  # sizes rise, so sketches do not get shorter
-            mine = np.flatnonzero(words == w)
-            end = int(np.searchsorted(sizes, of * sizes[mine[-1]] // least, "right"))
-            bits = np.stack([_folded(v[None], w)[0] for v in sketches[mine[0] : end]])
-            for i in mine.tolist():
-                j = np.arange(i + 1, int(np.searchsorted(sizes, of * sizes[i] // least, "right")))
-                j = j[parts[j] != parts[i]]
-                if len(j):
-                    j = j[may_link(bits[i - mine[0]], bits[j - mine[0]], sizes[i], sizes[j], least, of)]
-                    j = np.array([k for k in j.tolist() if not lists_of[i].isdisjoint(lists_of[k])], np.int64)
-                    found.append((np.full(len(j), ids[i]), ids[j]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-        out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        return out[out["a"] != out["b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = _pairs_apart(pa.Table.from_batches(held), least, of)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            heads = batch.column(0).to_numpy()
+            if size >= GROUPS_ROWS and (cut := int(np.searchsorted(heads, heads[-1]))) + int(heads[0] != held[-1].column(0)[-1].as_py()):
+                yield pairs([*held, batch.slice(0, cut)])
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.num_rows
+        if held:
+            yield pairs(held)
 
     return run
 
 
 def list_components(
-    packed: DataFrame, bodies: Callable[[np.ndarray], DataFrame], sets: Callable, least: int, of: int, sized: bool = True
+    packed: DataFrame, bodies: Callable[..., DataFrame], sets: Callable, least: int, of: int, sized: bool = True, again: bool = False
 ) -> DataFrame:
     """(node, component) of ids whose sets are as similar as ``least / of`` and that lists bring together.
 
@@ -232,19 +277,29 @@ def list_components(
     ``packed_text``: texts are smaller than their sets, and compressed where
     they are long. ``sets`` makes (row, hash) of the distinct elements of a
     list of texts, in order. Without ``sized`` the packed sizes mean nothing.
+
+    Most ids that meet are ruled out by their sketches. With ``again`` bodies
+    are got (``bodies`` then takes what packs a text, too) for the sketches,
+    which alone are kept, and again for the pairs that are left; else once.
     """
     scan = _scan(least if sized else 0, of)
     scanned = written(packed.groupBy("bucket").applyInPandas(scan, "a long, b long, list long"), "scanned")
     met = written(scanned.filter("list IS NULL").select("a", "b").distinct(), "met")
     asked = met.select(F.col("a").alias("id")).union(met.select("b"))
-    texts = written(bodies(id_filter(asked, "id")), "bodies")
+    wanted = id_filter(asked, "id")
+    texts = bodies(wanted, plain_text) if again else written(bodies(wanted), "bodies")
     known_sets = written(texts.mapInArrow(_sketches(sets), "id long, n long, sketch binary"), "sketches")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        left = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        return similar_pairs(pairs, written(bodies(id_filter(left, "id"), packed_text), "bodies") if again else texts, sets, least, of)
+
     x = known_sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("x"))
     y = known_sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("y"))
     both = met.join(x, "a").join(y, "b").select("a", "b", "n_a", "x", "n_b", "y")
     pairs = written(both.mapInArrow(_possible(least, of), "a long, b long").distinct(), "pairs")
     known = scanned.filter("list = -1").select("a", "b")
-    parts = components(similar_pairs(pairs, texts, sets, least, of).union(known))
+    parts = components(checked(pairs).union(known))
 
     members = scanned.filter("list >= 0").select("a", "list")
     placed = members.join(parts.select(F.col("node").alias("a"), "component"), "a", "left")
@@ -255,12 +310,13 @@ def list_components(
         return parts
     rest = placed.join(split, "list").groupBy("head", "a").agg(F.first("part").alias("part"), F.collect_set("list").alias("lists"))
     rest = rest.join(known_sets.withColumnRenamed("id", "a"), "a")
-    rest = rest.groupBy("head").applyInPandas(_apart(least, of), "a long, b long").distinct()
+    rest = rest.select("head", "a", "part", "n", "lists", "sketch").repartition("head").sortWithinPartitions("head", "n", "a")
+    rest = rest.mapInArrow(_apart(least, of), "a long, b long").distinct()
     more = written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if more.isEmpty():
         return parts
     merged = parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    return components(merged.union(similar_pairs(more, texts, sets, least, of)))
+    return components(merged.union(checked(more)))
 
 
 def _verify(sets: Callable, least: int, of: int):
@@ -291,8 +347,12 @@ def _verify(sets: Callable, least: int, of: int):
     return run
 
 
+def plain_text(text: bytes) -> bytes:
+    return b"=" + text
+
+
 def packed_text(text: bytes) -> bytes:
-    return zstandard.compress(text, 1) if len(text) >= LONG_TEXT else b"=" + text
+    return zstandard.compress(text, 1) if len(text) >= LONG_TEXT else plain_text(text)
 
 
 def unpacked_text(body: bytes) -> bytes:

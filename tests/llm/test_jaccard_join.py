@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from outpoint.llm import jaccard_join as J
@@ -117,3 +119,47 @@ def test_sketches_rule_out_no_link():
         assert possible or not linked
         ruled_out += not possible
     assert ruled_out > 150
+
+
+def test_only_texts_of_possible_pairs_move(documents, monkeypatch):
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    passage = [draw.choice(words) for _ in range(40)]
+    rows = [(i, " ".join(passage[:6] + [draw.choice(words) for _ in range(200)])) for i in range(12)]
+    rows += [(20 + i, " ".join([*rows[0][1].split(" ")[:180], f"tail{i}"])) for i in range(2)]
+    moved, check = [], lists.similar_pairs
+
+    def seen(pairs, texts, *more):
+        moved.append(({r.id for r in texts.collect()}, {x for r in pairs.collect() for x in r}))
+        return check(pairs, texts, *more)
+
+    monkeypatch.setattr(lists, "similar_pairs", seen)
+    found = dict(rows_of(J.jaccard_join(documents(rows), boundary=0), "doc_id", "component_id"))
+    assert found == {i: 0 if i >= 20 else i for i, _ in rows}
+    assert moved and all(texts == pairs and len(texts) < 12 for texts, pairs in moved)
+
+
+def test_pairs_apart_over_groups_and_batches(monkeypatch):
+    monkeypatch.setattr(lists, "GROUPS_ROWS", 8)
+    monkeypatch.setattr(lists, "PAIRS_AT_ONCE", 16)
+    draw = np.random.Generator(np.random.PCG64(5))
+    rows = []
+    for head in range(12):
+        base = draw.integers(0, 1 << 63, 200, dtype=np.uint64)
+        for _ in range(int(draw.integers(1, 14))):
+            own = draw.integers(0, 1 << 63, int(draw.integers(0, 120)), dtype=np.uint64)
+            elements = np.unique(np.concatenate([base[: int(draw.integers(20, 200))], own]))
+            rows.append((head, int(draw.integers(0, 40)), int(draw.integers(0, 3)), len(elements), [int(x) for x in draw.integers(0, 4, 2)], lists.sketch(elements)))
+    rows.sort(key=lambda r: (r[0], r[3], r[1]))
+    names = ["head", "a", "part", "n", "lists", "sketch"]
+    table = pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+    found = sorted(p for b in lists._apart(3, 4)(table.to_batches(max_chunksize=5)) for p in zip(b["a"].to_pylist(), b["b"].to_pylist(), strict=True))
+    expected = []
+    for k, x in enumerate(rows):
+        for y in rows[k + 1 :]:
+            if x[0] != y[0] or x[1] == y[1] or x[2] == y[2] or set(x[4]).isdisjoint(y[4]) or 4 * x[3] < 3 * y[3]:
+                continue
+            p, q = (np.frombuffer(r[5], np.uint64) for r in (x, y))
+            if lists.may_link(lists._folded(p[None], len(p)), lists._folded(q[None], len(p)), x[3], y[3], 3, 4)[0]:
+                expected.append((min(x[1], y[1]), max(x[1], y[1])))
+    assert found == sorted(expected) and len(found) > 20
