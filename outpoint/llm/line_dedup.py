@@ -39,9 +39,11 @@ BINS = BANDS * VALUES
 #: similarity of 0.8 a line on one side and a line on the other side of the gap are not to be expected.
 FEW, MANY = 60, 72
 #: Bytes of a line that are signed at once (a line that is longer is alone).
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 #: Hashes of lines that a task has signed and remembers.
 REMEMBERED = 1 << 17
+#: Characters of white space at an end of a line that are taken off one by one, for all lines at once.
+TRIM_STEPS = 16
 
 _U = np.uint64
 _FEED = 10
@@ -58,14 +60,26 @@ def line_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     last = np.append(rows[1:] != rows[:-1], True) if len(rows) else np.zeros(0, bool)
     ends = np.where(last, at[rows + 1], ends)
     place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    solid = np.flatnonzero(~tb._SPACE[data])
-    if not len(solid):
-        return (np.zeros(0, np.int64),) * 4
-    first = np.searchsorted(solid, starts)
-    final = np.searchsorted(solid, ends) - 1
-    full = first <= final
-    first, final = first[full], final[full]
-    return rows[full], place[full], solid[first], solid[final] + 1
+    starts, ends = _trimmed(data, starts, ends)
+    full = starts < ends
+    return rows[full], place[full], starts[full], ends[full]
+
+
+def _trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without white space around them; a span of nothing else ends where it starts."""
+    starts, ends = starts.copy(), ends.copy()
+    for edge, other, before, by in ((starts, ends, 0, 1), (ends, starts, 1, -1)):
+        left = np.flatnonzero(starts < ends)
+        for _ in range(TRIM_STEPS):
+            left = left[tb._SPACE[data[edge[left] - before]]]
+            if not len(left):
+                break
+            edge[left] += by
+            left = left[edge[left] != other[left]]
+        for i in left.tolist():  # long white space
+            solid = np.flatnonzero(~tb._SPACE[data[starts[i] : ends[i]]])
+            starts[i], ends[i] = (starts[i] + solid[0], starts[i] + solid[-1] + 1) if len(solid) else (starts[i], starts[i])
+    return starts, ends
 
 
 def line_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,22 +96,33 @@ def line_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
 
 def char_shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Line and hash of each character shingle, A-Z lower-cased."""
-    low = [line.lower().decode("utf-8", "replace") for line in lines]  # bytes.lower() changes A-Z alone
-    lengths = np.array([len(x) for x in low])
-    code = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + _U(1)
-    ends = np.cumsum(lengths)
-    line = np.repeat(np.arange(len(low)), lengths)
-    at = np.flatnonzero(ends[line] - np.arange(len(code)) >= CHARS) if len(code) else np.zeros(0, np.int64)
-    every = np.zeros(len(code), np.uint64)
-    for k in range(min(CHARS, len(code))):
-        every[: len(code) - k] += code[k:] * tb.STEPS[32 + k]
-    total = every[at]
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    low = b"\n".join(lines).lower()  # bytes.lower() changes A-Z alone; a line has no line feed
+    if low.isascii():
+        code = np.frombuffer(low, np.uint8)
+    else:
+        code = np.frombuffer(low.decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    feeds = np.flatnonzero(code == _FEED)
+    starts = np.append(0, feeds + 1)
+    lengths = np.append(feeds, len(code)) - starts
+    code = code.astype(np.uint64)
+    code += _U(1)
+    size = max(0, len(code) - CHARS + 1)
+    every, each = np.zeros(size, np.uint64), np.empty(size, np.uint64)
+    for k in range(CHARS):
+        every += np.multiply(code[k : k + size], tb.STEPS[32 + k], out=each)
+    whole = np.ones(len(every), bool)
+    for k in range(CHARS):
+        at = feeds - k
+        whole[at[(at >= 0) & (at < len(every))]] = False
+    line = np.repeat(np.arange(len(lines)), np.maximum(lengths - CHARS + 1, 0))
     short = np.flatnonzero((lengths > 0) & (lengths < CHARS))
     part = lengths[short].astype(np.uint64) * tb.STEPS[40]
     for k in range(CHARS - 1):
         has = lengths[short] > k
-        part[has] += code[ends[short[has]] - lengths[short[has]] + k] * tb.STEPS[32 + k]
-    return np.concatenate([line[at], short]), tb.mixed(np.concatenate([total, part]))
+        part[has] += code[starts[short[has]] + k] * tb.STEPS[32 + k]
+    return np.concatenate([line, short]), tb.mixed(np.concatenate([every[whole], part]))
 
 
 _OWN = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BINS, dtype=np.uint64) * _U(2) + _U(1)
@@ -105,17 +130,18 @@ _OWN = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, BINS, dtype=
 
 def _few_minima(rows: np.ndarray, hashes: np.ndarray, lines: int) -> np.ndarray:
     """Lines by values, each the minimum of an own hash."""
-    low = np.zeros((lines, BINS), np.uint64)
+    low = np.zeros((BINS, lines), np.uint64)
     order = np.argsort(rows, kind="stable")
     rows, hashes = rows[order], hashes[order]
+    each = np.empty(len(hashes), np.uint64)
     at = np.flatnonzero(np.append(True, rows[1:] != rows[:-1])) if len(rows) else np.zeros(0, np.int64)
     for k in range(BINS if len(rows) else 0):
-        low[rows[at], k] = np.minimum.reduceat((hashes * _OWN[k]) >> _U(32), at)
-    return low
+        low[k, rows[at]] = np.minimum.reduceat(np.multiply(hashes, _OWN[k], out=each), at)
+    return low.T >> _U(32)
 
 
 def _binned_minima(rows: np.ndarray, hashes: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lines by values, each the minimum of the hashes that fall into its bin, and how many bins those fill."""
+    """Lines by values, each the minimum of the hashes that fall into its bin, and how many bins those fill (from ``FEW`` on)."""
     empty = _U(1 << 32)
     low = np.full(lines * BINS, empty, np.uint64)
     bins = ((hashes >> _U(32)) * _U(BINS) >> _U(32)).astype(np.int64)
@@ -124,12 +150,13 @@ def _binned_minima(rows: np.ndarray, hashes: np.ndarray, lines: int) -> tuple[np
     filled = low != empty
     counts = filled.sum(1)
     # Every empty bin takes the value of the next filled one, going around, and its distance.
-    if (counts < BINS).any():
-        place = np.where(filled, np.arange(BINS), 2 * BINS)
+    gaps = np.flatnonzero((counts >= FEW) & (counts < BINS))
+    if len(gaps):
+        place = np.where(filled[gaps], np.arange(BINS), 2 * BINS)
         around = np.concatenate([place, place + BINS], axis=1)
         following = np.minimum.accumulate(around[:, ::-1], axis=1)[:, ::-1][:, :BINS]
         far = (following - np.arange(BINS)).astype(np.uint64)
-        low = np.take_along_axis(low, following % BINS, axis=1) + far * tb.STEPS[41]
+        low[gaps] = np.take_along_axis(low[gaps], following % BINS, axis=1) + far * tb.STEPS[41]
     return low, counts
 
 
@@ -171,20 +198,17 @@ def _new_lines(batches: Iterator[pa.RecordBatch], wanted: np.ndarray | None = No
         data, at = tb.string_parts(batch.column(0))
         _, _, starts, ends = line_spans(data, at)
         ids = line_ids(data, starts, ends)
-        new = []
-        for i in range(len(ids)) if wanted is None else np.flatnonzero(lists.in_filter(wanted, ids)).tolist():
-            if (x := int(ids[i])) not in seen:
-                seen.add(x)
-                new.append(i)
+        may = np.arange(len(ids)) if wanted is None else np.flatnonzero(lists.in_filter(wanted, ids))
+        new = np.array([i for i, x in zip(may.tolist(), ids[may].tolist(), strict=True) if x not in seen and not seen.add(x)], np.int64)
         if len(seen) > REMEMBERED:
             seen.clear()
-        first, total = 0, 0
-        for n, i in enumerate(new):
-            total += int(ends[i] - starts[i])
-            if total >= BLOCK or n + 1 == len(new):
-                part = new[first : n + 1]
-                yield ids[part], [data[starts[k] : ends[k]].tobytes() for k in part]
-                first, total = n + 1, 0
+        raw, sizes = data.tobytes(), np.cumsum(ends[new] - starts[new])
+        first = 0
+        while first < len(new):
+            last = int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + BLOCK)) + 1
+            part = new[first:last]
+            yield ids[part], [raw[lo:hi] for lo, hi in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]
+            first = last
 
 
 def _sign(buckets: int):
@@ -256,24 +280,26 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def _without(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
     """Texts without the lines in ``gone``, with the number of lines that are not blank and of those gone."""
     texts = batch.column(batch.schema.get_field_index("text"))
-    gone = batch.column(batch.schema.get_field_index("gone")).to_pylist()
+    gone = batch.column(batch.schema.get_field_index("gone"))
     data, at = tb.string_parts(texts)
     rows, place, starts, ends = line_spans(data, at)
     counts = np.bincount(rows, minlength=len(gone))
-    losing = np.flatnonzero(np.array([bool(g) for g in gone])[rows])
-    rows, place, ids = rows[losing], place[losing], line_ids(data, starts[losing], ends[losing])
-    cuts = np.searchsorted(rows, np.arange(len(gone) + 1))
-    out, dropped = texts.to_pylist(), []
-    for r, drop in enumerate(gone):
-        if not drop:
-            dropped.append(0)
-            continue
-        here = slice(cuts[r], cuts[r + 1])
-        wanted = {(d["place"], d["line"]) for d in drop}
-        places = {p for p, x in zip(place[here].tolist(), ids[here].tolist(), strict=True) if (p, x) in wanted}
-        dropped.append(len(places))
-        out[r] = "\n".join(line for p, line in enumerate(out[r].split("\n")) if p not in places)
-    return pa.array(out, texts.type), pa.array(counts.astype(np.int64)), pa.array(dropped, pa.int64())
+    # A line is found by its row and place; it goes if it is the line that was meant.
+    drop, which = gone.flatten(), np.repeat(np.arange(len(gone)), gone.value_lengths().fill_null(0).to_numpy())
+    asked = (which << 32) + drop.field("place").to_numpy().astype(np.int64)
+    known = (rows << 32) + place
+    found = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+    there = np.flatnonzero(known[found] == asked) if len(known) else np.zeros(0, np.int64)
+    found, there = found[there], drop.field("line").to_numpy()[there]
+    order = np.argsort(found, kind="stable")
+    found, there = found[order], there[order]
+    found = np.unique(found[line_ids(data, starts[found], ends[found]) == there])
+    cuts = np.searchsorted(rows[found], np.arange(len(gone) + 1))
+    out, places = texts.to_pylist(), place[found].tolist()
+    for r in np.flatnonzero(np.diff(cuts)).tolist():
+        lose = set(places[cuts[r] : cuts[r + 1]])
+        out[r] = "\n".join(line for p, line in enumerate(out[r].split("\n")) if p not in lose)
+    return pa.array(out, texts.type), pa.array(counts.astype(np.int64)), pa.array(np.diff(cuts).astype(np.int64))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -289,9 +315,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [f.name for f in fields]
     per_doc = repeated_lines(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list(F.struct("place", "line")).alias("gone"))
     per_doc = written(per_doc, "gone")
-    row = F.struct(*[F.col(f"`{n}`") for n in names]).alias("row")
-    keyed = docs.select(row, F.col("doc_id").cast("long").alias("gone_id"))
-    joined = keyed.join(per_doc, "gone_id", "left").select("row", F.col("row.text").cast("string").alias("text"), "gone")
+    others = [n for n in names if n != "text"]
+    row = F.struct(*[F.col(f"`{n}`") for n in others]).alias("row")
+    keyed = docs.select(row, F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("gone_id"))
+    # Hashing the few lines of a document that go is cheaper than sorting texts.
+    joined = keyed.join(per_doc.hint("shuffle_hash"), "gone_id", "left").select("row", "text", "gone")
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,7 +328,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 continue
             text, lines, dropped = _without(batch)
             row = batch.column(0)
-            columns = [text if n == "text" else row.field(i) for i, n in enumerate(names)]
+            columns = [text if n == "text" else row.field(others.index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, lines, dropped], [*names, "n_lines", "n_dropped"])
 
     return joined.mapInArrow(run, schema)

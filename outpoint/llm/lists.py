@@ -21,7 +21,6 @@ compared where the list is, so ruled-out pairs are not even rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -64,8 +63,11 @@ def bucket_count(keys: float) -> int:
 
 def pack(ids: np.ndarray, sizes: np.ndarray, keys: np.ndarray, buckets: int, known: list[tuple[int, int]] = ()) -> pa.RecordBatch:
     """A batch of ``PACKED`` for keys (64-bit hashes) with their ids and set sizes, and links that need no check."""
-    bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-    order = np.lexsort((sizes, ids, bucket))
+    bucket = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    if 4 * np.count_nonzero((ids[1:] != ids[:-1]) | (sizes[1:] != sizes[:-1])) > len(ids):  # else keys of an id already stand together
+        order = np.lexsort((sizes, ids))
+        ids, sizes, keys, bucket = ids[order], sizes[order], keys[order], bucket[order]
+    order = np.argsort(bucket, kind="stable")
     ids, sizes, keys, bucket = ids[order], sizes[order], keys[order].astype(np.uint32), bucket[order]
     names = np.unique(bucket)
     cuts = np.append(np.searchsorted(bucket, names), len(bucket))
@@ -92,8 +94,10 @@ def _unpacked(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     times = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["times"]])
     ids = np.repeat(np.concatenate([np.frombuffer(x, np.int64) for x in pdf["ids"]]), times)
     sizes = np.repeat(np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]]), times)
-    _, group, n = np.unique(keys, return_inverse=True, return_counts=True)
-    use = n[group] > 1
+    # Sorting numbers that end in their places is much faster than sorting places.
+    order = np.sort((keys.astype(np.uint64) << _U(32)) | np.arange(len(keys), dtype=np.uint64))
+    again = (order[1:] >> _U(32)) == (order[:-1] >> _U(32))
+    use = (order[np.append(again, False) | np.append(False, again)] & _U(0xFFFFFFFF)).astype(np.int64) if len(keys) else np.zeros(0, np.int64)
     keys, ids, sizes = keys[use], ids[use], sizes[use]
     order = np.lexsort((ids, sizes, keys))
     keys, ids, sizes = keys[order], ids[order], sizes[order]
@@ -135,11 +139,27 @@ def _scan(least: int, of: int):
     return run
 
 
+def sketch_bits(n: int) -> int:
+    return max(64, 1 << max(0, int(n * SKETCH_BITS) - 1).bit_length())
+
+
+def sketches_of(at: np.ndarray, hashes: np.ndarray) -> list[bytes]:
+    """Bits that the distinct elements of each set flip, sets being from ``at`` on; more bits for more elements."""
+    ns = np.diff(at)
+    bits, out = np.array([sketch_bits(n) for n in ns.tolist()], np.int64), [b""] * len(ns)
+    for size in np.unique(bits).tolist():
+        mine = np.flatnonzero(bits == size)
+        use = hashes[np.repeat(bits == size, ns)]
+        place = np.repeat(np.arange(len(mine)), ns[mine]) * size + (use % _U(size)).astype(np.int64)
+        flips = (np.bincount(place, minlength=len(mine) * size) & 1).astype(np.uint8)
+        packed = np.packbits(flips, bitorder="little").tobytes()
+        for k, i in enumerate(mine.tolist()):
+            out[i] = packed[k * size // 8 : (k + 1) * size // 8]
+    return out
+
+
 def sketch(hashes: np.ndarray) -> bytes:
-    """Bits that the distinct elements of a set flip; more bits for more elements."""
-    bits = max(64, 1 << max(0, int(len(hashes) * SKETCH_BITS) - 1).bit_length())
-    flips = np.bincount((hashes % _U(bits)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+    return sketches_of(np.array([0, len(hashes)]), hashes)[0]
 
 
 def _sketches(sets: Callable):
@@ -156,7 +176,7 @@ def _sketches(sets: Callable):
                     last += 1
                 rows, hashes = sets(found)
                 at = np.searchsorted(rows, np.arange(len(found) + 1))
-                bits = pa.array([sketch(hashes[lo:hi]) for lo, hi in pairwise(at)], pa.binary())
+                bits = pa.array(sketches_of(at, hashes), pa.binary())
                 columns = [batch.column(0).slice(first, len(found)), pa.array(np.diff(at).astype(np.int64)), bits]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "sketch"])
                 first = last
@@ -181,20 +201,25 @@ def _possible(least: int, of: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(i).to_pylist()] for i in (3, 5))
-            words = np.array([min(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64)
-            keep = np.zeros(batch.num_rows, bool)
-            for w in np.unique(words):
-                at = np.flatnonzero(words == w)
-                p, q = (np.stack([_folded(v[i][None], w)[0] for i in at]) for v in (x, y))
-                keep[at] = may_link(p, q, n[at], m[at], least, of)
+            sizes = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4)])
+            both = pa.concat_arrays([batch.column(3), batch.column(5)])
+            words, at, bits = _words_of(both)
+            i = np.arange(batch.num_rows)
+            j = i + batch.num_rows
+            i, j = np.where(words[i] <= words[j], i, j), np.where(words[i] <= words[j], j, i)
+            keep = _far(i, j, sizes, words, at, bits, least, of)
             at = pa.array(np.flatnonzero(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
     return run
 
 
+def _words_of(sketches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of 64-bit words of each sketch, where they begin, and the words."""
+    data, at = tb.string_parts(sketches)
+    return np.diff(at) >> 3, at >> 3, np.frombuffer(data.tobytes(), np.uint64)
+
+
 def _far(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, words: np.ndarray, at: np.ndarray, bits: np.ndarray, least: int, of: int):
     """Which pairs of rows may link by their sketches, the rows of ``bits`` from ``at`` on; ``i`` has the shorter ones."""
     keep = np.zeros(len(i), bool)
@@ -212,8 +237,7 @@ def _pairs_apart(rows: pa.Table, least: int, of: int) -> tuple[np.ndarray, np.nd
     """Pairs of ids of one head, in order of head and size, that share a list, are in different components and may link."""
     heads, ids, parts, sizes = (rows[c].to_numpy() for c in ("head", "a", "part", "n"))
     sketch, shared = rows["sketch"].combine_chunks(), rows["lists"].combine_chunks()
-    data, at = tb.string_parts(sketch)
-    bits, words, at = np.frombuffer(data.tobytes(), np.uint64), np.diff(at) >> 3, at >> 3
+    words, at, bits = _words_of(sketch)
     # Per head, sizes rise: who is too small for the row that is a step away is so for all further ones.
     i, found = np.arange(len(ids)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     held, count, step = [], 0, 0
