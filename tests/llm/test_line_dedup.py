@@ -104,3 +104,20 @@ def test_bands_find_close_lines():
             held.setdefault(int(line), set()).add(int(key))
     met = np.array([bool(keys[0][i] & keys[1][i]) for i in range(len(one))])
     assert close.sum() > 200 and met[close].mean() > 0.98
+
+
+def test_texts_are_not_sorted_and_reach_python_once(documents):
+    docs = documents([(1, "a line of text"), (2, "a line of text\nanother thing")])
+    plan = D.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
+    last = plan[: plan.index("ShuffledHashJoin")]
+    assert "Sort" not in last and "row" in last
+    assert "text" not in plan[plan.index("AS row") - 200 : plan.index("AS row")].rsplit("struct(", 1)[1]
+
+
+def test_white_space_around_lines():
+    texts = [f"{' ' * n}x y{' ' * m}\n{' ' * n}\n\t\r" for n in (0, 1, 15, 16, 17, 400) for m in (0, 16, 17, 90)] + ["", " " * 50, "\n"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    rows, place, starts, ends = D.line_spans(data, at)
+    assert rows.tolist() == list(range(24)) and not place.any()
+    assert {data[s:e].tobytes() for s, e in zip(starts, ends, strict=True)} == {b"x y"}
