@@ -12,7 +12,7 @@ from ..functions import codec, display, hashing, scripts, validate
 from ..operators import chain, lookups, maintenance, merkle, monitors, utxo
 from ..operators.ordering import row_position
 from ..schemas import TABLES
-from ..session import materialize, new_path
+from ..session import materialize, new_path, passing
 from ..sources import blockfile, tables
 from ..sources.keyed import KeyedTable
 from ..streaming import events as event_stream
@@ -254,8 +254,10 @@ def k10_delete_utxo(L: Ledger) -> DataFrame:
 
 @query
 def k11_collection_insert(L: Ledger) -> DataFrame:
-    timed = materialize(_texts_of(L, L.collection.join(L.txs.select("okey", "time"), "okey")), "captured")
-    return _inserted(_table(L, "collection", _old(timed)), timed.select("hash", "name", "tx"), [])
+    collected, txs = L.collection, L.txs
+    with passing(L.spark):
+        timed = materialize(_texts_of(L, collected.join(txs.select("okey", "time"), "okey")), "captured")
+        return _inserted(_table(L, "collection", _old(timed)), timed.select("hash", "name", "tx"), [])
 
 
 def _connections(df: DataFrame) -> DataFrame:
@@ -616,9 +618,9 @@ def _asked(L: Ledger) -> DataFrame:
     return feeds.keys_of(materialize(L.txs.select("okey").distinct(), "asked"))
 
 
-def _placed(L: Ledger, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _placed(L: Ledger, keys: DataFrame, unique: bool = False) -> tuple[DataFrame, DataFrame]:
     """The transactions of the keys, and the blocks that hold them."""
-    placed = materialize(_stored(L, "tx").find(keys, "hash"), "placed")
+    placed = materialize(_stored(L, "tx").find(keys, "hash", unique), "placed")
     return placed, _stored(L, "blocks").find(placed, "height")
 
 
@@ -902,8 +904,8 @@ def q10_hex_from_collection(L: Ledger) -> DataFrame:
 
 
 def _proofs(L: Ledger) -> DataFrame:
-    keys = feeds.keys(L)
-    placed, blocks = _placed(L, keys)
+    keys = _asked(L)
+    placed, blocks = _placed(L, keys, unique=True)
     return merkle.merkle_proofs(keys, placed, blocks, _trees(L))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
@@ -51,11 +54,65 @@ def compact_writer(df: DataFrame) -> DataFrameWriter:
     return df.write.option("compression", COMPRESSION)
 
 
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
+#: Per thread the folders that ``materialize`` has written within each ``passing`` block that is open.
+_passing = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized in this block go when it ends, also by an error.
+
+    For steps of a job whose results are written elsewhere, or by
+    ``materialize`` with ``keep``. Writes in the block have ``SETTINGS``.
+    """
+    scopes = _passing.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        with _settings(spark):
+            yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+#: How many times as much memory rows of keys take as their file, which is what Spark judges a broadcast by.
+IN_MEMORY = 10
+
+#: Of the writes in a ``passing`` block: shuffle files go when a write is done and not when the driver happens to collect garbage,
+#: and a table is broadcast if its rows are few, not if its file is small.
+SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.sources.fileCompressionFactor": str(float(IN_MEMORY)),
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """``SETTINGS`` for a while."""
+    before = {name: spark.conf.get(name) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
     """Write a frame as Parquet and read it back, which cuts its lineage.
 
-    Unlike a cached frame the result survives the loss of any executor.
+    Unlike a cached frame the result survives the loss of any executor. It
+    goes with the ``passing`` block that is open, unless it is to ``keep``.
     """
     path = new_path(df.sparkSession, label)
+    scopes = getattr(_passing, "scopes", None)
+    if scopes and not keep:
+        scopes[-1].append(path)
     compact_writer(df).partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
