@@ -16,9 +16,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash256, reverse_hex, to_hex
+from ..functions.hashing import hash256, restored, reverse_hex, short, to_hex
 from ..session import materialize
 from ..sources.keyed import KeyedTable
+from .maintenance import delete_keys, matching
 
 #: Schema and key of kept trees: a row per block, pass and chunk.
 TREES = "height bigint, pass int, chunk bigint, done boolean, levels array<array<binary>>"
@@ -120,32 +121,39 @@ def _path(levels: Column, leaf: Column) -> Column:
     return F.when(F.size(levels) > 1, F.transform(climbs, branch)).otherwise(none)
 
 
-def _paths(wanted: DataFrame, passes: list[DataFrame]) -> DataFrame:
-    """(height, pos, branches) of the wanted nodes (height, pos) of a pass.
+def _paths(wanted: DataFrame, passes: list[DataFrame], heads: DataFrame | None = None) -> DataFrame:
+    """``wanted`` nodes (height, pos and what else there is) of a pass with their ``branches``.
 
     A chunk is joined once with the list of its wanted nodes, which its span
-    bounds; the way on from its top is worked out once for all of them.
+    bounds; the way on from its top is worked out once for all of them. What
+    ``heads`` has of a height is joined to chunks, too, so branches are made
+    behind all joins.
     """
-    span = 1 << SPAN_LEVELS
-    chunk = F.floor(F.col("pos") / span)
-    asked = wanted.groupBy("height", chunk.alias("chunk")).agg(
-        F.collect_set((F.col("pos") % span).cast("int")).alias("asked")
-    )
-    held = passes[0].join(asked, ["height", "chunk"])
-    found = F.explode(
-        F.transform("asked", lambda leaf: F.struct(leaf.alias("leaf"), _path(F.col("levels"), leaf).alias("branches")))
-    )
-    inside = held.select("height", "chunk", "done", found.alias("found")).select(
-        "height", "chunk", (F.col("chunk") * span + F.col("found.leaf")).alias("pos"), "found.branches"
-    )
-    if len(passes) == 1:
-        return inside.drop("chunk")
-    upward = held.filter(~F.col("done")).select("height", F.col("chunk").alias("pos"))
-    above = _paths(upward, passes[1:]).select(
-        "height", F.col("pos").alias("chunk"), F.col("branches").alias("above")
-    )
-    whole = F.concat("branches", F.coalesce("above", F.array().cast(BRANCHES)))
-    return inside.join(above, ["height", "chunk"], "left").select("height", "pos", whole.alias("branches"))
+    span, key = 1 << SPAN_LEVELS, ["height", "chunk"]
+    carried = [c for c in wanted.columns if c not in ("height", "pos")]
+    place = (F.col("pos") % span).cast("int").alias("leaf")
+    asked = wanted.groupBy("height", _chunk().alias("chunk")).agg(F.collect_list(F.struct(place, *carried)).alias("asked"))
+    held = passes[0].join(asked, key)
+    none = F.array().cast(BRANCHES)
+    above = none
+    if len(passes) > 1:
+        upward = held.filter(~F.col("done")).select("height", F.col("chunk").alias("pos"))
+        tops = _paths(upward, passes[1:]).select("height", F.col("pos").alias("chunk"), F.col("branches").alias("above"))
+        held, above = held.join(tops, key, "left"), F.coalesce("above", none)
+    shown = [] if heads is None else [c for c in heads.columns if c != "height"]
+    held = held if heads is None else held.join(heads, "height")
+
+    def path(a: Column) -> Column:
+        own = [a[c].alias(c) for c in ("leaf", *carried)]
+        return F.struct(*own, F.concat(_path(F.col("levels"), a["leaf"]), above).alias("branches"))
+
+    found = held.select(*key, *shown, F.explode(F.transform("asked", path)).alias("found"))
+    at = (F.col("chunk") * span + F.col("found.leaf")).alias("pos")
+    return found.select("height", at, *[F.col(f"found.{c}").alias(c) for c in carried], *shown, "found.branches")
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("pos") / (1 << SPAN_LEVELS))
 
 
 def tree_rows(txs: DataFrame) -> DataFrame:
@@ -169,16 +177,21 @@ def merkle_proofs(keys: DataFrame, txs: DataFrame, blocks: DataFrame, trees: Key
     ``trees``, only the places of the requested hashes are needed in ``txs``;
     without, the trees of their blocks are folded from all their transactions.
     """
-    wanted = keys.select("hash").distinct()
-    leaves = txs.select("hash", "height", F.col("blockindex").cast("long").alias("pos"))
-    placed = materialize(leaves.join(wanted, "hash", "left_semi"), "placed")
+    asked = short(keys.select("hash"))
+    wanted, nameless = asked.filter("hash IS NOT NULL").distinct(), asked.filter("hash IS NULL").distinct()
+    leaves = short(txs.select("hash", "height", F.col("blockindex").cast("long").alias("pos")))
+    placed = materialize(matching(leaves, wanted, ["hash"]), "placed")
     if trees is not None:
         passes = _kept_passes(placed, trees)
     else:
         passes = _passes(txs.join(placed.select("height").distinct(), "height", "left_semi"), placed)
     heads = blocks.select("height", F.col("hash").alias("block_hash"), "merkle_root")
-    proofs = placed.join(_paths(placed, passes), ["height", "pos"]).join(heads, "height")
-    return wanted.join(proofs, "hash", "left").select(
+    proofs = _paths(placed, passes, heads).drop("height", "pos")
+    # The hashes that have a proof, without working it out: their proofs need not be joined to the others.
+    proven = matching(placed.withColumn("chunk", _chunk()), heads, ["height"])
+    proven = matching(proven, passes[0], ["height", "chunk"])
+    absent = delete_keys(wanted, proven, ["hash"]).unionByName(nameless)
+    return restored(proofs.unionByName(absent, allowMissingColumns=True), keys.select("hash")).select(
         F.col("hash").alias("tx_hash"),
         F.col("block_hash").isNotNull().alias("found"),
         "block_hash",
