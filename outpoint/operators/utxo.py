@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import restored, short
 from ..functions.scripts import UNKNOWN, is_spendable, script_to_pubkeyhash
 from ..session import materialize
 from .maintenance import matching
@@ -107,11 +108,18 @@ def utxo_by_tx(keys: DataFrame, utxo: DataFrame) -> DataFrame:
 
 
 def outpoint_unspent(outpoints: DataFrame, utxo: DataFrame) -> DataFrame:
-    wanted = outpoints.select("hash", "pos").distinct()
-    present = matching(utxo.select("hash", "pos"), wanted, ["hash", "pos"]).withColumn("unspent", F.lit(True))
-    return wanted.join(present, ["hash", "pos"], "left").select(
-        "hash", "pos", F.coalesce("unspent", F.lit(False)).alias("unspent")
-    )
+    """Whether each distinct outpoint is in the unspent set.
+
+    Outpoints with a null are in no table. Apart from them the keys have one
+    and the same plan in both joins, so they are shuffled once, as bytes.
+    """
+    key = ["hash", "pos"]
+    asked = short(outpoints.select(*key))
+    known = F.col("hash").isNotNull() & F.col("pos").isNotNull()
+    wanted, nameless = asked.filter(known).distinct(), asked.filter(~known).distinct()
+    present = matching(short(utxo.select(*key)), wanted, key).withColumn("unspent", F.lit(True))
+    answers = wanted.join(present, key, "left").unionByName(nameless, allowMissingColumns=True)
+    return restored(answers.select(*key, F.coalesce("unspent", F.lit(False)).alias("unspent")), outpoints)
 
 
 def spent_flags(outputs: DataFrame, utxo: DataFrame) -> DataFrame:
